@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import packing
+from lodestone.llm import line_dedup, packing
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_packing": packing.op3_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
+}
