@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch, bounded_batches, documents
 
 WINDOW = 1024
-#: Chunks whose ids a worker remembers, about 100 MB at most.
-CACHED = 300_000
-#: A chunk runs up to a space that follows a non-space; no pre-token of a byte-level BPE reaches across that point.
-CHUNK = r"(?s).[^ ]*(?:(?<!\S) [^ ]*)*"
+#: Words and pre-tokens whose ids a worker remembers from task to task, about 250 MB at most.
+CACHED_WORDS, CACHED_PIECES = 800_000, 400_000
+SPACES = r" \t\n\r\x0b\x0c\x85\xa0  -     　"
+#: Cuts a text where a byte-level BPE cuts it, or more rarely: letters and digits may stay together, as encoding parts them.
+PIECES = rf"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\w{SPACES}]|_)+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
 def default_tokenizer() -> str:
@@ -40,39 +41,79 @@ def default_tokenizer() -> str:
 def _encoder(tokenizer_path: str) -> tuple[Callable[[list[str]], list[bytes]], np.dtype]:
     """texts -> their ids as bytes of the dtype."""
     import os
+    from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_path)
-    dtype = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-    known: dict[str, bytes] = {}
-    chunks_of = re.compile(CHUNK).findall
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_lodestone", {})  # a worker runs many tasks
+    if tokenizer_path not in held:
+        held[tokenizer_path] = (tokenizers.Tokenizer.from_file(tokenizer_path), {}, {})
+    tok, words, known = held[tokenizer_path]
+    dtype, code = (np.dtype("<u2"), "H") if tok.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
+    cut, word_of, split_later = re.compile(PIECES).findall, words.get, re.compile(r"\s |^ ").search
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    ids_of = lambda x: tok.encode_batch_fast([x], add_special_tokens=False)[0].ids
+    model = tok.model.tokenize
+    by_byte = _byte_letters()
+
+    def encode_piece(p: str) -> bytes:
+        """A run of letters is one pre-token, which the model can take as it is."""
+        if p.lstrip(" ").isalpha():
+            return array(code, [t.id for t in model(p.encode().decode("latin-1").translate(by_byte))]).tobytes()
+        return array(code, ids_of(p)).tobytes()
+
+    def encode_pieces(text: str) -> bytes:
+        out = []
+        for p in cut(text):
+            ids = known.get(p)
+            if ids is None:
+                ids = encode_piece(p)
+                if len(known) < CACHED_PIECES and len(p) < 40:
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    ends = {p: encode_pieces(p) for p in ".,;:!?"}
+
+    def encode_word(w: str) -> bytes:
+        """Of a word after a space."""
+        if w.isalpha():
+            return array(code, [t.id for t in model("\u0120" + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(by_byte))]).tobytes()
+        if w[-1:] in ends and w[:-1].isalpha():
+            return (word_of(w[:-1]) or encode_word(w[:-1])) + ends[w[-1]]
+        return encode_pieces(" " + w)
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [chunks_of(t) for t in texts]
-        new = list({c for p in parts for c in p if c not in known})
-        fresh: dict[str, bytes] = {}
-        for lo in range(0, len(new), 2000):
-            some = new[lo : lo + 2000]
-            for c, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[c] = np.array(e.ids, dtype).tobytes()
-        room = CACHED - len(known)
-        if room > 0:
-            for c in new[:room]:
-                if len(c) < 40:
-                    known[c] = fresh[c]
         out = []
-        for p in parts:
-            try:
-                out.append(b"".join([known[c] for c in p]))
-            except KeyError:
-                out.append(b"".join([known.get(c) or fresh[c] for c in p]))
+        for t in texts:
+            if any(m in t for m in marks):  # special tokens are matched in whole texts
+                out.append(array(code, ids_of(t)).tobytes())
+            elif split_later(t):
+                out.append(encode_pieces(t))
+            else:  # every space follows a non-space, where a byte-level BPE always cuts
+                first, *rest = t.split(" ")
+                ids, at = list(map(word_of, rest)), -1
+                try:
+                    while True:
+                        at = ids.index(None, at + 1)
+                        ids[at] = got = encode_word(rest[at])
+                        if len(words) < CACHED_WORDS and len(rest[at]) < 40:
+                            words[rest[at]] = got
+                except ValueError:
+                    pass
+                out.append(encode_pieces(first) + b"".join(ids))
         return out
 
     return encode, dtype
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(prints)))}
+
+
 def _slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts that are encoded together."""
     lo = size = 0
