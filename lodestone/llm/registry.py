@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import line_dedup, media, mixing, packing
+from lodestone.llm import fingerprints, line_dedup, media, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
     "op8_ogg": media.op8_ogg,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
