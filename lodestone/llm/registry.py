@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprints, line_dedup, media, mixing, packing
+from lodestone.llm import fingerprints, line_dedup, media, mixing, near_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op8_ogg": media.op8_ogg,
     "op9_fingerprints": fingerprints.op9_fingerprints,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
