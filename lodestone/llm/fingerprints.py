@@ -84,14 +84,17 @@ def successors(ids: DataFrame, scratch: Scratch) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how alike it is to that and to the next document."""
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = dict(docs.dtypes)
+    # Bare columns where types allow: an alias makes two reads of one table look different, and the shuffle is not reused.
+    base = docs.select(*(c if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))))
+    text = F.coalesce("text", F.lit(""))
     main = base.where("doc_id IS NOT NULL")  # shuffled once: sketches come after, as plans with lambdas are not reused
-    ids = base.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("most"))
+    ids = base.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.char_length(text) / 4)).cast("int").alias("most"))
     links = successors(ids, scratch).select(F.col("next_id"), F.col("id").alias("to_id"), "most")
-    sent = main.join(links, main["doc_id"] == links["next_id"]).select("to_id", F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, most)").alias("head"), sketch(F.col("text"), scale=scale).alias("next_sketch")).alias("next"))
+    sent = main.join(links, main["doc_id"] == links["next_id"]).select("to_id", F.struct(F.xxhash64(text).alias("h"), F.substring(text, F.lit(1), F.col("most")).alias("head"), sketch(text, scale=scale).alias("next_sketch")).alias("next"))
     sent = sent.groupBy("to_id").agg(F.min("next").alias("next"))
-    rows = main.join(sent, main["doc_id"] == sent["to_id"], "left").select("doc_id", "text", F.col("next.head").alias("head"), F.col("next.next_sketch").alias("next_sketch"))
-    lone = base.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
+    rows = main.join(sent, main["doc_id"] == sent["to_id"], "left").select("doc_id", text.alias("text"), F.col("next.head").alias("head"), F.col("next.next_sketch").alias("next_sketch"))
+    lone = base.where("doc_id IS NULL").select("doc_id", text.alias("text"), F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
     rows = rows.unionByName(lone).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.expr("cast(n_chars div 4 as int)"))
     rows = rows.withColumn("sketch", sketch(F.col("text"), scale=scale)).withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - k), left(head, k))"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), scale=scale))
