@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprints, line_dedup, media, mixing, near_dedup, packing
+from lodestone.llm import fingerprints, language, line_dedup, media, mixing, near_dedup, packing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_language": language.op2_language,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op8_ogg": media.op8_ogg,
     "op9_fingerprints": fingerprints.op9_fingerprints,
