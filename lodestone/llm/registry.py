@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprints, language, line_dedup, media, mixing, near_dedup, packing, toxicity
+from lodestone.llm import ctw, fingerprints, language, line_dedup, media, mixing, near_dedup, packing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
+    "op6_ctw": ctw.op6_ctw,
     "op8_ogg": media.op8_ogg,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_near_dedup": near_dedup.op10_near_dedup,
