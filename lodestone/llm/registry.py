@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ctw, fingerprints, language, line_dedup, media, mixing, near_dedup, packing, toxicity
+from lodestone.llm import ctw, fingerprints, language, line_dedup, media, mixing, near_dedup, packing, toxicity, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_ctw": ctw.op6_ctw,
+    "op7_url_filters": url_filters.op7_url_filters,
     "op8_ogg": media.op8_ogg,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_near_dedup": near_dedup.op10_near_dedup,
@@ -18,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op7_url_filters": url_filters.OP7_SQL,
 }
