@@ -63,13 +63,33 @@ def gram_keys(stream: np.ndarray) -> np.ndarray:
 
 def _grams(data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, document) of the bytes to score, a slice at a time. Each document lies after DEPTH line breaks that are its first context."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    first = np.zeros(len(data), bool)
+    starts = np.cumsum(sizes) - sizes
+    for i in range(DEPTH):
+        first[starts + i] = True
     for lo in range(DEPTH, len(data), SLICE):
-        at = np.arange(lo, min(lo + SLICE, len(data)))
-        doc = np.searchsorted(ends, at, "right")
-        keep = at - starts[doc] >= DEPTH
-        yield gram_keys(data[lo - DEPTH : at[-1] + 1])[keep], doc[keep]
+        hi = min(lo + SLICE, len(data))
+        keep = ~first[lo:hi]
+        yield gram_keys(data[lo - DEPTH : hi])[keep], doc[lo:hi][keep]
+
+
+def packed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Unsigned numbers, rising ones as their differences, their bytes by place, compressed."""
+    import zstandard
+
+    if rising:
+        numbers = np.diff(numbers, prepend=numbers.dtype.type(0))
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T)
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, dtype: type, rising: bool = False) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    numbers = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(numbers, dtype=dtype) if rising else numbers
 
 
 def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +235,7 @@ def ask(docs: DataFrame, shards: int, block_bytes: int = BLOCK) -> DataFrame:
             counts = np.bincount(inverse, learned[doc], len(keys)).astype(np.int64)
             for kind, keys, counts, shard_of in ((WORD, keys, counts, word_shard), (GRAM, *block_grams(np.frombuffer(payload, np.uint8), sizes, learned), gram_shard)):
                 for shard, at in _dealt(shard_of(keys, shards)):
-                    out.append((number, kind, shard, None, None, None, None, None, None, keys[at].tobytes(), counts[at].astype(np.uint32).tobytes()))
+                    out.append((number, kind, shard, None, None, None, None, None, None, packed(keys[at], True), packed(counts[at].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
         rows, size = [], 0
@@ -238,14 +258,14 @@ def ask(docs: DataFrame, shards: int, block_bytes: int = BLOCK) -> DataFrame:
 
 def _gathered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys and summed counts of a shard; for each entry its key's place; where each row's entries end."""
-    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]])
+    keys = [unpacked(k, np.uint64, True) for k in pdf["keys"]]
+    counts = np.concatenate([unpacked(c, np.uint32) for c in pdf["counts"]])
     found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return found, np.bincount(inverse, counts, len(found)), inverse, np.cumsum([len(k) for k in keys])
 
 
 def _told(pdf: pd.DataFrame, kind: int, values: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"block": pdf["block"].to_numpy(), "kind": np.int32(kind), "shard": pdf["shard"].to_numpy(), "told": [v.tobytes() for v in np.split(values, ends[:-1])]})
+    return pd.DataFrame({"block": pdf["block"].to_numpy(), "kind": np.int32(kind), "shard": pdf["shard"].to_numpy(), "told": [packed(v) for v in np.split(values, ends[:-1])]})
 
 
 def tell_words(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -281,7 +301,7 @@ def score_block(pdf: pd.DataFrame, tokens: int, distinct: int, shards: int) -> p
     def values(keys: np.ndarray, kind: int, shard: np.ndarray, dtype: type) -> np.ndarray:
         out = np.zeros(len(keys), dtype)
         for s, at in _dealt(shard):
-            out[at] = np.frombuffer(told[(kind, s)], dtype)
+            out[at] = unpacked(told[(kind, s)], dtype)
         return out
 
     n = len(sizes)
@@ -291,14 +311,15 @@ def score_block(pdf: pd.DataFrame, tokens: int, distinct: int, shards: int) -> p
     base = np.bincount(doc, np.log10(count + 1.0) - math.log10(tokens + distinct + 1), n)
     known = np.bincount(doc, count > 0, n).astype(np.int64)
 
-    data = np.frombuffer(payload, np.uint8)
-    grams = np.zeros(0, np.uint64)
-    for k, _ in _grams(data, sizes):
-        grams = np.union1d(grams, k)
-    logs = values(grams, GRAM, gram_shard(grams, shards), np.float64)
+    slices = []
+    for k, d in _grams(np.frombuffer(payload, np.uint8), sizes):
+        found, place = np.unique(k, return_inverse=True)
+        slices.append((found, place.astype(np.int32), d))
+    grams = np.unique(np.concatenate([found for found, _, _ in slices]))
+    logs = values(grams, GRAM, gram_shard(grams, shards), np.float32).astype(np.float64)
     score = np.zeros(n)
-    for k, d in _grams(data, sizes):
-        score += np.bincount(d, logs[np.searchsorted(grams, k)], n)
+    for found, place, d in slices:
+        score += np.bincount(d, logs[np.searchsorted(grams, found)][place], n)
     ids = pd.array([None if i is None or i != i else int(i) for i in text["doc_ids"]], dtype="Int64")
     return pd.DataFrame({"doc_id": ids, "held_out": list(text["held"]), "n_tokens": words + 1, "n_known": known, "train_tokens": np.int64(tokens), "base_score": base, "score": score, "n_bytes": sizes - DEPTH, "bits_per_byte": -score / math.log10(2) / (sizes - DEPTH)})
 
@@ -320,7 +341,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK, shards: int | Non
 
     def tell_grams(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, total, inverse, ends = _gathered(pdf)
-        return _told(pdf, GRAM, log10_probability(keys, grow(keys, total, 2) + tops)[inverse], ends)
+        return _told(pdf, GRAM, log10_probability(keys, grow(keys, total, 2) + tops).astype(np.float32)[inverse], ends)
 
     grams = gram_rows.groupBy("shard").applyInPandas(tell_grams, TOLD)
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("held", "array<boolean>"), ("sizes", "array<long>"), ("words", "array<long>"), ("payload", "binary"))]
