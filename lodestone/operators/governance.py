@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def release_text(text: Column, most: int = 16384) -> Column:
 
 def redact_json(payload: Column) -> Column:
     """Hides known keys at any depth of a JSON text; text that is no JSON becomes null. Depth is unknown, so this is a batched Python function."""
-    import pandas as pd
-
     def hide(value, key: str = ""):
         if isinstance(value, dict):
             return {k: hide(v, k.lower()) for k, v in value.items()}
