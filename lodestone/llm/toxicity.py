@@ -3,8 +3,8 @@
 Each n-gram that a text contains counts its log-count ratio: how much likelier toxic documents are to contain it. A
 logistic regression weighs these scaled features. It is taught on a bounded sample of labelled rows (teach_toxic and
 teach_clean are the bounds), drawn by a hash of doc_id, and its intercept is set back to the share of toxic labels
-among all. Counting runs on the executors over hashed n-grams; the driver gets counts for BUCKETS n-grams at most and
-the sample's chosen features, FEATURES at most for each document. Scoring reads every text whole.
+among all. Counting runs on the executors over hashed n-grams; the driver gets FEATURES n-grams and their
+weights; the regression itself is one task over the bounded sample. Scoring reads every text whole.
 
 Defined results: null or empty text scores what the intercept gives; without labels of both kinds the score is the
 share of toxic labels, 0 if there are none; a document labelled more than once is toxic if any label says so; null
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,8 +75,8 @@ class ToxicityModel:
 def fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, turns: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on scaled features by Adam over the whole sample."""
     n, k = len(rows), len(ratios)
-    col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    col = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     x, w, b = ratios[col], np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(k), np.zeros(k)
     for t in range(1, turns + 1):
@@ -119,27 +120,32 @@ def teach(docs: DataFrame, labels: DataFrame, teach_toxic: int = TEACH_TOXIC, te
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["bucket", "clean", "toxic"])
 
     found = sample.select("text", "toxic").mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = found.where("clean + toxic > 2").toPandas().sort_values("bucket")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().toLocalIterator()}
     if len(sizes) < 2:
         model.intercept = float(np.log(counts[1] / counts[0]))
         return model
-    p, q, pos, neg = found["toxic"].to_numpy(float), found["clean"].to_numpy(float), sizes[1], sizes[0]
-    share = (p + q + 1) / (pos + neg + 2)
-    z = np.abs(p / pos - q / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    best = best[z[best] >= LEAST_Z]
-    model.table[found["bucket"].to_numpy()[best]] = np.arange(len(best), dtype=np.int16)
-    model.ratios = np.log(((p[best] + 1) / (pos + 2)) / ((q[best] + 1) / (neg + 2)))
-    table = model.table
+    pos, neg = sizes[1], sizes[0]
+    share = (F.col("toxic") + F.col("clean") + 1) / (pos + neg + 2)
+    z = F.abs(F.col("toxic") / pos - F.col("clean") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
+    best = found.where("clean + toxic > 2").withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas()
+    model.table[best["bucket"].to_numpy()] = np.arange(len(best), dtype=np.int16)
+    model.ratios = np.log(((best["toxic"].to_numpy(float) + 1) / (pos + 2)) / ((best["clean"].to_numpy(float) + 1) / (neg + 2)))
+    table, ratios = model.table, model.ratios
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = Alphabet()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([present(alphabet(t.as_py()), table).astype(np.int32).tobytes() for t in batch.column(2)], pa.binary())], names=["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([present(alphabet(t.as_py()), table).astype(np.int16).tobytes() for t in batch.column(2)], pa.binary())], names=["doc_id", "toxic", "features"])
 
-    taught = sample.select("doc_id", "toxic", "text").mapInArrow(chosen, "doc_id long, toxic int, features binary").toPandas().sort_values(["doc_id", "toxic", "features"])
-    model.weights, b = fit([np.frombuffer(f, np.int32) for f in taught["features"]], taught["toxic"].to_numpy(float), model.ratios)
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "toxic", "features"])
+        w, b = fit([np.frombuffer(f, np.int16) for f in pdf["features"]], pdf["toxic"].to_numpy(float), ratios)
+        return pd.DataFrame({"weights": [w.tobytes()], "intercept": [b]})
+
+    # One task holds the whole sample, which teach_toxic + teach_clean bound: two bytes for each feature of a document.
+    taught = sample.select("doc_id", "toxic", "text").mapInArrow(chosen, "doc_id long, toxic int, features binary")
+    fitted = taught.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(weigh, "weights binary, intercept double").first()
+    model.weights, b = np.frombuffer(fitted["weights"]), fitted["intercept"]
     model.intercept = b + float(np.log(counts[1] / counts[0]) - np.log(pos / neg))
     return model
 
