@@ -106,11 +106,11 @@ def rerank(spark, sf):
 
 
 SELECT = f"""{RERANK}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY place) AS nth FROM rr) WHERE nth = 1),
- u AS (SELECT *, sum(token_estimate) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (ORDER BY place) AS n FROM d), sel AS (SELECT * FROM u WHERE (used <= 6000 OR n = 1) AND n <= 12)"""
+ u AS (SELECT *, sum(token_estimate) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (ORDER BY place) AS n FROM d), sel AS (SELECT * FROM u WHERE (used <= 64000 OR n = 1) AND n <= 12)"""
 
 
 def selected(spark, sf):
-    return selection.prefix_budget(reranked(spark, sf), "place", 6000)
+    return selection.prefix_budget(reranked(spark, sf), "place", 64000)
 
 
 @query("select_prefix_budget", f"WITH {SELECT} SELECT chunk_id, n::INT AS n, used::BIGINT AS used FROM sel")

@@ -18,6 +18,11 @@ def read(spark: SparkSession, path: str, schema: StructType | str, files: int |
     return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
+def watermarked(rows: DataFrame, late: str) -> DataFrame:
+    """Watermarks want an instant, so a time without a zone is taken in the session's."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def newest(beats: DataFrame) -> DataFrame:
     """By job the newest state, phase and time, and how many there were. Works on streams (update mode) and tables."""
     last = F.struct("ts", "event_id")
@@ -31,7 +36,7 @@ def accepted(state: Column, has_result: Column) -> Column:
 
 def per_window(beats: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Heartbeats by event-time window and state, closed by a watermark."""
-    rows = beats.withWatermark("ts", late) if beats.isStreaming else beats
+    rows = watermarked(beats, late) if beats.isStreaming else beats
     return rows.groupBy(F.window("ts", width), "state").agg(F.count(F.lit(1)).alias("beats")).select(F.col("window.start").alias("window_start"), "state", "beats")
 
 
@@ -43,7 +48,7 @@ def overdue(beats: DataFrame, now: Column, seconds: int = 45) -> DataFrame:
 def once(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first submission of each cache key within the watermark; on a table, of each key at all."""
     if submissions.isStreaming:
-        return submissions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["cache_key"])
+        return watermarked(submissions, late).dropDuplicatesWithinWatermark(["cache_key"])
     return submissions.groupBy("cache_key").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
@@ -64,7 +69,7 @@ def timeouts(beats: DataFrame, seconds: int = 45) -> DataFrame:
         state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "last_at": [last], "beats": [n], "expired": [False]})
 
-    rows = beats.withWatermark("ts", f"{seconds} seconds").select("job_id", "ts")
+    rows = watermarked(beats, f"{seconds} seconds").select("job_id", "ts")
     return rows.groupBy("job_id").applyInPandasWithState(follow, "job_id long, last_at timestamp, beats long, expired boolean", "last timestamp, n long", "append", "EventTimeTimeout")
 
 
