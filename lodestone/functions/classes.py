@@ -44,6 +44,29 @@ def summary_language(path: Column) -> Column:
     )
 
 
+# Languages by file ending.
+LANGUAGES = {
+    ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "csharp", ".go": "go", ".h": "c", ".hpp": "cpp", ".java": "java", ".js": "javascript", ".jsx": "javascript", ".json": "json",
+    ".md": "markdown", ".py": "python", ".rb": "ruby", ".rs": "rust", ".sh": "shell", ".slurm": "shell", ".sql": "sql", ".toml": "toml", ".ts": "typescript", ".tsx": "typescript",
+    ".txt": "text", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".ini": "config", ".conf": "config",
+}
+
+
+def language_of_path(path: Column) -> Column:
+    """By ending; empty where it is not known, and such files are not read."""
+    name = F.substring_index(path, "/", -1)
+    by_ending = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), extension(path)), F.lit(""))
+    return chain([(name == "go.mod", "go-module"), ((name == ".env") | name.endswith(".env.example"), "config")], by_ending)
+
+
+def is_skipped(path: Column, names: list[str] | None = None, below: list[str] | None = None) -> Column:
+    """In a left-out directory, a scheduler's output file, or under one of these paths."""
+    out = hits_directory(path, names or EXCLUDED_DIRS) | F.substring_index(path, "/", -1).rlike("^slurm-.*[.]out$")
+    for p in below or []:
+        out = out | (path == p) | path.startswith(p.rstrip("/") + "/")
+    return out
+
+
 def role(name: Column) -> Column:
     """What a top directory is for, by its name."""
     return first_match(F.lower(name), [("broker", "control plane"), ("worker", "worker runtime"), ("deploy", "deployment assets"), ("config", "configuration"), ("test", "tests")], F.lit("repository subsystem"))

@@ -35,11 +35,21 @@ def path_parts(path: Column) -> Column:
     return F.array_union(T.identifier_pieces(path), F.filter(F.regexp_extract_all(F.lower(path), F.lit("([a-z0-9_]+)"), 1), lambda p: p != ""))
 
 
-def postings(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, chunk_id, path, tf): non-overlapping occurrences of each term, rows only where there are any."""
+def n_words() -> Column:
+    return F.size(F.filter(F.split(searchable(), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+
+
+def term_hits(terms: list[str]) -> Column:
+    """array<struct<term, tf>>: non-overlapping occurrences of each term that occurs at all."""
     text = searchable()
     counts = F.array(*(F.struct(F.lit(t).alias("term"), T.occurrences(text, F.lit(t)).alias("tf")) for t in terms))
-    return chunks.select("chunk_id", "path", F.explode(F.filter(counts, lambda c: c["tf"] > 0)).alias("p")).select("p.term", "chunk_id", "path", "p.tf")
+    return F.filter(counts, lambda c: c["tf"] > 0)
+
+
+def postings(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, chunk_id, path, tf). Chunks that come with a column hits are not read again."""
+    hits = F.col("hits") if "hits" in chunks.columns else term_hits(terms)
+    return chunks.select("chunk_id", "path", F.explode(hits).alias("p")).select("p.term", "chunk_id", "path", "p.tf")
 
 
 def inverse_frequency(found: DataFrame, n: int, of: str, terms: list[str]) -> DataFrame:
@@ -166,7 +176,7 @@ def redundancy(chunks: DataFrame) -> DataFrame:
 
 def bm25(found: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(chunk_id, bm25) over words of the searchable text; idf is ln((n - df + 0.5) / (df + 0.5)), 1e-6 at least."""
-    sized = chunks.select("chunk_id", F.size(F.filter(F.split(searchable(), "[^\\p{L}\\p{N}]+"), lambda w: w != "")).alias("length"))
+    sized = chunks.select("chunk_id", (F.col("n_words") if "n_words" in chunks.columns else n_words()).alias("length"))
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     n, mean = totals["n"], totals["mean"] or 1.0
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -218,12 +228,14 @@ def file_first(scored: DataFrame, limit: int = 128) -> DataFrame:
 def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_index: bool = False) -> DataFrame:
     """The whole scorer. Every table that it joins is keyed by chunk, path or directory; terms are the only broadcast."""
     terms = f.lexical
-    found = postings(chunks, terms)
-    scores = term_scores(found, inverse_frequency(found, chunks.count(), "chunk_id", terms))
     named = named_in(F.col("path"), f, query)
     policy = path_policy(F.col("path"), F.coalesce("language", F.lit("")), named, f)
     bonus = reduce(lambda a, b: a + b, chunk_bonuses(f).values())
-    rows = chunks.withColumn("directory", directory(F.col("path"))).withColumn("own", bonus).join(scores, "chunk_id", "left")
+    # Texts are read once; what a chunk has of the query is a few numbers, which the joins below share.
+    chunks = chunks.select("chunk_id", "path", "symbol", "language", directory(F.col("path")).alias("directory"), bonus.alias("own"), term_hits(terms).alias("hits"), n_words().alias("n_words")).persist()
+    found = postings(chunks, terms)
+    scores = term_scores(found, inverse_frequency(found, chunks.count(), "chunk_id", terms))
+    rows = chunks.drop("hits", "n_words").join(scores, "chunk_id", "left")
     rows = rows.join(file_coverage(chunks, found, terms), "path", "left").join(directory_coverage(chunks, found, terms), "directory", "left").join(path_boost(chunks, f), "path", "left")
     base = F.coalesce("term_score", F.lit(0.0)) + F.col("own") + F.coalesce("file_coverage", F.lit(0.0)) + F.coalesce("directory_coverage", F.lit(0.0)) + F.coalesce("path_boost", F.lit(0.0))
     if f.intent("redundancy"):

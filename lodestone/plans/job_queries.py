@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classes as C
+from lodestone.functions import tiers
 from lodestone.operators import governance, incremental, jobs
 from lodestone.plans import entities as E
 from lodestone.plans.entities import DOCS, EFFECTIVE, JOBS, docs, table
@@ -278,3 +279,102 @@ def submission_once(spark, sf):
 @query("job_transitions", "SELECT user_id AS job_id, arg_max(s, (ts, s)) AS state, min(ts) FILTER (s = 'running') AS started_at, CASE WHEN arg_max(s, (ts, s)) IN ('failed', 'succeeded') THEN min(ts) FILTER (s IN ('failed', 'succeeded')) END AS completed_at FROM (SELECT *, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS s FROM events) GROUP BY 1")
 def job_transitions(spark, sf):
     return jobs.transitions(beats(spark, sf).select("job_id", "state", F.col("ts").alias("at")))
+
+
+@query(
+    "tier_retry_profiles",
+    """WITH t AS (SELECT s_suppkey AS job_id, ['cpu-rag-indexing', 'p40-rag-compression', 'p40-retrieval', 'p40-synthesis', 'v100-reasoning', 'a100-single', 'a100-multigpu', 'a100-reasoning'][s_suppkey % 8 + 1] AS tier FROM supplier)
+    SELECT job_id, tier, CASE tier WHEN 'cpu-rag-indexing' THEN 'p40-rag-compression' WHEN 'p40-rag-compression' THEN 'a100-reasoning' WHEN 'p40-retrieval' THEN 'p40-synthesis' WHEN 'p40-synthesis' THEN 'v100-reasoning' WHEN 'v100-reasoning' THEN 'a100-single' WHEN 'a100-reasoning' THEN 'a100-reasoning' ELSE 'a100-multigpu' END AS retry_tier,
+    CASE WHEN tier IN ('p40-synthesis', 'a100-single', 'a100-multigpu') THEN 4 ELSE 1 END AS retry_gpus, regexp_extract(tier, '^(p40|v100|a100)-', 1) AS accelerator, CASE WHEN tier = 'cpu-rag-indexing' THEN 'normal' ELSE 'scavenger' END AS qos FROM t""",
+)
+def tier_retry_profiles(spark, sf):
+    t = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("job_id"), F.expr("element_at(array('cpu-rag-indexing', 'p40-rag-compression', 'p40-retrieval', 'p40-synthesis', 'v100-reasoning', 'a100-single', 'a100-multigpu', 'a100-reasoning'), cast(s_suppkey % 8 as int) + 1)").alias("tier"), F.lit("").alias("backend"), F.lit("").alias("runtime"))
+    rows = tiers.with_retry_profile(t)
+    return rows.select("job_id", "tier", "retry_tier", "retry_gpus", tiers.accelerator(F.col("tier")).alias("accelerator"), tiers.placement_hint(F.col("tier"), F.lit(""))["qos"].alias("qos"))
+
+
+@query(
+    "result_policy",
+    """SELECT doc_id AS job_id, CASE WHEN s AND w <> '' THEN 'failed' ELSE 'succeeded' END AS state, CASE WHEN s AND w <> '' THEN 'broker_policy_retrieval_quality_insufficient' WHEN n THEN 'broker_policy_no_real_retrieval_backend' ELSE '' END AS error,
+    CASE WHEN s AND w <> '' THEN w || ',broker_retrieval_quality_gate_failed' ELSE w END AS warnings FROM (SELECT doc_id, doc_id % 4 = 0 AS s, doc_id % 3 = 1 AS n, CASE doc_id % 3 WHEN 0 THEN 'broker_local_retrieval_degraded' WHEN 1 THEN 'broker_no_real_retrieval_backend' ELSE '' END AS w FROM documents)""",
+)
+def result_policy(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), F.lit("succeeded").alias("state"), F.lit("").alias("error"), F.expr("CASE doc_id % 3 WHEN 0 THEN array('LOCAL_RETRIEVAL_DEGRADED') WHEN 1 THEN array('NO_REAL_RETRIEVAL_BACKEND') ELSE array('other') END").alias("warnings"), (F.col("doc_id") % 4 == 0).alias("strict"))
+    return tiers.result_policy(d).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(
+    "synthesis_ladder",
+    """SELECT o_custkey AS root_job_id, CASE WHEN NOT bool_or(o_orderstatus = 'O') THEN 'p40-synthesis' WHEN NOT bool_or(o_orderstatus = 'F') THEN 'v100-reasoning' WHEN bool_or(o_orderstatus = 'P') THEN NULL WHEN o_custkey % 2 = 0 THEN 'a100-multigpu' ELSE 'a100-single' END AS next_tier FROM orders GROUP BY 1""",
+)
+def synthesis_ladder(spark, sf):
+    tier = F.expr("CASE o_orderstatus WHEN 'O' THEN 'p40-synthesis' WHEN 'F' THEN 'v100-reasoning' ELSE 'a100-single' END")
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("root_job_id")).agg(F.collect_set(tier).alias("attempted"))
+    return rows.select("root_job_id", tiers.next_synthesis_tier(F.col("attempted"), F.when(F.col("root_job_id") % 2 == 0, "oom").otherwise("timeout")).alias("next_tier"))
+
+
+NOW = "2024-01-16 00:00:00"
+
+
+def services(spark, sf):
+    """Suppliers as services of four tiers, in every state of decay."""
+    e = F.expr
+    return table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("service_id"),
+        e("concat('tier', s_suppkey % 4)").alias("tier"),
+        e("CASE WHEN s_suppkey % 5 = 0 THEN 'starting' ELSE 'ready' END").alias("state"),
+        e("CASE WHEN s_suppkey % 7 = 0 THEN 'failed' ELSE 'running' END").alias("scheduler_state"),
+        e(f"timestamp'{NOW}' + make_interval(0, 0, 0, 0, 0, 0, s_suppkey % 9 - 4)").alias("startup_deadline"),
+        e(f"timestamp'{NOW}' + make_interval(0, 0, 0, 0, s_suppkey % 6 - 1)").alias("lease_expires_at"),
+        e(f"timestamp'{NOW}' + make_interval(0, 0, 0, 1)").alias("absolute_lease_expires_at"),
+        e(f"timestamp'{NOW}' - make_interval(0, 0, 0, 0, 0, 0, 10 * (s_suppkey % 8))").alias("heartbeat_at"),
+        e("CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE concat('http://n', s_suppkey) END").alias("endpoint"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+
+
+REASON = """CASE WHEN s_suppkey % 4 = 3 THEN 'profile_removed' WHEN s_suppkey % 7 = 0 THEN 'terminal' WHEN s_suppkey % 5 = 0 AND s_suppkey % 9 <= 4 THEN 'startup_timeout' WHEN s_suppkey % 5 = 0 THEN NULL
+ WHEN s_suppkey % 6 <= 1 THEN 'lease_expired' WHEN s_suppkey % 8 >= 5 THEN 'heartbeat_lost' WHEN s_suppkey % 11 = 0 THEN 'endpoint_unhealthy' END"""
+
+
+@query("service_retirement", f"SELECT s_suppkey AS service_id, {REASON} AS reason FROM supplier")
+def service_retirement(spark, sf):
+    now = F.lit(NOW).cast("timestamp")
+    return services(spark, sf).select("service_id", jobs.retirement_reason(now, ["tier0", "tier1", "tier2"]).alias("reason"))
+
+
+@query("service_routable", "SELECT s_suppkey AS service_id FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 6 > 1 AND s_suppkey % 8 <= 4")
+def service_routable(spark, sf):
+    return jobs.routable(services(spark, sf), F.lit(NOW).cast("timestamp")).select("service_id")
+
+
+@query(
+    "demand_binding",
+    """WITH s AS (SELECT s_suppkey AS id, 'tier' || (s_suppkey % 4) AS tier, s_suppkey % 5 <> 0 AS ready, s_suppkey % 6 AS lease FROM supplier), b AS (SELECT tier, arg_max(id, (ready, lease, id)) AS service_id, arg_max(ready, (ready, lease, id)) AS ready FROM s GROUP BY 1)
+    SELECT c_custkey AS demand_id, 'tier' || (c_custkey % 5) AS tier, service_id, CASE WHEN service_id IS NULL THEN 'launch' WHEN ready THEN 'bind' ELSE 'wait' END AS action FROM customer LEFT JOIN b ON b.tier = 'tier' || (c_custkey % 5)""",
+)
+def demand_binding(spark, sf):
+    d = table(spark, sf, "customer").select(F.col("c_custkey").alias("demand_id"), F.expr("concat('tier', c_custkey % 5)").alias("tier"))
+    return jobs.bind(d, services(spark, sf))
+
+
+@query("tier_roll_up", "SELECT 'tier' || (s_suppkey % 4) AS tier, count(*) FILTER (s_suppkey % 5 <> 0) AS active, count(*) FILTER (s_suppkey % 5 = 0) AS starting, array_to_string(list_sort(list('http://n' || s_suppkey) FILTER (s_suppkey % 11 <> 0)), ',') AS endpoints FROM supplier GROUP BY 1")
+def tier_roll_up(spark, sf):
+    return jobs.tier_roll_up(services(spark, sf))
+
+
+@query("host_lists", "SELECT s_suppkey, 'n' || lpad((unnest([s_suppkey % 7 + 1, s_suppkey % 7 + 2, 77]))::VARCHAR, 2, '0') AS host FROM supplier")
+def host_lists(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", F.expr("concat('n[0', s_suppkey % 7 + 1, '-0', s_suppkey % 7 + 2, ',77]')").alias("nodes"))
+    return jobs.expand_hosts(s, "nodes").select("s_suppkey", "host")
+
+
+@query("lru_newest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 8")
+def lru_newest(spark, sf):
+    return incremental.newest(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id", 8)
+
+
+@query("request_validation", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'mode,' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN 'final_pack_budget,' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN 'reserved_key,' ELSE '' END AS errors FROM orders")
+def request_validation(spark, sf):
+    r = table(spark, sf, "orders").select("o_orderkey", F.lit("rag_compress").alias("task_type"), F.expr("CASE WHEN o_orderkey % 4 = 0 THEN 'odd' ELSE 'auto' END").alias("mode"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END").alias("final_pack_budget"), F.lit(60).alias("runtime_s"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN array('_x') ELSE array('x') END").alias("params"))
+    return r.select("o_orderkey", F.array_join(F.transform(governance.request_errors(), lambda x: F.concat(x, F.lit(","))), "").alias("errors"))

@@ -8,6 +8,7 @@ from lodestone.functions import classes as C
 from lodestone.functions import text as T
 from lodestone.operators import chunking, summaries
 from lodestone.plans.entities import CHUNKS, DOCS, LINES, chunks, docs, table
+from lodestone.sources import files
 
 QUERIES, SQL = {}, {}
 
@@ -242,3 +243,48 @@ def shard_left_join_coverage(spark, sf):
     results = rows.where("l_returnflag NOT IN ('R', 'A')").select("child", F.lit("{}").alias("payload"))
     states = rows.select("child", F.when(F.col("l_returnflag") == "R", "failed").otherwise("running").alias("state"))
     return summaries.coverage(summaries.child_outcomes(rows.select("parent", "child"), results, states)).withColumn("coverage_fraction", F.round("coverage_fraction", 6))
+
+
+@query(
+    "path_filters",
+    """WITH p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a/node_modules/x.js' WHEN 1 THEN 'src/slurm-12.out' WHEN 2 THEN 'keep/go.mod' WHEN 3 THEN 'private/k.toml' WHEN 4 THEN 'x/.env' ELSE 'b/c.TSX' END AS path FROM documents)
+    SELECT doc_id, path, doc_id % 6 IN (0, 1, 3) AS skipped, CASE doc_id % 6 WHEN 0 THEN 'javascript' WHEN 1 THEN '' WHEN 2 THEN 'go-module' WHEN 3 THEN 'toml' WHEN 4 THEN 'config' ELSE 'typescript' END AS language FROM p""",
+)
+def path_filters(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 6 WHEN 0 THEN 'a/node_modules/x.js' WHEN 1 THEN 'src/slurm-12.out' WHEN 2 THEN 'keep/go.mod' WHEN 3 THEN 'private/k.toml' WHEN 4 THEN 'x/.env' ELSE 'b/c.TSX' END").alias("path"))
+    return d.select("doc_id", "path", C.is_skipped(F.col("path"), below=["private"]).alias("skipped"), C.language_of_path(F.col("path")).alias("language"))
+
+
+@query("uri_normalize", r"SELECT page_id, 'file:///' || regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '/+', '/', 'g'), '/$', '') AS normalized, regexp_replace(url, '^https?://', '') AS artifact_id FROM pages")
+def uri_normalize(spark, sf):
+    p = table(spark, sf, "pages")
+    rest = F.regexp_replace("url", "^https?://", "")
+    return p.select("page_id", files.normalized_uri(F.concat(F.lit("repo://"), rest)).alias("normalized"), files.artifact_id(F.concat(F.lit("artifact://"), rest)).alias("artifact_id"))
+
+
+@query("grep_lines", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'src/p' || page_id END AS path, CASE WHEN page_id % 3 = 1 THEN page_id ELSE 0 END::INT AS line_no, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS text FROM pages")
+def grep_lines(spark, sf):
+    line = F.expr("CASE page_id % 3 WHEN 0 THEN concat('src/p', page_id) WHEN 1 THEN concat('src/p', page_id, ':', page_id, ':', url) ELSE concat('src/p', page_id, ':x:', url) END")
+    return table(spark, sf, "pages").select("page_id", files.grep_line(line).alias("g")).select("page_id", "g.path", "g.line_no", "g.text")
+
+
+@query("log_lines", f"WITH {DOCS}, {LINES}, e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM lines WHERE input_type = 'log') SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(lower(line), 'error|failed|exception|fatal|undefined')) AS interesting, max(n)::INT AS last_line FROM e GROUP BY 1")
+def log_lines(spark, sf):
+    rows = files.numbered_lines(docs(spark, sf).where("input_type = 'log'").select("doc_id", "content"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(T.interesting(F.col("line"))).alias("interesting"), F.max("line_no").alias("last_line"))
+
+
+@query("embedding_segments")
+def embedding_segments(spark, sf):
+    return chunking.segments_for_embedding(docs(spark, sf).select("doc_id", "content"))
+
+
+@query(
+    "batch_packing",
+    f"""WITH RECURSIVE {DOCS}, r AS (SELECT source, doc_id, least(2048, greatest(1, length(content) // 4)) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM docs),
+    f AS (SELECT source, doc_id, n, t, 1 AS items, 0 AS batch FROM r WHERE n = 1 UNION ALL SELECT r.source, r.doc_id, r.n, CASE WHEN f.items >= 16 OR f.t + r.t > 2048 THEN r.t ELSE f.t + r.t END, CASE WHEN f.items >= 16 OR f.t + r.t > 2048 THEN 1 ELSE f.items + 1 END, f.batch + (f.items >= 16 OR f.t + r.t > 2048)::INT FROM f JOIN r ON r.source = f.source AND r.n = f.n + 1)
+    SELECT source, doc_id, batch::INT AS batch FROM f""",
+)
+def batch_packing(spark, sf):
+    rows = docs(spark, sf).select("source", "doc_id", F.least(F.lit(2048), T.tokens_v1(F.col("content"))).alias("token_estimate"))
+    return chunking.pack_batches(rows, "source", ["doc_id"]).select("source", "doc_id", "batch")
