@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 #: Every line boundary that text splitting knows, not only \n.
 LINE_BREAK = "\\r\\n|[\\n\\x0B\\x0C\\r\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
+RARE_BREAK = "[\\x0B\\x0C\\r\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
+BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 SPACE = "[\\s\\x1C-\\x1F\\x85\\xA0]"
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def lit_array(values: list[str]) -> Column:
@@ -18,16 +26,18 @@ def lit_array(values: list[str]) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their breaks; a break at the end adds no empty line, and empty text has none."""
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK))
+    ends = F.when(F.right(text, F.lit(2)) == "\r\n", 2).when(F.right(text, F.lit(1)).isin(*BREAKS), 1).otherwise(0)
+    body = F.left(text, F.length(text) - ends)
+    parts = F.when(text.rlike(RARE_BREAK), F.split(body, LINE_BREAK)).otherwise(F.split(body, "\n"))  # a regular expression only where it is needed
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(parts)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+\\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -45,8 +55,7 @@ def tokens_v2(text: Column) -> Column:
 
 
 def truncate(text: Column, limit: int) -> Column:
-    t = strip(text)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(rstrip(F.substring(t, 1, limit - 3)), F.lit("...")))
+    return bound(strip(text), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(rstrip(F.substring(t, 1, limit - 3)), F.lit("..."))))
 
 
 def word_budget(budget: int, backend: str = "deterministic") -> int:
@@ -101,12 +110,14 @@ def first_match(text: Column, rules: list[tuple[str, str]], otherwise: Column) -
 
 def first_sentence(text: Column) -> Column:
     """Up to the first ". ", else "! ", else "? ": by that order, not by place; 240 code points."""
-    flat = F.array_join(words(text), " ")
-    cut = lambda sep: F.concat(F.substring(F.substring_index(flat, sep, 1), 1, 240), F.lit(sep.strip()))
-    out = F.substring(flat, 1, 240)
-    for sep in ("? ", "! ", ". "):
-        out = F.when(F.contains(flat, F.lit(sep)), cut(sep)).otherwise(out)
-    return out
+
+    def cut(flat: Column) -> Column:
+        out = F.substring(flat, 1, 240)
+        for sep in ("? ", "! ", ". "):
+            out = F.when(F.contains(flat, F.lit(sep)), F.concat(F.substring(F.substring_index(flat, sep, 1), 1, 240), F.lit(sep.strip()))).otherwise(out)
+        return out
+
+    return bound(F.array_join(words(text), " "), cut)
 
 
 def filled_lines(ls: Column) -> Column:
@@ -116,9 +127,12 @@ def filled_lines(ls: Column) -> Column:
 
 def key_points(ls: Column) -> Column:
     """Five bullets at most, else the first three filled lines; 240 code points each."""
-    filled = F.transform(filled_lines(ls), lambda x: F.substring(x, 1, 240))
-    bullets = F.filter(filled, lambda x: x.rlike("^(-|\\*|[123]\\.)"))
-    return F.when(F.size(bullets) > 0, F.slice(bullets, 1, 5)).otherwise(F.slice(filled, 1, 3))
+
+    def pick(filled: Column) -> Column:
+        bullets = F.filter(filled, lambda x: x.rlike("^(-|\\*|[123]\\.)"))
+        return F.when(F.size(bullets) > 0, F.slice(bullets, 1, 5)).otherwise(F.slice(filled, 1, 3))
+
+    return bound(F.transform(filled_lines(ls), lambda x: F.substring(x, 1, 240)), pick)
 
 
 def redact_line(line: Column) -> Column:

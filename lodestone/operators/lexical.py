@@ -41,8 +41,7 @@ def n_words() -> Column:
 
 def term_hits(terms: list[str]) -> Column:
     """array<struct<term, tf>>: non-overlapping occurrences of each term that occurs at all."""
-    text = searchable()
-    counts = F.array(*(F.struct(F.lit(t).alias("term"), T.occurrences(text, F.lit(t)).alias("tf")) for t in terms))
+    counts = T.bound(searchable(), lambda text: F.array(*(F.struct(F.lit(t).alias("term"), F.when(F.contains(text, F.lit(t)), T.occurrences(text, F.lit(t))).otherwise(F.lit(0).cast("long")).alias("tf")) for t in terms)))
     return F.filter(counts, lambda c: c["tf"] > 0)
 
 
@@ -156,12 +155,12 @@ def named_in(path: Column, f: Features, query: str) -> Column:
 
 def chunk_bonuses(f: Features) -> dict[str, Column]:
     """Bonuses of a chunk by itself: named identifiers, concepts in its symbol, quoted phrases."""
-    text, symbol = searchable(), F.lower(F.coalesce("symbol", F.lit("")))
+    symbol = F.lower(F.coalesce("symbol", F.lit("")))
     add = lambda cs: reduce(lambda a, b: a + b, cs, F.lit(0.0))
     return {
-        "identifier": add([F.when(symbol == i, 5.0).when(F.contains(text, F.lit(i)), 2.0).otherwise(0.0) for i in (x.lower() for x in f.identifiers)]),
-        "concept": F.least(F.lit(30.0), T.times_contained(symbol, f.lexical) * 8.0),
-        "quoted": add([F.when(F.contains(text, F.lit(q.lower())), 4.0).otherwise(0.0) for q in f.quoted]),
+        "identifier": T.bound(searchable(), lambda text: add([F.when(symbol == i, 5.0).when(F.contains(text, F.lit(i)), 2.0).otherwise(0.0) for i in (x.lower() for x in f.identifiers)])),
+        "concept": F.least(F.lit(30.0), T.bound(symbol, lambda s: T.times_contained(s, f.lexical)) * 8.0),
+        "quoted": T.bound(searchable(), lambda text: add([F.when(F.contains(text, F.lit(q.lower())), 4.0).otherwise(0.0) for q in f.quoted])),
     }
 
 
@@ -231,6 +230,7 @@ def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_in
     named = named_in(F.col("path"), f, query)
     policy = path_policy(F.col("path"), F.coalesce("language", F.lit("")), named, f)
     bonus = reduce(lambda a, b: a + b, chunk_bonuses(f).values())
+    source = chunks
     # Texts are read once; what a chunk has of the query is a few numbers, which the joins below share.
     chunks = chunks.select("chunk_id", "path", "symbol", "language", directory(F.col("path")).alias("directory"), bonus.alias("own"), term_hits(terms).alias("hits"), n_words().alias("n_words")).persist()
     found = postings(chunks, terms)
@@ -246,7 +246,7 @@ def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_in
         base = base + F.coalesce("index_score", F.lit(0.0))
     rows = rows.select("chunk_id", "path", ((base * policy["pre"] + policy["add"]) * policy["post"]).alias("score"))
     best = rows.groupBy("path").agg(F.max("score").alias("best"), F.max_by("chunk_id", F.struct("score", "chunk_id")).alias("chunk_id"))
-    rows = rows.join(sibling_bonus(best), "chunk_id", "left").join(wrapper_bonus(best, references_of(chunks), f), "chunk_id", "left") if f.intent("wrapper") else rows.join(sibling_bonus(best), "chunk_id", "left").withColumn("wrapper_bonus", F.lit(0.0))
+    rows = rows.join(sibling_bonus(best), "chunk_id", "left").join(wrapper_bonus(best, references_of(source), f), "chunk_id", "left") if f.intent("wrapper") else rows.join(sibling_bonus(best), "chunk_id", "left").withColumn("wrapper_bonus", F.lit(0.0))
     rows = rows.select("chunk_id", "path", (F.col("score") + F.coalesce("sibling_bonus", F.lit(0.0)) + F.coalesce("wrapper_bonus", F.lit(0.0))).alias("score"))
     return file_first(rows, limit)
 

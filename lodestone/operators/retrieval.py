@@ -108,7 +108,7 @@ def _containing(term: str):
 
 def grep_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """Adds hits_here, lines of the chunk that contain a term, once for each term and case-sensitive, and hits_file, the same over the file."""
-    here = total([F.size(F.filter(T.lines(F.col("content")), _containing(t))) for t in terms]).cast("long")
+    here = T.bound(T.lines(F.col("content")), lambda ls: total([F.size(F.filter(ls, _containing(t))) for t in terms])).cast("long")
     counted = chunks.withColumn("hits_here", here)
     files = counted.groupBy(F.col("input_id").alias("_file")).agg(F.sum("hits_here").alias("hits_file"))
     return counted.join(files, F.col("input_id") == F.col("_file")).drop("_file")

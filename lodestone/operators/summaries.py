@@ -20,11 +20,11 @@ GENERIC = ("GENERIC_LOG_FAILURE", "", "medium", ["Inspect the first error-like l
 
 def document_summary(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Line and word counts, opening sentence, key points, excerpt of 20 filled lines."""
-    rows = docs.select(key, F.coalesce("content", F.lit("")).alias("content")).withColumn("ls", T.lines(F.col("content")))
-    n_words, sentence = F.size(T.words(F.col("content"))), T.first_sentence(F.col("content"))
-    summary = F.when(T.strip(F.col("content")) == "", "The document is empty.").otherwise(F.concat(F.lit("The document contains "), n_words, F.lit(" words across "), F.size("ls"), F.lit(" lines. Opening sentence: "), sentence))
+    rows = docs.select(key, F.coalesce("content", F.lit("")).alias("content")).withColumn("ls", T.lines(F.col("content"))).withColumn("word_count", F.size(T.words(F.col("content"))))
+    n_words, sentence = F.col("word_count"), T.first_sentence(F.col("content"))
+    summary = F.when(n_words == 0, "The document is empty.").otherwise(F.concat(F.lit("The document contains "), n_words, F.lit(" words across "), F.size("ls"), F.lit(" lines. Opening sentence: "), sentence))
     excerpt = F.array_join(F.slice(F.transform(F.filter("ls", lambda x: T.strip(x) != ""), T.rstrip), 1, 20), "\n")
-    return rows.select(key, F.size("ls").alias("line_count"), n_words.alias("word_count"), summary.alias("summary"), T.key_points(F.col("ls")).alias("key_points"), excerpt.alias("excerpt"))
+    return rows.select(key, F.size("ls").alias("line_count"), "word_count", summary.alias("summary"), T.key_points(F.col("ls")).alias("key_points"), excerpt.alias("excerpt"))
 
 
 def _finding(p: tuple[str, str, str, list[str]], confidence: float) -> Column:

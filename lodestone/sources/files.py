@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.functions.classes import EXCLUDED_DIRS, TEXT_ENDINGS, extension, hits_directory, scheduler_state
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deals rows out by a key where they come in fewer pieces than there are cores, as a small file of one row group does. Large inputs have more pieces and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def file_path_of(uri: Column) -> Column:
     """The path of a file URI, percent-decoded, plus signs kept; any other scheme is an error."""
     path = F.url_decode(F.replace(F.regexp_replace(uri, "^file://[^/]*", ""), F.lit("+"), F.lit("%2B")))

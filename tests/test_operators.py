@@ -158,6 +158,7 @@ def test_lexical_search_prefers_named_code(spark):
     f = features("where is the cache key read in store.go")
     got = lexical.search(rows, "where is the cache key read in store.go", f).orderBy("rank").collect()
     assert got[0].chunk_id == "c1" and len(got) == 3
+    assert lexical.search(rows, "which shell wrapper", features("which shell wrapper")).count() == 3
     assert lexical.references_of(spark.createDataFrame([("bin/run.sh", "exec store.go now"), ("src/store.go", "x")], "path string, content string")).collect()[0].target == "src/store.go"
 
 
