@@ -51,7 +51,7 @@ def _encoder(tokenizer_path: str) -> tuple[Callable[[list[str]], list[bytes]], n
         held[tokenizer_path] = (tokenizers.Tokenizer.from_file(tokenizer_path), {}, {})
     tok, words, known = held[tokenizer_path]
     dtype, code = (np.dtype("<u2"), "H") if tok.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
-    cut, word_of, split_later = re.compile(PIECES).findall, words.get, re.compile(r"\s |^ ").search
+    cut, word_of = re.compile(PIECES).findall, words.get
     marks = [t.content for t in tok.get_added_tokens_decoder().values()]
     ids_of = lambda x: tok.encode_batch_fast([x], add_special_tokens=False)[0].ids
     model = tok.model.tokenize
@@ -84,25 +84,33 @@ def _encoder(tokenizer_path: str) -> tuple[Callable[[list[str]], list[bytes]], n
             return (word_of(w[:-1]) or encode_word(w[:-1])) + ends[w[-1]]
         return encode_pieces(" " + w)
 
+    def encode_words(t: str) -> bytes:
+        """Word by word where every space follows a non-space, as a byte-level BPE always cuts there. Words that end in white space are never remembered, so that looking words up finds the texts where it doesn't."""
+        first, *rest = t.split(" ")
+        if not first or first[-1].isspace():
+            return encode_pieces(t)
+        last = rest.pop()
+        ids, at = list(map(word_of, rest)), -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                word = rest[at]
+                if not word or word[-1].isspace():
+                    return encode_pieces(t)
+                ids[at] = got = encode_word(word)
+                if len(words) < CACHED_WORDS and len(word) < 40:
+                    words[word] = got
+        except ValueError:
+            pass
+        return encode_pieces(first) + b"".join(ids) + encode_pieces(" " + last)
+
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
             if any(m in t for m in marks):  # special tokens are matched in whole texts
                 out.append(array(code, ids_of(t)).tobytes())
-            elif split_later(t):
-                out.append(encode_pieces(t))
-            else:  # every space follows a non-space, where a byte-level BPE always cuts
-                first, *rest = t.split(" ")
-                ids, at = list(map(word_of, rest)), -1
-                try:
-                    while True:
-                        at = ids.index(None, at + 1)
-                        ids[at] = got = encode_word(rest[at])
-                        if len(words) < CACHED_WORDS and len(rest[at]) < 40:
-                            words[rest[at]] = got
-                except ValueError:
-                    pass
-                out.append(encode_pieces(first) + b"".join(ids))
+            else:
+                out.append(encode_words(t) if " " in t else encode_pieces(t))
         return out
 
     return encode, dtype
