@@ -12,9 +12,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests, one machine) a folder of our own."""
+    """The session's spark.checkpoint.dir. Only on one machine, as in tests, a folder of our own stands in where it is unset."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
@@ -55,5 +57,17 @@ def bounded_batches(spark: SparkSession, records: int = 1000, megabytes: int = 1
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """For each name one like it that no column has, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
