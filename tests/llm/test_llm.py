@@ -67,25 +67,63 @@ def brute_lines(rows, min_docs=3, min_chars=20):
     return sorted(out, key=repr)
 
 
-def test_line_dedup_equals_brute_force(spark, odd, empty):
-    got = line_dedup.dedup_lines(odd, text_too=False).collect()
-    assert sorted(map(tuple, got), key=repr) == brute_lines([(r.doc_id, r.text) for r in odd.collect()])
-    assert sum(r._n_dropped for r in got) == 2
-    assert line_dedup.dedup_lines(empty).count() == 0
+def lines_report(docs, **options):
+    return line_dedup.indexed(docs, **options).report(docs).collect()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_line_dedup_equals_brute_force(spark, odd, empty, batches):
+    got = lines_report(odd, batches=batches)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=repr) == brute_lines([(r.doc_id, r.text) for r in odd.collect()])
+    assert sum(r.n_dropped for r in got) == 2
+    assert line_dedup.dedup_lines(empty).count() == 0 and lines_report(empty) == []
+
+
+def test_line_dedup_carries_columns_of_any_name(spark):
+    names = ["doc_id", "_id", "_KEYS", "_at", "_at_", "n_lines", "kept_sha256", "drop_keys", "text", "shard"]
+    docs = spark.createDataFrame([(i, *[f"v{i}"] * 7, f"{LINE}\n\n{i}\n", "s") for i in range(4)], "doc_id int, " + ", ".join(f"`{n}` string" for n in names[1:]))
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == [(i, *[f"v{i}"] * 7, f"\n{i}\n" if i < 3 else f"{LINE}\n\n{i}\n", "s") for i in range(4)]
+
+
+def line_state(ix):
+    return sorted(map(tuple, ix.counts().select(F.hex("key"), "n_docs", "top_doc").collect())), sum(r.n_keys for r in ix.filters().collect()), sorted(map(tuple, ix.references().select(F.hex("key"), "doc_id").collect()))
 
 
 def test_line_index_is_reversible(spark):
     docs = table(spark, [(i, f"{LINE}\nline of its own number {i:09d}", "en", "a") for i in range(5)])
-    state = lambda ix: (sorted(map(tuple, ix.counts().select(F.hex("key"), "n_docs", "top_doc").collect())), sum(r.n_keys for r in ix.filters().collect()))
     ix = line_dedup.LineIndex(spark, shard_keys=2).insert(docs.where("doc_id < 3"))
-    before = state(ix)
+    before = line_state(ix)
     ix.insert(docs)
-    assert state(ix) == state(line_dedup.LineIndex(spark, shard_keys=2).insert(docs))
+    assert line_state(ix) == line_state(line_dedup.LineIndex(spark, shard_keys=2).insert(docs))
     ix.delete(docs.where("doc_id >= 3").select("doc_id"))
-    assert state(ix) == before
+    assert line_state(ix) == before
     assert {r.doc_id for r in ix.drops().collect()} == {0, 1}
     ix.delete(docs.where("doc_id = 2").select("doc_id"))
     assert ix.drops().count() == 0
+    ix.insert(docs.where("doc_id >= 2"))  # keys that were gone are new again
+    assert line_state(ix) == line_state(line_dedup.LineIndex(spark, shard_keys=2).insert(docs))
+
+
+def test_line_filters_spare_exact_lookups(spark, real):
+    """Of a second batch, only keys that the first one may hold are looked up; the result is that of looking up all."""
+    one, two = real.where("doc_id % 2 = 0"), real.where("doc_id % 2 = 1")
+    gated, plain = (line_dedup.LineIndex(spark, shard_keys=5000, gated=g).insert(one).insert(two) for g in (True, False))
+    assert line_state(gated) == line_state(plain)
+    keys = [{k for r in part.collect() for k in line_dedup.line_keys(r.text) if k} for part in (one, two)]
+    both = len(keys[0] & keys[1])
+    assert plain.lookups == len(keys[1]) and both <= gated.lookups <= both + 0.01 * len(keys[1]) and gated.lookups < 0.5 * plain.lookups
+
+
+def test_line_index_merges_its_segments(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MERGE_AT", 2)
+    docs = table(spark, [(i, f"{LINE}\nline of its own number {i:09d}", "en", "a") for i in range(6)])
+    ix = line_dedup.LineIndex(spark, shard_keys=3)
+    for i in range(6):
+        ix.insert(docs.where(f"doc_id = {i}"))
+    ix.delete(docs.where("doc_id = 5").select("doc_id"))
+    assert len(ix.rows) <= 2 and line_state(ix) == line_state(line_dedup.LineIndex(spark, shard_keys=3).insert(docs.where("doc_id < 5")))
 
 
 def test_cuckoo_filter():
@@ -459,7 +497,7 @@ def test_near_dedup_of_families_and_odd_rows(spark, odd, empty):
             rows.append((1000 + 100 * f + k, " ".join(words), "en", "a"))
     docs = odd.unionByName(table(spark, rows + rows[:20] + [(2000 + k, rows[0][1], "en", "b") for k in range(30)]))
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
-    for tile in (8, 512):
+    for tile in (8, 4096):
         got = near_dedup.near_duplicates(docs, tile=tile).collect()
         assert len(got) == docs.count()
         assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
@@ -467,6 +505,37 @@ def test_near_dedup_of_families_and_odd_rows(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_candidates_of_near_pairs():
+    """Recall of the buckets on pairs of similarity 0.80 to 0.85, where a band is shared least often."""
+    rng, missed, shared = np.random.default_rng(11), 0, []
+    for _ in range(3000):
+        n = int(rng.integers(20, 400))
+        j = rng.uniform(0.80, 0.85)
+        common = int(np.ceil(j * n))
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        cut = common + (n - common) // 2
+        a, b = np.unique(x[:cut]), np.unique(np.concatenate([x[:common], x[cut:]]))
+        assert near_dedup.alike(a, b)
+        keys = [near_dedup.band_keys(near_dedup.signature(s, near_dedup.BANDS * near_dedup.ROWS), near_dedup.BANDS, near_dedup.ROWS) for s in (a, b)]
+        shared.append(int((keys[0] == keys[1]).sum()))
+        missed += shared[-1] == 0
+    assert missed == 0 and 12 < np.mean(shared) < 18
+
+
+def test_tiles_hold_each_needed_pair(spark):
+    rng = random.Random(9)
+    rows = [(b, 100 * b + k, rng.choice([1, 1, 1, 1, 2, 3]), rng.randint(1, 50)) for b in range(4) for k in range(rng.choice([2, 9, 60]))]
+    viable = spark.createDataFrame(rows, "bkey long, id long, component long, n long")
+    for tile, weight in ((4096, 10**9), (7, 10**9), (4096, 90)):
+        got, held = near_dedup._tiles(viable, tile, weight).collect(), {}
+        for r in got:
+            held.setdefault((r.bkey, r.i, r.j), []).append(r)
+        pairs = {(p.id, q.id) for t in held.values() for p in t if p.probe for q in t}
+        pairs |= {(q, p) for p, q in pairs}
+        assert all((a[1], b[1]) in pairs for a in rows for b in rows if a[0] == b[0] and a[2] != b[2])
+        assert tile < 4096 or weight < 10**9 or len(got) == len(rows)
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     x = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
