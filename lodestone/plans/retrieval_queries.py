@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.query import features
+from lodestone.functions.query import Features, features
 from lodestone.operators import evaluation, lexical, retrieval, selection, vectors
 from lodestone.operators.retrieval import Query
 from lodestone.plans.entities import CHUNKS, DOCS, chunks, docs, table
@@ -177,7 +177,9 @@ def retrieval_policy_signals(spark, sf):
 
 
 # Lexical scoring: a chunk's symbol is its first word.
-LEX = features("the elle un 'of the' thshe_inner src1")
+LEX_QUERY = "the elle un 'of the' thshe_inner src1"
+LEX_TERMS = ["of the", "of", "the", "thshe_inner", "thshe", "inner", "elle", "un", "src1"]
+LEX = Features(["of the"], [], ["thshe_inner"], LEX_TERMS, LEX_TERMS, '"of the" OR "thshe_inner" OR "of" OR "the" OR "thshe" OR "inner" OR "elle" OR "un" OR "src1"')
 LT = LEX.lexical
 
 
@@ -245,14 +247,14 @@ def lexical_redundancy(spark, sf):
 
 @query("lexical_total")
 def lexical_total(spark, sf):
-    return lexical.search(lex_chunks(spark, sf), "the elle un 'of the' thshe_inner src1", LEX, with_index=True)
+    return lexical.search(lex_chunks(spark, sf), LEX_QUERY, LEX, with_index=True)
 
 
 @query("lexical_path_policy", "SELECT DISTINCT source || '/t' || (doc_id % 4) AS path, CASE doc_id % 4 WHEN 0 THEN 0.08 WHEN 1 THEN 0.2 ELSE 1.0 END AS pre, CASE doc_id % 4 WHEN 2 THEN 0.3 WHEN 3 THEN 0.35 ELSE 1.0 END AS post FROM documents")
 def lexical_path_policy(spark, sf):
     """Each kind of path under made-up directories."""
     d = table(spark, sf, "documents").select(F.expr("concat(source, '/t', doc_id % 4)").alias("path"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'tests/a_test.go' WHEN 1 THEN 'docs/a.py' WHEN 2 THEN 'examples/a.py' ELSE 'scripts/a.py' END").alias("p")).distinct()
-    rule = lexical.path_policy(F.col("p"), F.lit("python"), F.lit(False), features("cache key"))
+    rule = lexical.path_policy(F.col("p"), F.lit("python"), F.lit(False), features(spark, "cache key"))
     return d.select("path", rule["pre"].alias("pre"), rule["post"].alias("post"))
 
 

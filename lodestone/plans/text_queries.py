@@ -68,21 +68,43 @@ def chunk_regions_overlap(spark, sf):
 
 @query("chunk_v2_ids")
 def chunk_v2_ids(spark, sf):
-    """Whole v2 chunking: regions, byte limit, ids."""
-    rows = chunking.split_bytes(chunking.region_windows(docs(spark, sf)).select("path", "line_start", "line_end", "symbol", "content"))
-    return chunking.chunk_record_v2(rows, "corpus").drop("content")
+    """Whole v2 chunking: markers, regions, byte limit, ids."""
+    rows = docs(spark, sf).select("path", F.lit("python").alias("language"), "content")
+    return chunking.source_regions(rows, namespace="corpus").drop("content")
+
+
+# A source text for each page, of eight lines in one of seven languages, from its id and url.
+SOURCES = {
+    "go": ["package p{n}", "", "func (s *S) Run{n}(x int) {{", "}}", "type T{n} struct {{", "  x int // {u}", "}}", "func main() {{}}"],
+    "javascript": ["// {u}", "export async function f{n}(a) {{", "}}", "const h{n} = (a) => a", "class K{n} {{", "  m() {{}}", "}}", "let z{n}=1"],
+    "java": ["// {u}", "public class A{n} {{", "  synchronized void f{n}() {{", "  }}", "  private static int g{n}(int x) {{", "  }}", "}}", "// end"],
+    "cpp": ["// {u}", "template <class T> int f{n}(T x) {{", "  return 0;", "}}", "int g{n}(int x) {{", "  return x;", "}}", "// end"],
+    "rust": ["// {u}", "pub(crate) async fn f{n}() {{", "}}", "pub struct P{n};", "impl P{n} {{", "  fn m(&self) {{}}", "}}", "// end"],
+    "shell": ["# {u}", "f{n}() {{", "  echo 1", "}}", "function g{n} () {{", "  echo 2", "}}", "# end"],
+    "python": ["# {u}", "def f{n}(a):", "    return a", "class K{n}:", "    def m(self):", "        pass", "async def h{n}():", "    pass"],
+}
+# What stands where in them, by the rules of the markers: a declaration after a blank line begins with that line's end.
+DECLARED = {"go": [(3, "Run{n}"), (5, "T{n}"), (8, "main")], "javascript": [(2, "f{n}"), (4, "h{n}"), (5, "K{n}"), (8, "z{n}")], "java": [(2, "A{n}"), (3, "f{n}"), (5, "g{n}")], "cpp": [(2, "f{n}"), (5, "g{n}")], "rust": [(2, "f{n}"), (4, "P{n}"), (5, "P{n}"), (6, "m")], "shell": [(2, "f{n}"), (5, "g{n}")], "python": [(2, "f{n}"), (4, "K{n}"), (5, "K{n}.m"), (7, "h{n}")]}
+
+
+def _filled(template: str) -> str:
+    """SQL of a template with a page's id and url in place of n and u."""
+    said = template.replace("{{", "{").replace("}}", "}")
+    return "replace(replace('" + said.replace("'", "''") + "', '{n}', page_id::VARCHAR), '{u}', coalesce(url, ''))"
 
 
 @query(
     "symbol_markers",
-    r"""WITH p AS (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages), l AS (SELECT page_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM p)
-    SELECT page_id, count(*) AS markers, min(n)::INT AS first_line FROM (SELECT page_id, n, regexp_extract('def f' || length(line) || '(x):', '^(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w*)', 1) AS s FROM l) WHERE s <> '' GROUP BY page_id""",
+    "WITH p AS (SELECT page_id, url, CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(SOURCES)) + " END AS language FROM pages) "
+    + " UNION ALL ".join(f"SELECT page_id, language, {line}::INT AS line, {_filled(symbol)} AS symbol FROM p WHERE language = '{name}'" for name, found in DECLARED.items() for line, symbol in found),
 )
 def symbol_markers(spark, sf):
-    """Declarations in generated source: one line def f<length> for each line of a page."""
-    p = table(spark, sf, "pages").select("page_id", F.transform(F.split("html", "\n"), lambda x: F.concat(F.lit("def f"), F.length(x), F.lit("(x):"))).alias("ls"))
-    m = chunking.markers_of(F.col("ls"), F.lit("python"))
-    return p.withColumn("m", m).select("page_id", F.size("m").cast("long").alias("markers"), F.col("m")[0]["line"].alias("first_line"))
+    """Declarations in generated source texts of seven languages."""
+    name = F.element_at(T.lit_array(list(SOURCES)), (F.col("page_id") % 7 + 1).cast("int"))
+    fill = lambda t: F.replace(F.replace(F.lit(t.replace("{{", "{").replace("}}", "}")), F.lit("{n}"), F.col("page_id").cast("string")), F.lit("{u}"), F.coalesce("url", F.lit("")))
+    content = F.coalesce(*(F.when(F.col("language") == k, F.concat_ws("\n", *map(fill, v))) for k, v in SOURCES.items()))
+    p = table(spark, sf, "pages").select("page_id", "url", name.alias("language")).withColumn("content", content)
+    return p.select("page_id", "language", F.inline(chunking.markers_of(F.col("content"), F.col("language"))))
 
 
 @query(

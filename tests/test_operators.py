@@ -1,8 +1,11 @@
 """Operators that SQL doesn't cover, on small inputs worked out by hand."""
 
 import json
+import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import classes as C
@@ -86,12 +89,64 @@ def test_blank_regions_are_left_out_and_bytes_split_whole_characters(spark):
     assert "".join(p.content for p in parts) == "é" * 25 and all(len(p.content.encode()) <= 9 for p in parts)
 
 
-def test_markers(spark):
-    m = of_text(spark, "x\ndef f(a):\n  def g():\nclass K:\nasync def h():", lambda c: chunking.markers_of(T.lines(c), F.lit("python")))
-    assert [(x.line, x.symbol) for x in m] == [(2, "f"), (4, "K"), (5, "h")]
-    assert chunking.class_methods("class A:\n def m(self): pass\ndef f(): pass") == [(1, "A"), (2, "A.m"), (3, "f")]
-    go = of_text(spark, "func (s *S) Run(x int) {\ntype T struct", lambda c: chunking.markers_of(T.lines(c), F.lit("go")))
-    assert [x.symbol for x in go] == ["Run", "T"]
+@pytest.mark.parametrize(
+    "language,text,want",
+    [
+        ("python", "x\ndef f(a):\n  y\nclass K:\n  z\nasync def h():", [(2, "f"), (4, "K"), (6, "h")]),
+        ("python", "class A:\n def m(self): pass\ndef f(): pass", [(1, "A"), (2, "A.m"), (3, "f")]),
+        ("python", "def f(:\n  def g(", [(1, "f")]),
+        ("go", "func (s *S) Run(x int) {\ntype T struct", [(1, "Run"), (2, "T")]),
+        ("go", "package p\n\n\nfunc F() {}", [(3, "F")]),
+        ("javascript", "export const h = (a) => {\nfunction f() {}\nvar x=1", [(1, "h"), (2, "f"), (3, "x")]),
+        ("typescript", "export default class A {\ninterface I {\nlet q = 2", [(1, "A"), (2, "I"), (3, "q")]),
+        ("java", "synchronized void f() {\n}\n public static int g(int x) {", [(1, "f"), (3, "g")]),
+        ("c", "static int\nmain(int n) {\n}", [(1, "main")]),
+        ("cpp", "template <class T> T id(T x) {", [(1, "id")]),
+        ("rust", "pub(crate) fn a() {}\nimpl B {", [(1, "a"), (2, "B")]),
+        ("ruby", "module M\n  def go!\n", [(1, "M"), (2, "go!")]),
+        ("shell", "function run () {\n}\nstop() {", [(1, "run"), (3, "stop")]),
+        ("prose", "def f(): pass", []),
+        ("go", None, []),
+    ],
+)
+def test_markers(spark, language, text, want):
+    got = spark.createDataFrame([(text, language)], "t string, l string").select(chunking.markers_of(F.col("t"), F.col("l")).alias("m")).first().m
+    assert [(x.line, x.symbol) for x in got] == want
+
+
+def test_source_regions_begin_at_declarations(spark):
+    rows = spark.createDataFrame([("a.py", "python", "import os\ndef f():\n  pass\nclass K:\n  def m(self):\n    pass")], "path string, language string, content string")
+    got = [(r.line_start, r.line_end, r.symbol) for r in chunking.source_regions(rows).orderBy("line_start").collect()]
+    assert got == [(1, 1, ""), (2, 3, "f"), (4, 4, "K"), (5, 6, "K.m")]
+
+
+@given(st.text(alphabet="aé€😀 ", max_size=60), st.integers(1, 12))
+def test_byte_pieces(text, most):
+    pieces = chunking.byte_pieces(text, most)
+    assert "".join(pieces) == text and all(len(p.encode()) <= most or len(p) == 1 for p in pieces)
+    assert all(len((a + b[0]).encode()) > most for a, b in zip(pieces, pieces[1:]))
+
+
+def slow_segments(text, most):
+    """By the definition, a character at a time."""
+    if len(text) <= most:
+        return [text]
+    out, rest = [], text
+    while rest:
+        edges = [i for i in range(most // 2 + 1, min(most, len(rest))) if rest[i] in " \n"]
+        stop = len(rest) if len(rest) <= most else edges[-1] + 1 if edges else most
+        out, rest = out + [rest[:stop].strip()], rest[stop:]
+    return [p for p in out if p] or [text[:most]]
+
+
+def test_segments_by_definition(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é😀 \n") if rng.random() < w else "x" for _ in range(rng.randint(0, 500))) for w in (0.02, 0.2, 1.0) for _ in range(30)] + [" " * 200, "", "y" * 64, "y" * 65]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    got = {}
+    for r in chunking.segments_for_embedding(rows, tokens=16).orderBy("id", "segment").collect():
+        got.setdefault(r.id, []).append(r.segment_text)
+    assert got == {i: slow_segments(t, 64) for i, t in enumerate(texts)}
 
 
 def test_segments_and_batches(spark):
@@ -118,11 +173,27 @@ def test_diverse_selection(spark):
     assert len(pick(limit=2)) == 2
 
 
-def test_trim_longest_keeps_to_the_budget(spark):
-    rows = spark.createDataFrame([("q", i, "x" * n) for i, n in enumerate([500, 300, 50], 1)], "q string, place int, excerpt string")
-    got = selection.trim_longest(rows, ["q"], 150).orderBy("place").collect()
-    assert (len(json.dumps([{"place": r.place, "excerpt": r.excerpt} for r in got], separators=(",", ":"))) + 2) // 3 <= 150
-    assert got[0].excerpt.endswith("...")
+def slow_trim(excerpts, budget, least=96):
+    tokens = lambda: max(1, (len(json.dumps([{"place": p, "excerpt": e} for p, e in kept], separators=(",", ":"))) + 2) // 3)
+    kept = list(enumerate(excerpts, 1))
+    while kept and tokens() > budget:
+        n, i = max((len(e), i) for i, (_, e) in enumerate(kept))
+        if n <= least:
+            kept.pop()
+        else:
+            kept[i] = (kept[i][0], kept[i][1][: n - max(32, min(n - least, 4 * (tokens() - budget) + 16))].rstrip() + "...")
+    return kept
+
+
+@pytest.mark.parametrize("budget", [1, 40, 150, 400, 5000])
+def test_trim_longest_keeps_to_the_budget(spark, budget):
+    rng = random.Random(6)
+    groups = {f"q{k}": ["".join(rng.choice('x y\n\t"\\é😀\x7f') for _ in range(rng.choice([3, 97, 300, 900]))) for _ in range(rng.randint(1, 9))] for k in range(12)}
+    rows = spark.createDataFrame([(q, i, e) for q, es in groups.items() for i, e in enumerate(es, 1)], "q string, place int, excerpt string")
+    got = {}
+    for r in selection.trim_longest(rows, ["q"], budget).orderBy("q", "place").collect():
+        got.setdefault(r.q, []).append((r.place, r.excerpt))
+    assert got == {q: kept for q, es in groups.items() if (kept := slow_trim(es, budget))}
 
 
 def test_fusion_does_not_depend_on_the_order_of_rankings(spark):
@@ -132,12 +203,18 @@ def test_fusion_does_not_depend_on_the_order_of_rankings(spark):
     assert f([("a", a), ("b", b)]) == f([("b", b), ("a", a)]) == {"y": round(1 / 62 + 1 / 61, 10), "x": round(1 / 61, 10), "z": round(1 / 62, 10)}
 
 
-def test_query_features():
-    f = features('find retryLogic in broker/pkg/store.go "cache key" settings')
+def test_query_features(spark):
+    f = features(spark, 'find retryLogic in broker/pkg/store.go "cache key" settings')
     assert f.quoted == ["cache key"] and "broker/pkg/store.go" in f.paths and "retryLogic" in f.identifiers
-    assert {"retry", "logic", "store", "setting"} <= {t.lower() for t in f.terms} and "in" not in f.lexical
+    assert f.direct_terms == ["cache key", "cache", "key", "broker/pkg/store.go", "broker", "pkg", "store", "go", "retryLogic", "retry", "logic", "find", "in", "settings"]
+    assert f.terms == [*f.direct_terms, "setting"] and "in" not in f.lexical
     assert f.intent("configuration") and not f.intent("tests")
-    assert features("the the").match_expression == '"the"'
+    assert features(spark, "the the").match_expression == '"the"'
+    assert features(spark, "Authorized queries passing traces").terms == ["Authorized", "queries", "passing", "traces", "authorization", "auth", "authz", "access", "authoriz", "querie", "query", "pass", "trace"]
+    assert features(spark, "") == type(f)() and features(spark, "say 'a \"b' (x_y)").match_expression.startswith('"a"')
+    from lodestone.plans import retrieval_queries as plans
+
+    assert features(spark, plans.LEX_QUERY) == plans.LEX
 
 
 def test_strategies_and_plan(spark):
@@ -155,10 +232,10 @@ def test_strategies_and_plan(spark):
 
 def test_lexical_search_prefers_named_code(spark):
     rows = spark.createDataFrame([("c1", "src/store.go", "Get", "go", "func Get cache key"), ("c2", "tests/store_test.go", "TestGet", "go", "cache key cache key"), ("c3", "docs/readme.md", "", "markdown", "cache")], "chunk_id string, path string, symbol string, language string, content string")
-    f = features("where is the cache key read in store.go")
+    f = features(spark, "where is the cache key read in store.go")
     got = lexical.search(rows, "where is the cache key read in store.go", f).orderBy("rank").collect()
     assert got[0].chunk_id == "c1" and len(got) == 3
-    assert lexical.search(rows, "which shell wrapper", features("which shell wrapper")).count() == 3
+    assert lexical.search(rows, "which shell wrapper", features(spark, "which shell wrapper")).count() == 3
     assert lexical.references_of(spark.createDataFrame([("bin/run.sh", "exec store.go now"), ("src/store.go", "x")], "path string, content string")).collect()[0].target == "src/store.go"
 
 
