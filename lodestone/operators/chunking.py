@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.folds import in_order
 
 V1_LINES, V1_LOG_LINES = 40, 80
 V2_LINES, V2_OVERLAP, V2_BYTES = 120, 12, 32768
@@ -187,17 +188,15 @@ def segments_for_embedding(texts: DataFrame, text: str = "content", tokens: int
 
 
 def pack_batches(rows: DataFrame, group: str, order: list[str], items: int = 16, tokens: int = 2048) -> DataFrame:
-    """Adds batch: within a group, a batch closes before it would pass items or tokens. A fold, so a group is one array."""
-    packed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in rows.columns if c not in (group, *order))))).alias("_rows"))
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("t"))
+    """Adds batch: within a group, a batch closes before it would pass items or tokens."""
 
-    def step(acc: Column, r: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= items) | (acc["t"] + r["token_estimate"] > tokens))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.array_append(acc["ids"], batch).alias("ids"), batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, r["token_estimate"].cast("bigint")).otherwise(acc["t"] + r["token_estimate"]).alias("t"))
+    def step(state: tuple[int, int, int], cost: int) -> tuple:
+        batch, n, used = state
+        if n and (n >= items or used + cost > tokens):
+            batch, n, used = batch + 1, 0, 0
+        return (batch, n + 1, used + cost), (batch,)
 
-    folded = packed.withColumn("_batches", F.aggregate("_rows", start, step)["ids"])
-    return folded.select(group, F.explode(F.arrays_zip("_rows", "_batches")).alias("z")).select(group, "z._rows.*", F.col("z._batches").alias("batch"))
+    return in_order(rows, group, order, ["token_estimate"], {"batch": ("int", pa.int32())}, lambda: (0, 0, 0), step)
 
 
 def lead_line(partition: list[str]) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.classes import BROKER_RANKS, SENSITIVE, WORKER_RANKS, broker_class, chain, rank_of
+from lodestone.operators.folds import in_order
 
 # Keys that a release hides.
+REDACTED = "[REDACTED]"
 HIDDEN_TEXT, HIDDEN_LISTS = ("excerpt", "raw_excerpt", "content", "source_text"), ("paths", "related_paths")
 
 
@@ -30,10 +33,11 @@ def is_sensitive(confidentiality: Column, classifications: Column) -> Column:
 
 
 def release(jobs: DataFrame) -> DataFrame:
-    """jobs (job_id, confidentiality, classifications, override, payload, artifacts): what of a result may go out."""
+    """jobs (job_id, confidentiality, classifications of inputs and artifacts, override, payload as JSON, artifacts): what of a result may go out. A sensitive payload keeps its shape, with known keys hidden."""
     hide = is_sensitive(F.col("confidentiality"), F.col("classifications"))
     warnings = F.array_compact(F.array(F.when(hide, F.lit("broker_redacted_sensitive_fields")), F.when(hide & ~F.col("override"), F.lit("broker_withheld_artifacts")), F.when(hide & F.col("override"), F.lit("broker_removed_artifact_paths"))))
-    return jobs.select("job_id", hide.alias("sensitive"), warnings.alias("warnings"), F.when(hide & ~F.col("override"), 0).otherwise(F.col("artifacts")).alias("artifacts_released"), F.when(hide, F.lit("[REDACTED]")).otherwise(F.col("payload")).alias("payload"))
+    redacted = redact_json(F.when(hide, F.col("payload")))
+    return jobs.select("job_id", hide.alias("sensitive"), warnings.alias("warnings"), F.when(hide & ~F.col("override"), 0).otherwise(F.col("artifacts")).alias("artifacts_released"), F.when(hide, redacted).otherwise(F.col("payload")).alias("payload"))
 
 
 def log_release(jobs: DataFrame) -> DataFrame:
@@ -45,26 +49,31 @@ def release_text(text: Column, most: int = 16384) -> Column:
     return T.truncate_bytes(T.redact_log(text), most)
 
 
+def hidden(value, key: str = ""):
+    """A parsed JSON value as it may go out, under a key in lower case. What a path holds is hidden whatever it is; path lists keep their length, and anything else in their place counts as a list of one; texts are hidden where they stand under their key. Lists inside lists are gone through as well."""
+    if key == "path":
+        return REDACTED
+    if key in HIDDEN_LISTS:
+        return [REDACTED] * (len(value) if isinstance(value, list) else 1)
+    if isinstance(value, dict):
+        return {k: hidden(v, k.lower()) for k, v in value.items()}
+    if isinstance(value, list):
+        return [hidden(v) for v in value]
+    return REDACTED if key in HIDDEN_TEXT and isinstance(value, str) else value
+
+
 def redact_json(payload: Column) -> Column:
     """Hides known keys at any depth of a JSON text; text that is no JSON becomes null. Depth is unknown, so this is a batched Python function."""
-    def hide(value, key: str = ""):
-        if isinstance(value, dict):
-            return {k: hide(v, k.lower()) for k, v in value.items()}
-        if key in HIDDEN_LISTS and isinstance(value, list):
-            return ["[REDACTED]" for _ in value]
-        if key == "path" or key in HIDDEN_TEXT and isinstance(value, str):
-            return "[REDACTED]"
-        return [hide(v, key) for v in value] if isinstance(value, list) else value
-
-    def one(text):
+
+    def one(text: str | None) -> str | None:
         try:
-            return None if text is None else json.dumps(hide(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+            return None if text is None else json.dumps(hidden(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
         except ValueError:
             return None
 
-    @F.pandas_udf("string")
-    def redacted(s: pd.Series) -> pd.Series:
-        return s.map(one)
+    @F.arrow_udf("string")
+    def redacted(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
     return redacted(payload)
 
@@ -96,30 +105,38 @@ def request_errors() -> Column:
     return errors_of(rules)
 
 
-def event_text(prev: Column) -> Column:
-    """The canonical text of an event: its fields in order, with the hash before it."""
-    return F.concat_ws("|", prev, "at", "actor", "role", "action", "outcome", F.coalesce("job_id", F.lit("")))
+def event_json(events: DataFrame) -> Column:
+    """An event as compact JSON without its hashes: keys in a fixed order, empty ones left out, the keys of fields (a map, where there is one) sorted, and <, >, & and the two line separators escaped."""
+    given = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    parts = [F.col("at").cast("string").alias("timestamp"), given("actor"), given("role"), F.coalesce("action", F.lit("")).alias("action"), F.coalesce("outcome", F.lit("")).alias("outcome")]
+    parts += [given(c) for c in ("job_id", "task_type") if c in events.columns]
+    if "fields" in events.columns:
+        parts.append(F.when(F.size("fields") > 0, F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields"))
+    text = F.to_json(F.struct(*parts))
+    for letter in "<>&\u2028\u2029":
+        text = F.replace(text, F.lit(letter), F.lit(f"\\u{ord(letter):04x}"))
+    return text
 
 
 def chained(events: DataFrame, chain_id: str, order: str, seed: str = "") -> DataFrame:
-    """Adds prev_hash and event_hash: a fold in order, one chain at a time, as each hash needs the one before."""
-    fields = [c for c in events.columns if c != chain_id]
-    packed = events.groupBy(chain_id).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in fields if c != order)))).alias("_rows"))
-    start = F.struct(F.array().cast("array<struct<prev:string,hash:string>>").alias("out"), F.lit(seed).alias("last"))
+    """Adds prev_hash and event_hash: the SHA-256 of an event's JSON with the hash before it. Each hash needs the one before, so a chain streams through one task, and only its hash is held."""
 
-    def step(acc: Column, e: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", acc["last"], *(e[c] for c in ("at", "actor", "role", "action", "outcome")), F.coalesce(e["job_id"], F.lit(""))), 256)
-        return F.struct(F.array_append(acc["out"], F.struct(acc["last"].alias("prev"), h.alias("hash"))).alias("out"), h.alias("last"))
+    def step(last: str, body: str) -> tuple:
+        said = body[:-1] + (f',"prev_hash":"{last}"' if last else "") + "}"
+        now = hashlib.sha256(said.encode()).hexdigest()
+        return now, (last, now)
 
-    rows = packed.withColumn("_hashes", F.aggregate("_rows", start, step)["out"]).select(chain_id, F.explode(F.arrays_zip("_rows", "_hashes")).alias("z"))
-    return rows.select(chain_id, "z._rows.*", F.col("z._hashes.prev").alias("prev_hash"), F.col("z._hashes.hash").alias("event_hash"))
+    rows = events.withColumn("_body", event_json(events))
+    return in_order(rows, chain_id, [order], ["_body"], {"prev_hash": ("string", pa.string()), "event_hash": ("string", pa.string())}, lambda: seed, step).drop("_body")
 
 
 def verify(events: DataFrame, chain_id: str, order: str, seed: str = "") -> DataFrame:
     """By chain: events, whether it holds, and the first line that fails and why. Each line is checked against the line before, so chains split over tasks by their key only."""
     w = Window.partitionBy(chain_id).orderBy(order)
     rows = events.withColumn("line", F.row_number().over(w)).withColumn("_before", F.lag("event_hash", 1, seed).over(w))
-    reason = chain([(F.col("prev_hash") != F.col("_before"), "prev_hash mismatch"), (F.col("event_hash") != F.sha2(event_text(F.col("prev_hash")), 256), "event_hash mismatch")], F.lit(None).cast("string"))
+    before = F.when(F.col("prev_hash") != "", F.concat(F.lit(',"prev_hash":"'), "prev_hash", F.lit('"'))).otherwise("")
+    said = F.concat(F.regexp_replace(event_json(events), "\\}$", ""), before, F.lit("}"))
+    reason = chain([(F.col("prev_hash") != F.col("_before"), "prev_hash mismatch"), (F.col("event_hash") != F.sha2(said, 256), "event_hash mismatch")], F.lit(None).cast("string"))
     rows = rows.withColumn("reason", reason)
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct("line", "reason")))
     out = rows.groupBy(chain_id).agg(F.count(F.lit(1)).alias("events"), first.alias("f"))

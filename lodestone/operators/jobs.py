@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.classes import TERMINAL_STATES, chain, is_retryable, is_terminal, retry_skip_reason
+from lodestone.sources.scratch import Scratch
 
 SHARD = ["task_type", "strategy", "shard_key", "shard_index", "shard_count", "aggregation_key"]
 REDUCER = ["task_type", "strategy", "aggregation_key"]
@@ -138,15 +139,23 @@ def forbidden_roots(jobs: DataFrame, user: str, role: str) -> DataFrame:
     return jobs.groupBy("root_job_id").agg(F.bool_and(accessible(F.lit(role), F.lit(user), F.col("owner"))).alias("accessible"))
 
 
-def origins(links: DataFrame, turns: int = 32) -> DataFrame:
-    """links (job_id, source_id or null) -> the job at the end of each alias chain, by pointer doubling: each turn halves what is left."""
-    rows = links.select("job_id", F.coalesce("source_id", "job_id").alias("origin"))
-    known = links.select(F.col("job_id").alias("_j"))
-    rows = rows.join(known, rows["origin"] == known["_j"], "left").select("job_id", F.when(F.col("_j").isNull(), F.col("job_id")).otherwise(F.col("origin")).alias("origin"))
-    for _ in range(turns.bit_length() - 1):
-        nxt = rows.select(F.col("job_id").alias("_at"), F.col("origin").alias("_to"))
-        rows = rows.join(nxt, rows["origin"] == nxt["_at"]).select("job_id", F.col("_to").alias("origin"))
-    return rows
+def origins(links: DataFrame) -> DataFrame:
+    """links (job_id, source_id or null) -> the job at the end of each alias chain, by pointer doubling until nothing moves: chains of n links take log2(n) turns. Each turn is written, so no plan grows. A source that is no job of the table ends the chain before it; a cycle has no end, and its jobs get null."""
+    scratch = Scratch(links.sparkSession, "origins")
+    known = links.select(F.col("job_id").alias("_j")).distinct()
+    rows = links.join(known, links["source_id"] == known["_j"], "left").select("job_id", F.coalesce("_j", "job_id").alias("origin"))
+    begun = rows = scratch.write(rows, "turn0")
+    ends = begun.where("job_id = origin").select(F.col("job_id").alias("_end")).distinct()
+    for turn in range(1, links.count().bit_length() + 2):
+        to = rows.select(F.col("job_id").alias("_at"), F.col("origin").alias("_to"))
+        moved = rows.join(to, rows["origin"] == to["_at"]).select("job_id", F.col("_to").alias("origin"), (F.col("_to") != F.col("origin")).alias("moved"))
+        moved = scratch.write(moved, f"turn{turn}")
+        rows = moved.select("job_id", "origin")
+        if turn > 1:
+            scratch.drop(f"turn{turn - 1}")
+        if not moved.where("moved").count():
+            break
+    return rows.join(ends, rows["origin"] == ends["_end"], "left").select("job_id", F.col("_end").alias("origin"))
 
 
 def execution_quality(task: Column, schema: Column, quality: Column, degraded: Column, retry: Column, real: Column) -> Column:

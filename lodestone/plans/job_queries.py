@@ -108,12 +108,12 @@ def cache_lookup(spark, sf):
 
 @query(
     "cache_alias_chain",
-    f"""WITH RECURSIVE {JOBS}, l AS (SELECT job_id, CASE WHEN job_id % 8 <> 0 THEN job_id - 1 END AS src FROM jobs), k AS (SELECT job_id, job_id AS origin FROM l WHERE src IS NULL OR src NOT IN (SELECT job_id FROM l) UNION ALL SELECT l.job_id, k.origin FROM l JOIN k ON l.src = k.job_id)
+    f"""WITH RECURSIVE {JOBS}, l AS (SELECT job_id, CASE WHEN job_id % 100 <> 0 THEN job_id - 1 END AS src FROM jobs), k AS (SELECT job_id, job_id AS origin FROM l WHERE src IS NULL OR src NOT IN (SELECT job_id FROM l) UNION ALL SELECT l.job_id, k.origin FROM l JOIN k ON l.src = k.job_id)
     SELECT job_id, origin FROM k""",
 )
 def cache_alias_chain(spark, sf):
-    """A job whose key is no multiple of 8 is an alias of the one before it."""
-    return jobs.origins(E.jobs(spark, sf).select("job_id", F.expr("CASE WHEN job_id % 8 <> 0 THEN job_id - 1 END").alias("source_id")), turns=8)
+    """A job whose key is no multiple of 100 is an alias of the one before it."""
+    return jobs.origins(E.jobs(spark, sf).select("job_id", F.expr("CASE WHEN job_id % 100 <> 0 THEN job_id - 1 END").alias("source_id")))
 
 
 @query("cache_key_hash", "SELECT o_orderkey AS job_id, sha256('{\"classification\":\"' || o_orderstatus || '\",\"params\":\"' || o_orderpriority || '\",\"task\":' || (o_orderkey % 5) || '}') AS cache_key FROM orders")
@@ -130,11 +130,11 @@ def policy_access(spark, sf):
 @query(
     "policy_release",
     """SELECT doc_id AS job_id, s AS sensitive, CASE WHEN NOT s THEN '' WHEN o THEN 'broker_redacted_sensitive_fields,broker_removed_artifact_paths' ELSE 'broker_redacted_sensitive_fields,broker_withheld_artifacts' END AS warnings,
-    CASE WHEN s AND NOT o THEN 0 ELSE 3 END AS artifacts_released, CASE WHEN s THEN '[REDACTED]' ELSE lang END AS payload FROM (SELECT *, doc_id % 10 = 0 OR doc_id % 6 IN (2, 3, 4) AS s, doc_id % 4 = 0 AS o FROM documents)""",
+    CASE WHEN s AND NOT o THEN 0 ELSE 3 END AS artifacts_released, '{"kind":"' || lang || '","deep":[{"excerpt":"' || CASE WHEN s THEN '[REDACTED]' ELSE source END || '"}]}' AS payload FROM (SELECT *, doc_id % 10 = 0 OR doc_id % 6 IN (2, 3, 4) AS s, doc_id % 4 = 0 AS o FROM documents)""",
 )
 def policy_release(spark, sf):
-    d = docs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    rows = d.select(F.col("doc_id").alias("job_id"), F.expr("CASE WHEN doc_id % 10 = 0 THEN 'LOCAL_ONLY' ELSE 'none' END").alias("confidentiality"), F.array(F.upper("classification")).alias("classifications"), (F.col("doc_id") % 4 == 0).alias("override"), F.col("lang").alias("payload"), F.lit(3).alias("artifacts"))
+    d = docs(spark, sf).select("doc_id", "classification").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    rows = d.select(F.col("doc_id").alias("job_id"), F.expr("CASE WHEN doc_id % 10 = 0 THEN 'LOCAL_ONLY' ELSE 'none' END").alias("confidentiality"), F.array(F.upper("classification")).alias("classifications"), (F.col("doc_id") % 4 == 0).alias("override"), F.to_json(F.struct(F.col("lang").alias("kind"), F.array(F.struct(F.col("source").alias("excerpt"))).alias("deep"))).alias("payload"), F.lit(3).alias("artifacts"))
     return governance.release(rows).withColumn("warnings", F.array_join("warnings", ","))
 
 
@@ -150,9 +150,15 @@ def classification_max(spark, sf):
     return w.join(b, "source")
 
 
-@query("payload_redaction_recursive")
+@query(
+    "payload_redaction_recursive",
+    """SELECT doc_id, '{"outer":{"paths":["[REDACTED]","[REDACTED]"],"deep":{"content":"[REDACTED]","kind":"' || lang || '"}},"path":"[REDACTED]","odd":{"path":"[REDACTED]","related_paths":["[REDACTED]"],"content":["' || lang || '"]}}' AS payload FROM documents""",
+)
 def payload_redaction_recursive(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(F.struct(F.array("source").alias("paths"), F.struct(F.col("text").alias("content"), F.col("lang").alias("kind")).alias("deep")).alias("outer"), F.col("source").alias("path"))).alias("payload"))
+    """Paths of every type and texts at several depths are hidden; a list under a text's key is not."""
+    outer = F.struct(F.array("source", "lang").alias("paths"), F.struct(F.col("text").alias("content"), F.col("lang").alias("kind")).alias("deep"))
+    odd = F.struct(F.struct("source").alias("path"), F.col("source").alias("related_paths"), F.array("lang").alias("content"))
+    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(outer.alias("outer"), F.col("source").alias("path"), odd.alias("odd"))).alias("payload"))
     return d.select("doc_id", governance.redact_json(F.col("payload")).alias("payload"))
 
 
@@ -180,14 +186,15 @@ def result_validation(spark, sf):
 
 def audit(spark, sf):
     c = table(spark, sf, "conversations")
-    e = c.select("conv_id", "turn", F.col("turn").cast("string").alias("at"), F.col("role").alias("actor"), "role", F.substring("text", 1, 12).alias("action"), F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("job_id"))
+    e = c.select("conv_id", "turn", F.col("turn").cast("string").alias("at"), F.col("role").alias("actor"), "role", F.col("text").alias("action"), F.lit("ok").alias("outcome"), F.concat(F.lit("j"), "conv_id").alias("job_id"), F.create_map(F.lit("turn"), F.col("turn").cast("string"), F.lit("by"), F.col("role")).alias("fields"))
     return governance.chained(e, "conv_id", "turn")
 
 
 @query(
     "audit_chain",
-    """WITH RECURSIVE e AS (SELECT conv_id, turn, turn || '|' || role || '|' || role || '|' || substr(text, 1, 12) || '|ok|' AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
-    h AS (SELECT conv_id, turn, n, '' AS prev_hash, sha256('|' || body) AS event_hash FROM e WHERE n = 1 UNION ALL SELECT e.conv_id, e.turn, e.n, h.event_hash, sha256(h.event_hash || '|' || e.body) FROM h JOIN e ON e.conv_id = h.conv_id AND e.n = h.n + 1)
+    """WITH RECURSIVE j AS (SELECT conv_id, turn, '{"timestamp":"' || turn || '","actor":' || to_json(role) || ',"role":' || to_json(role) || ',"action":' || to_json(text) || ',"outcome":"ok","job_id":"j' || conv_id || '","fields":{"by":' || to_json(role) || ',"turn":"' || turn || '"}' AS b FROM conversations),
+    e AS (SELECT conv_id, turn, replace(replace(replace(b, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM j),
+    h AS (SELECT conv_id, turn, n, '' AS prev_hash, sha256(body || '}') AS event_hash FROM e WHERE n = 1 UNION ALL SELECT e.conv_id, e.turn, e.n, h.event_hash, sha256(e.body || ',"prev_hash":"' || h.event_hash || '"}') FROM h JOIN e ON e.conv_id = h.conv_id AND e.n = h.n + 1)
     SELECT conv_id, turn, prev_hash, event_hash FROM h""",
 )
 def audit_chain(spark, sf):

@@ -1,5 +1,6 @@
 """Operators that SQL doesn't cover, on small inputs worked out by hand."""
 
+import hashlib
 import json
 import random
 
@@ -269,10 +270,33 @@ def test_release_and_audit(spark):
     assert governance.verify(good, "c", "turn").first().valid
     bad = good.withColumn("prev_hash", F.when(F.col("turn") == 2, F.lit("z")).otherwise(F.col("prev_hash")))
     assert tuple(governance.verify(bad, "c", "turn").first())[2:] == (False, 3, "prev_hash mismatch")
+    first = governance.chained(spark.createDataFrame([("c", 0, "2026-01-02T03:04:05Z", "a|b", "", "<x>&", "ok", "", {"z": "1", "b": "é"})], "c string, turn int, at string, actor string, role string, action string, outcome string, job_id string, fields map<string,string>"), "c", "turn").first()
+    assert first.event_hash == hashlib.sha256('{"timestamp":"2026-01-02T03:04:05Z","actor":"a|b","action":"\\u003cx\\u003e\\u0026","outcome":"ok","fields":{"b":"é","z":"1"}}'.encode()).hexdigest()
+    twins = spark.createDataFrame([("p", 0, "t", "a|b", "c", "x", "ok", ""), ("q", 0, "t", "a", "b|c", "x", "ok", "")], "c string, turn int, at string, actor string, role string, action string, outcome string, job_id string")
+    assert len({r.event_hash for r in governance.chained(twins, "c", "turn").collect()}) == 2
     r = spark.createDataFrame([("bad_task", "answer", 100, 5, ["_x"])], "task_type string, mode string, final_pack_budget int, runtime_s int, params array<string>")
     assert r.select(governance.request_errors().alias("e")).first().e == ["task_type", "final_pack_budget", "reserved_key"]
 
 
+@pytest.mark.parametrize(
+    "value,want",
+    [
+        ({"paths": "a/b", "path": {"x": "secret"}}, {"paths": ["[REDACTED]"], "path": "[REDACTED]"}),
+        ({"a": [{"Path": 1, "content": ["c", {"content": "d"}]}]}, {"a": [{"Path": "[REDACTED]", "content": ["c", {"content": "[REDACTED]"}]}]}),
+        ({"related_paths": [{"x": 1}, 2], "excerpt": 3, "raw_excerpt": "s"}, {"related_paths": ["[REDACTED]"] * 2, "excerpt": 3, "raw_excerpt": "[REDACTED]"}),
+        ([[{"source_text": "s"}]], [[{"source_text": "[REDACTED]"}]]),
+    ],
+)
+def test_hidden(value, want):
+    assert governance.hidden(value) == want
+
+
+def test_origins_of_long_chains_and_cycles(spark):
+    links = [(i, i - 1 if i else None) for i in range(300)] + [(1000, 999), (2000, 2001), (2001, 2000)]
+    got = {r.job_id: r.origin for r in jobs.origins(spark.createDataFrame(links, "job_id long, source_id long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {1000: 1000, 2000: None, 2001: None}
+
+
 def test_evaluation_and_incremental(spark):
     q = spark.createDataFrame([("a", 1.0, 0.5), ("b", 0.5, 1.0)], "query_id string, recall_at_10 double, reciprocal_rank double")
     m = evaluation.passed(evaluation.metrics(q, spark.createDataFrame([(9, 0, 1)], "valid int, invalid int, missing int"))).first()
