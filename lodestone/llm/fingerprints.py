@@ -8,12 +8,13 @@ Shingles are five words; a text of one to four words is one shingle. Words are s
 
 The document that follows is found without a global sort in one task: ids are dealt to ranges, each range knows its
 own order, and only the first id of each range is compared across ranges. What a document needs of its successor - a
-prefix and a sketch - travels to it; whole texts are shuffled once.
+prefix and a sketch - travels to it; whole texts are shuffled once, and each is sketched once.
 
 Defined results: null text is the empty text, with an empty sketch; two empty sketches have likeness 1, an empty one
 and another 0; a null doc_id has no successor, so its edited text only loses its tail and near_next is 0; where a
-doc_id repeats, its rows have the same successor, and the row with the least text hash stands for it as a successor;
-an empty table gives no rows; other columns are ignored.
+doc_id repeats, its rows have the same successor, and the row with the least text hash stands for it as a successor
+(equal texts tie, and give the same); very long texts are read whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,20 +40,29 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return F.transform(F.array(w), hashes)[0]
 
 
+def _limit(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale)
+
+
+def _kept(hashes: Column, scale: int) -> Column:
+    """Of sorted distinct hashes those below the limit, or the least where there are none."""
+    low = F.filter(hashes, lambda x: x < _limit(scale))
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(hashes, 1, 1))
+
+
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
-    """The sorted hashes in the lowest 1 / scale of the range."""
-    limit = F.lit(-(1 << 63) + (1 << 64) // scale)
+    """The sorted distinct hashes in the lowest 1 / scale of the range."""
 
     def keep(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < limit)
+        low = F.filter(h, lambda x: x < _limit(scale))
         return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(low)
 
     return F.transform(F.array(shingle_hashes(text, words)), keep)[0]
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of the shingles of two texts together: a stand-in of one goes as soon as the other has a hash below the limit."""
+    return F.transform(F.array(F.array_sort(F.array_union(a, b))), lambda u: _kept(u, scale))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,15 +98,24 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     # Bare columns where types allow: an alias makes two reads of one table look different, and the shuffle is not reused.
     base = docs.select(*(c if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))))
     text = F.coalesce("text", F.lit(""))
-    main = base.where("doc_id IS NOT NULL")  # shuffled once: sketches come after, as plans with lambdas are not reused
-    ids = base.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.char_length(text) / 4)).cast("int").alias("most"))
-    links = successors(ids, scratch).select(F.col("next_id"), F.col("id").alias("to_id"), "most")
-    sent = main.join(links, main["doc_id"] == links["next_id"]).select("to_id", F.struct(F.xxhash64(text).alias("h"), F.substring(text, F.lit(1), F.col("most")).alias("head"), sketch(text, scale=scale).alias("next_sketch")).alias("next"))
-    sent = sent.groupBy("to_id").agg(F.min("next").alias("next"))
-    rows = main.join(sent, main["doc_id"] == sent["to_id"], "left").select("doc_id", text.alias("text"), F.col("next.head").alias("head"), F.col("next.next_sketch").alias("next_sketch"))
-    lone = base.where("doc_id IS NULL").select("doc_id", text.alias("text"), F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
+    main = base.where("doc_id IS NOT NULL")  # shuffled once: bare columns, as plans with lambdas are not reused
+    # Each text's sketch is built in the scan and written; what travels afterwards is an eighth of the hashes.
+    made = scratch.write(main.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), sketch(text, scale=scale).alias("sketch"), F.floor(F.char_length(text) / 4).cast("int").alias("quarter")), "sketches")
+    ids = made.groupBy("id").agg(F.max("quarter").alias("most"))
+    of_id = made.groupBy("id").agg(F.min(F.struct("h", "sketch")).alias("least")).select("id", F.col("least.h").alias("h"), F.col("least.sketch").alias("sketch"))
+    links = scratch.write(successors(ids, scratch).select("next_id", F.col("id").alias("to_id"), "most"), "links")
+    heads = main.join(links, main["doc_id"] == links["next_id"]).select("to_id", F.struct(F.xxhash64(text).alias("h"), F.substring(text, F.lit(1), F.col("most")).alias("head")).alias("next"))
+    heads = heads.groupBy("to_id").agg(F.min("next").alias("next")).select("to_id", F.col("next.head").alias("head"))
+    after = of_id.join(links, of_id["id"] == links["next_id"]).select(F.col("to_id").alias("after_id"), F.col("sketch").alias("next_sketch"))
+    own = of_id.select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), F.col("sketch").alias("own_sketch"))
+    rows = main.join(heads, main["doc_id"] == heads["to_id"], "left").join(own, main["doc_id"] == own["own_id"], "left").join(after, main["doc_id"] == after["after_id"], "left")
+    rows = rows.select("doc_id", text.alias("text"), "head", "next_sketch", F.when(F.xxhash64(text) == F.col("own_h"), F.col("own_sketch")).alias("own_sketch"))
+    nothing = F.lit(None).cast("array<bigint>")
+    lone = base.where("doc_id IS NULL").select("doc_id", text.alias("text"), F.lit("").alias("head"), nothing.alias("next_sketch"), nothing.alias("own_sketch"))
     rows = rows.unionByName(lone).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.expr("cast(n_chars div 4 as int)"))
-    rows = rows.withColumn("sketch", sketch(F.col("text"), scale=scale)).withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - k), left(head, k))"))
+    # Only rows that repeat a doc_id with another text, and those without one, are sketched here.
+    rows = rows.withColumn("sketch", F.when(F.col("own_sketch").isNotNull(), F.col("own_sketch")).otherwise(sketch(F.col("text"), scale=scale)))
+    rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - k), left(head, k))"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), scale=scale))
     return rows.select(
         "doc_id",
