@@ -10,8 +10,9 @@ A language's n-grams are those that make up at least min_share of what it was ta
 teach_docs for each language; scoring reads every text whole.
 
 Defined results: null text, or text without a letter, is und with score 0; so is every text if nothing was taught.
-A null doc_id is neither held out nor taught. Ties go to the first language by code point. Empty tables give no rows.
-Columns but doc_id, text and lang are carried along by identified() and never read.
+A null doc_id is neither held out nor taught. Rows that repeat a doc_id are scored each, and taught each or not at all.
+Ties go to the first language by code point. Very long texts are read whole, a slice at a time. Empty tables give no
+rows. Columns but doc_id, text and lang are carried along by identified(), whatever their names, and never read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import bounded_batches, documents
+from lodestone.llm.scratch import Scratch, bounded_batches, documents
 from lodestone.llm.words import mix64
 
 ORDERS, HASHES, MIN_SHARE, TEACH_DOCS = (3, 4), 3, 2e-5, 3000
@@ -134,10 +135,10 @@ def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, min_share: float =
     languages = sorted(counts, key=lambda s: [ord(c) for c in s])
     if not languages:
         return LanguageFilters([], {n: np.zeros((16, 1), np.uint64) for n in orders}, hashes)
-    # The share of the hash range that holds teach_docs documents of each language.
-    limits = docs.sparkSession.createDataFrame([(i, s, min(1.0, teach_docs / counts[s])) for i, s in enumerate(languages)], "language int, lang string, part double")
+    # The share of the hash range that holds teach_docs documents of each language: literals, so the scan draws.
+    lookup = lambda of: F.create_map(*(F.lit(x) for i, s in enumerate(languages) for x in (s, of(i, s))))[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.lit("teach"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(limits, "lang").where(draw < F.col("part")).select("language", "text")
+    sample = known.where(draw < lookup(lambda i, s: min(1.0, teach_docs / counts[s]))).select(lookup(lambda i, s: i).alias("language"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = Alphabet()
@@ -165,11 +166,12 @@ def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, min_share: float =
         yield from out()
 
     seen = sample.mapInArrow(count, "language int, n int, gram long, times long").groupBy("language", "n", "gram").agg(F.sum("times").alias("times"))
-    seen = seen.persist()
+    scratch = Scratch(docs.sparkSession, "language")
+    seen = scratch.write(seen, "seen")
     totals = seen.groupBy("language", "n").agg(F.sum("times").alias("total"))
     kept = seen.join(totals, ["language", "n"]).where(F.col("times") >= F.col("total") * min_share).select("language", "n", "gram")
     found = kept.toPandas()  # 1 / min_share for each language and order at most
-    seen.unpersist()
+    scratch.drop("seen")
     words = -(-len(languages) // 64)
     rows = {}
     for n in orders:
