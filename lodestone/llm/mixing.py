@@ -1,14 +1,19 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words.
 
 Sizes are counted once and written. Source totals give targets (weights shared out, held at a multiple of the source's
-own size). The mix is then a number of equal blocks, which highest quotients target / (2 s + 1) hand to sources, and
-in the same way to the shards of a source, so a source that holds a third of all rows is many shards. Within a shard
+own size). The mix is then a number of equal blocks, which highest quotients target / (2 s + 1) hand to sources. A
+source whose target is too small for STEPS blocks a shard is served by smaller ones, halved until it isn't, beside the others
+of its block size; so a tiny source does not shrink the blocks of large ones. In the same way a source's blocks go to
+its wards of WARD shards, and a ward's to its shards, so a source that holds a third of all rows is many shards, and no
+task sees more than a ward's list of them. Within a shard
 documents lie end to end in a seeded order; a seeded permutation picks which of its blocks the quota takes. Blocks
 are taken once more each whenever a quota exceeds the number of blocks.
 
 Defined results: null text has size 0; the null source is a source of its own, last in order; documents of size 0
-take 0 words; an empty table gives no rows; equal rows are documents of their own; columns but doc_id, text and source
-are carried along by mixed() and never read. Results depend on the seed and the rows, not on partitions or order.
+take 0 words; an empty table gives no rows; equal rows are documents of their own; quotients that tie go to the earlier
+source, ward or shard; very long texts are counted whole and may lie in several blocks; columns but doc_id, text and
+source are carried along by mixed(), whatever their names, and never read (n_chars follows the text, where it is).
+Results depend on the seed and the rows, not on partitions or order.
 """
 
 from __future__ import annotations
@@ -20,16 +25,18 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import Scratch, bounded_batches, documents
+from lodestone.llm.scratch import Scratch, bounded_batches, documents, unused
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
-#: Documents of a shard, on average.
-SHARD_DOCS = 4096
-#: No block is larger; blocks shrink so that the smallest positive target still holds STEPS of them.
+#: Documents of a shard, on average, and shards of a ward.
+SHARD_DOCS, WARD = 4096, 1024
+#: No block is larger; a source's blocks are halved until its target holds STEPS of them for each shard.
 BLOCK_WORDS, STEPS = 4096, 256
+#: Sources whose row is broadcast, each a few dozen bytes; more are joined by shuffle.
+BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,6 +97,14 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def block_for(target: Fraction, block_words: int = BLOCK_WORDS) -> int:
+    """The largest block of block_words halved some times that target holds STEPS of; 1 if none is."""
+    block = block_words
+    while block > 1 and target < STEPS * block:
+        block //= 2
+    return block
+
+
 def apportion(sizes: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, shard_docs: int = SHARD_DOCS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """sizes: (row, source, size), row unique or equal rows alike -> row, source_size, target, taken, start, block, picks (the counts of the blocks it meets).
 
@@ -98,29 +113,37 @@ def apportion(sizes: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHT
     spark = sizes.sparkSession
     totals = {r["source"]: (r["size"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toLocalIterator()}
     goal = targets({s: v[0] for s, v in totals.items()}, weights, share, most)
-    least = min((t for t in goal.values() if t > 0), default=Fraction(1))
-    block = int(max(1, min(block_words, least // STEPS)))
     order = sorted(totals, key=lambda s: (s is None, [ord(c) for c in s or ""]))
-    seats = round(sum(goal.values()) / block)
-    quotas = sainte_lague([float(goal[s]) for s in order], seats, [most * (-(-totals[s][0] // block)) for s in order])
-    plan = [(i, s, totals[s][0], float(goal[s]), q, max(1, -(-totals[s][1] // shard_docs))) for i, (s, q) in enumerate(zip(order, quotas))]
-    sources = spark.createDataFrame(plan, "sid int, s string, source_size long, target double, quota long, shards int")
+    shards_of = {s: max(1, -(-totals[s][1] // shard_docs)) for s in order}
+    blocks, quotas = {s: block_for(goal[s] / shards_of[s], block_words) for s in order}, {}
+    for block in set(blocks.values()):
+        own = [s for s in order if blocks[s] == block]
+        seats = sainte_lague([float(goal[s]) for s in own], round(sum(goal[s] for s in own) / block), [most * (-(-totals[s][0] // block)) for s in own])
+        quotas |= dict(zip(own, seats))
+    plan = [(i, s, totals[s][0], float(goal[s]), quotas[s], blocks[s], shards_of[s]) for i, s in enumerate(order)]
+    sources = spark.createDataFrame(plan, "sid int, s string, source_size long, target double, quota long, block long, shards int")
+    sources = F.broadcast(sources) if len(plan) <= BROADCAST_SOURCES else sources
     placed = sizes.join(sources, F.col("source").eqNullSafe(F.col("s")), "inner").withColumn("seeded", F.xxhash64(F.lit(seed), "row", "size")).withColumn("shard", F.pmod(F.col("seeded"), F.col("shards")).cast("int"))
 
-    def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard").reset_index(drop=True)
-        blocks = -(-pdf["words"] // block)
-        pdf["shard_quota"] = np.array(sainte_lague(pdf["words"].astype(float).tolist(), int(pdf["quota"].iloc[0]), (most * blocks).tolist()), np.int64)
-        return pdf[["sid", "shard", "shard_quota"]]
+    def share_out(part: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(part).reset_index(drop=True)
+            seats = sainte_lague(pdf["words"].astype(float).tolist(), int(pdf["quota"].iloc[0]), (most * pdf["blocks"]).tolist())
+            return pdf[["sid", part]].assign(seats=np.array(seats, np.int64))
 
-    shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
-    shards = shards.groupBy("sid").applyInPandas(share_out, "sid int, shard int, shard_quota long")
+        return run
+
+    shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("block").alias("block"))
+    shards = shards.withColumn("ward", F.floor(F.col("shard") / WARD).cast("int")).withColumn("blocks", F.ceil(F.col("words") / F.col("block")))
+    wards = shards.groupBy("sid", "ward").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    wards = wards.groupBy("sid").applyInPandas(share_out("ward"), "sid int, ward int, seats long").withColumnRenamed("seats", "quota")
+    shards = shards.drop("quota").join(wards, ["sid", "ward"]).groupBy("sid", "ward").applyInPandas(share_out("shard"), "sid int, shard int, seats long").withColumnRenamed("seats", "shard_quota")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["seeded", "row", "size"]).reset_index(drop=True)
         size = pdf["size"].to_numpy(np.int64)
         end = np.cumsum(size)
-        start, total = end - size, int(end[-1])
+        start, total, block = end - size, int(end[-1]), int(pdf["block"].iloc[0])
         taken, picks = np.zeros(len(pdf), np.int64), [[]] * len(pdf)
         if total:
             times = chosen(-(-total // block), int(pdf["shard_quota"].iloc[0]), seed * 1_000_003 + int(pdf["sid"].iloc[0]) * 7919 + int(pdf["shard"].iloc[0]))
@@ -131,7 +154,7 @@ def apportion(sizes: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHT
         return pd.DataFrame({"row": pdf["row"], "size": size, "source_size": pdf["source_size"], "target": pdf["target"], "taken": taken, "start": start % block, "block": block, "picks": picks})
 
     out = "row " + dict(sizes.dtypes)["row"] + ", size long, source_size long, target double, taken long, start long, block long, picks array<long>"
-    rows = placed.join(shards, ["sid", "shard"]).select("sid", "shard", "seeded", "row", "size", "source_size", "target", "shard_quota")
+    rows = placed.join(shards, ["sid", "shard"]).select("sid", "shard", "seeded", "row", "size", "source_size", "target", "block", "shard_quota")
     return rows.groupBy("sid", "shard").applyInPandas(take, out)
 
 
@@ -170,33 +193,33 @@ def drawn(text: str, start: int, block: int, picks: list[int]) -> str:
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """docs as the mix takes them: text holds the words taken, repeats after a line break; documents of which none is taken go."""
+    """docs as the mix takes them: text holds the words taken, repeats after a line break; documents of which none is taken go.
+
+    A row is known by a hash of what it says, and equal rows by a number, so texts are shuffled once, by that hash.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # rows numbered by a key are joined by it and their number where they are
     scratch = Scratch(spark, "mixed")
-    named = docs.withColumn("_row", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00")), F.coalesce("text", F.lit("\x00"))), 256))
-    sizes = scratch.write(named.select(F.col("_row").alias("row"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    took = apportion(sizes, seed).where("taken > 0").select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("block").alias("_block"), F.col("picks").alias("_picks"))
-    took = took.withColumn("_nth", F.row_number().over(_equal_rows("_picks")))
-    own = named.withColumn("_nth", F.row_number().over(_equal_rows("doc_id")))
-    joined = own.join(took, ["_row", "_nth"]).drop("_row", "_nth")
+    row, nth, start, block, picks = unused(docs.columns, "row", "nth", "start", "block", "picks")
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    named = docs.withColumn(row, F.sha2(F.concat_ws("\x1f", own("doc_id"), own("source"), own("text")), 256))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = scratch.write(named.select(F.col(row).alias("row"), F.col("source").cast("string").alias("source"), words.alias("size")), "sizes")
+    took = apportion(sizes, seed).where("taken > 0").select(F.col("row").alias(row), F.col("start").alias(start), F.col("block").alias(block), F.col("picks").alias(picks))
+    number = lambda by: F.row_number().over(Window.partitionBy(row).orderBy(by))
+    joined = named.withColumn(nth, number("doc_id")).join(took.withColumn(nth, number(picks)), [row, nth]).drop(row, nth)
     keep, at = docs.columns, joined.columns.index("text")
     counts = [i for i, c in enumerate(keep) if c == "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(len(keep))]
-            start, block, picks = (batch.column(len(keep) + i).to_pylist() for i in range(3))
-            texts = [drawn(t.as_py(), *x) for t, *x in zip(batch.column(at), start, block, picks)]
+            lists = (batch.column(len(keep) + i).to_pylist() for i in range(3))
+            texts = [drawn(t.as_py(), *x) for t, *x in zip(batch.column(at), *lists)]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             for i in counts:
                 columns[i] = pa.array([len(t) for t in texts], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, names=keep)
 
     return joined.mapInArrow(run, docs.schema)
-
-
-def _equal_rows(by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_row").orderBy(by)
