@@ -17,7 +17,8 @@ most go to the driver.
 
 Defined results: null or blank text is the line break alone, one token; a null doc_id is scored, not held out and not
 learned from; without training documents every decision has probability 1/2; an empty table gives no rows; rows that
-repeat a doc_id are documents of their own; other columns are ignored.
+repeat a doc_id are documents of their own; equal texts have equal scores, unless a block cuts their sums in another
+order; a very long text is a block of its own, read whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ of samples. Reading drops pages whose checksum is wrong, finds the next page by
 a page is missing; it never fails on damaged bytes.
 
 Defined results: null text is the empty text; the payload always has 64 bytes at least; a null doc_id stays null; equal
-texts have equal containers, as stream numbers are fixed; an empty table gives no rows; other columns are ignored.
+texts have equal containers, as stream numbers are fixed; rows that repeat a doc_id are stored each; nothing is chosen, so
+nothing ties; very long texts are stored whole, in as many pages as they need; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

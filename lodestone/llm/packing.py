@@ -7,7 +7,8 @@ as boundary records, which sequences() alone brings together.
 
 Defined results: null text is the empty text; every document ends in the separator id and so has a token at least; an
 empty table gives no pieces; rows that repeat a doc_id are packed as documents of their own; a null doc_id stays null;
-all columns but doc_id and text are ignored.
+nothing is chosen, so nothing ties; very long texts are encoded whole and span as many windows as they need; all
+columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations

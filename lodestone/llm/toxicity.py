@@ -8,8 +8,9 @@ weights; the regression itself is one task over the bounded sample. Scoring read
 
 Defined results: null or empty text scores what the intercept gives; without labels of both kinds the score is the
 share of toxic labels, 0 if there are none; a document labelled more than once is toxic if any label says so; null
-labels don't count; a null doc_id is scored, not held out and never taught; empty tables give no rows; other columns
-are never read.
+labels don't count; a null doc_id is scored, not held out and never taught; rows that repeat a doc_id are scored each;
+n-grams that tie for the last feature are taken by bucket; very long texts are read whole, a slice at a time; empty
+tables give no rows; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations

@@ -7,13 +7,17 @@ a pattern has one row with its whole history, in which the as-of step finds the
 So a pattern with a long history multiplies no rows, and a host with a third of all captures is a skewed join that AQE
 splits.
 
+A prefix is a host and the beginning of a path up to a slash, as h.com/ab/; one without a final slash stands for that
+path and all below it, so h.com/ab holds h.com/ab and h.com/ab/c, but not h.com/abc. URLs without a path have no prefix. Hosts in brackets (IPv6) keep them.
+
 The most specific active entry decides: path prefixes before hosts before domains, longer before shorter, and allow
 before block.
 
 Defined results: null or malformed URLs have no host and match nothing; a null fetch time matches nothing; null patterns
 and events without a date are ignored; events of one pattern at one time count as one, a removal if any of them is; a
-second addition in a row changes nothing; captures that repeat an id are judged each; an empty list blocks nothing;
-other columns are ignored.
+second addition in a row changes nothing; captures that repeat an id are judged each; of rules that tie in all this the
+last by pattern, list and date decides; very long URLs are read whole; an empty list blocks nothing; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
 
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 RANKS = {"prefix": 3, "host": 2, "domain": 1}
 
@@ -49,10 +53,11 @@ def keys_of(host: Column, path: Column) -> Column:
     """array<struct<kind, key>> of all patterns that could match."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
-    # "/a/b/c" -> "", "a", "b", "c": the prefixes "/", "/a/", "/a/b/" and the whole path
+    # "/a/b/c" -> "", "a", "b", "c": the prefixes "", "/", "/a", "/a/", "/a/b", "/a/b/" and the whole path
     parts = F.split(path, "/")
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
-    prefixes = F.transform(F.array_distinct(F.array_append(heads, path)), lambda p: F.struct(F.lit("prefix").alias("kind"), F.concat(host, p).alias("key")))
+    closed = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    open_ = F.transform(closed, lambda c: F.substring(c, F.lit(1), F.length(c) - 1))
+    prefixes = F.transform(F.array_distinct(F.array_append(F.concat(closed, open_), path)), lambda p: F.struct(F.lit("prefix").alias("kind"), F.concat(host, p).alias("key")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key")))
     return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.concat(own, domains, F.when(path == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(prefixes)))
 
@@ -132,7 +137,7 @@ def op7_url_filters(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH p AS (
-  SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
+  SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)', 1) AS host,
          regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
          TIMESTAMP '2024-01-01' + to_minutes((page_id * 7919 % 43200)::BIGINT) AS fetched_at
   FROM pages
@@ -165,7 +170,7 @@ WITH p AS (
          count(*) OVER (PARTITION BY p.page_id) AS n_active
   FROM p JOIN spans s ON s.on_ AND s.since <= p.fetched_at AND (s.until IS NULL OR p.fetched_at < s.until) AND p.host <> '' AND
     CASE s.kind WHEN 'host' THEN p.host = s.pattern WHEN 'domain' THEN p.host = s.pattern OR ends_with(p.host, '.' || s.pattern)
-         ELSE starts_with(p.host || p.path, s.pattern) END
+         ELSE p.path <> '' AND (p.host || p.path = s.pattern OR starts_with(p.host || p.path, regexp_replace(s.pattern, '/$', '') || '/')) END
 )
 SELECT p.page_id, p.host, p.fetched_at, coalesce(h.n_active, 0)::BIGINT AS n_active, coalesce(h.action = 'block', FALSE) AS blocked,
        h.kind AS rule_kind, h.pattern AS rule, h.action AS rule_action, h.since

@@ -120,8 +120,8 @@ def test_line_index_merges_its_segments(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MERGE_AT", 2)
     docs = table(spark, [(i, f"{LINE}\nline of its own number {i:09d}", "en", "a") for i in range(6)])
     ix = line_dedup.LineIndex(spark, shard_keys=3)
-    for i in range(6):
-        ix.insert(docs.where(f"doc_id = {i}"))
+    for part in ("doc_id < 2", "doc_id = 2", "doc_id > 2"):
+        ix.insert(docs.where(part))
     ix.delete(docs.where("doc_id = 5").select("doc_id"))
     assert len(ix.rows) <= 2 and line_state(ix) == line_state(line_dedup.LineIndex(spark, shard_keys=3).insert(docs.where("doc_id < 5")))
 
@@ -146,6 +146,32 @@ def test_language_on_held_out(spark, sf_dir):
     assert len(got) > 20 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_grams(text, n):
+    """n-grams of the letters of a text, with one space for each run of anything else and at both ends."""
+    s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    s = " " + " ".join(s.split()) + " " if s.strip() else " "
+    return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+
+def test_language_equals_exact_sets_of_grams(spark, sf_dir, real):
+    """The filters against plain sets: shares differ by the filters' chance only, and so the language named is the same."""
+    taught, held = {}, {}
+    for r in real.collect():
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for n in language.ORDERS:
+                taught.setdefault((r.lang, n), Counter()).update(plain_grams(r.text, n))
+    for (lang, n), c in taught.items():
+        held.setdefault(lang, {})[n] = {g for g, k in c.items() if k >= language.MIN_SHARE * c.total()}
+    got = {r.doc_id: r for r in QUERIES["op2_language"](spark, sf_dir).collect()}
+    for r in real.collect():
+        grams = {n: plain_grams(r.text, n) for n in language.ORDERS}
+        total = max(1, sum(map(len, grams.values())))
+        shares = {lang: sum(g in sets[n] for n in grams for g in grams[n]) / total for lang, sets in held.items()}
+        best = max(sorted(shares), key=shares.get)
+        assert abs(got[r.doc_id].share - shares[best]) < 0.03 and got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_language_of_odd_rows(spark, odd, empty, real):
     model = language.teach(real)
     got = language.predict(odd, model).collect()
@@ -226,6 +252,39 @@ def test_toxicity_on_held_out(spark, sf_dir):
     assert all(r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_toxicity_equals_its_definition(spark, sf_dir):
+    """Features, ratios and scores against counts over plain sets; the weights against the gradient of the loss."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = toxicity.teach(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    alphabet = language.Alphabet()
+    own = {i: set(toxicity.buckets(alphabet(t or "")).tolist()) for i, t in text.items()}
+    seen = [Counter(b for i in y if y[i] == k for b in own[i]) for k in (0, 1)]
+    size = [sum(v == k for v in y.values()) for k in (0, 1)]
+    z = {}
+    for b in seen[0].keys() | seen[1].keys():
+        c, t = seen[0][b], seen[1][b]
+        share = (c + t + 1) / (sum(size) + 2)
+        if c + t > 2:
+            z[b] = abs(t / size[1] - c / size[0]) / math.sqrt(share * (1 - share) * (1 / size[0] + 1 / size[1]))
+    best = sorted((b for b in z if z[b] >= toxicity.LEAST_Z), key=lambda b: (-round(z[b], 9), b))[: toxicity.FEATURES]
+    assert sum(model.table >= 0) == len(best) and len(set(best) & set(np.flatnonzero(model.table >= 0).tolist())) >= 0.99 * len(best)
+    for b in np.flatnonzero(model.table >= 0).tolist():
+        assert math.isclose(model.ratios[model.table[b]], math.log(((seen[1][b] + 1) / (size[1] + 2)) / ((seen[0][b] + 1) / (size[0] + 2))), rel_tol=1e-9)
+    at = {b: int(model.table[b]) for b in np.flatnonzero(model.table >= 0).tolist()}
+    total = lambda i: sum(model.ratios[at[b]] * model.weights[at[b]] for b in own[i] if b in at) + model.intercept
+    for r in toxicity.score(docs, model).collect():
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total(r.doc_id))), rel_tol=1e-6, abs_tol=1e-9) and r.predicted == (r.score >= 0.7)
+    off = np.zeros(len(model.ratios))
+    for i, k in y.items():
+        for b in own[i]:
+            if b in at:
+                off[at[b]] += (1 / (1 + math.exp(-total(i))) - k) * model.ratios[at[b]] / len(y)
+    assert np.abs(off + 1e-4 * model.weights).max() < 0.02
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(odd, toxicity.teach(odd, none)).collect()} == {0.0}
@@ -283,6 +342,65 @@ def test_mixing_contract(spark, sf_dir, real):
     assert all(abs(taken[s] - want[s]) <= max(4, 0.02 * want[s]) for s in sizes)
 
 
+def brute_taken(rows, seed=0):
+    """rows (doc_id, size, source) -> words taken of each, word by word. Apportionment and block selection are tested by themselves."""
+    import xxhash
+
+    sizes = Counter()
+    for _, n, s in rows:
+        sizes[s] += n
+    goal = mixing.targets(dict(sizes))
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    block = {s: max([4096 >> k for k in range(13) if goal[s] >= 256 * (4096 >> k)], default=1) for s in order}
+    quota = {}
+    for b in set(block.values()):
+        own = [s for s in order if block[s] == b]
+        quota |= dict(zip(own, mixing.sainte_lague([float(goal[s]) for s in own], round(sum(goal[s] for s in own) / b), [2 * -(-sizes[s] // b) for s in own])))
+    out = {}
+    for sid, s in enumerate(order):
+        laid = []
+        for i, n, src in rows:
+            if src == s:
+                h = xxhash.xxh64(seed.to_bytes(4, "little"), seed=42).intdigest()
+                for v in (i, n):
+                    h = xxhash.xxh64(v.to_bytes(8, "little"), seed=h).intdigest()
+                laid.append((h - (h >> 63 << 64), i, n))
+        assert len(laid) <= mixing.SHARD_DOCS
+        words = [i for _, i, n in sorted(laid) for _ in range(n)]
+        out |= {i: 0 for _, i, _ in laid}
+        if words:
+            times = mixing.chosen(-(-len(words) // block[s]), quota[s], seed * 1_000_003 + sid * 7919)
+            for at, i in enumerate(words):
+                out[i] += int(times[at // block[s]])
+    return out
+
+
+def test_mixing_takes_what_a_word_by_word_count_takes(spark, sf_dir, real):
+    got = {r.doc_id: r for r in QUERIES["op5_mixing"](spark, sf_dir).collect()}
+    rows = [(r.doc_id, len((r.text or "").encode().split()), r.source) for r in real.collect()]
+    assert {i: r.size for i, r in got.items()} == {i: n for i, n, _ in rows}
+    assert {i: r.taken for i, r in got.items()} == brute_taken(rows)
+
+
+def test_a_tiny_source_leaves_large_blocks(spark):
+    rows = [(i, 2000, "big") for i in range(400)] + [(1000, 2, "tiny")]
+    got = mixing.apportion(spark.createDataFrame(rows, "row long, size long, source string")).collect()
+    assert {r.block for r in got if r.row < 1000} == {4096} and sum(len(r.picks) for r in got) < 2000
+    taken = Counter()
+    for r in got:
+        taken["tiny" if r.row == 1000 else "big"] += r.taken
+    want = mixing.targets({"big": 800_000, "tiny": 2})
+    assert abs(taken["tiny"] - want["tiny"]) <= 1 and abs(taken["big"] - want["big"]) <= 0.005 * want["big"]
+
+
+def test_mixed_carries_columns_of_any_name(spark):
+    names = ["_row", "_nth", "_START", "_picks", "_block", "seats", "ward"]
+    docs = spark.createDataFrame([(i % 40, " ".join(f"w{k}" for k in range(i % 40 + 3)), "ab"[i % 2], *["x"] * 7) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mixed(docs)
+    rows = got.collect()
+    assert got.columns == docs.columns and rows and all(r._picks == "x" and r.ward == "x" for r in rows)
+
+
 def test_mixing_of_odd_rows(spark, odd, empty):
     sizes = mixing.sized(odd).withColumnRenamed("doc_id", "row")
     got = mixing.apportion(sizes, shard_docs=3).collect()
@@ -372,6 +490,16 @@ def test_intervals_and_as_of(spark):
     assert url_filters.judge(c, e.limit(0)).where("blocked").count() == 0 and url_filters.judge(c.limit(0), e).count() == 0
 
 
+def test_url_prefixes_hosts_and_repeats(spark):
+    entry = [("l", "prefix", p, "block", "add", "2024-01-01") for p in ("h.com/ab", "h.com/x/", "g.com", "[::1]/a")] + [("l", "host", "[::1]", "block", "add", "2024-01-01")]
+    events = spark.createDataFrame(entry, "list string, kind string, pattern string, action string, change string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    urls = ["http://h.com/ab", "http://h.com/ab/c?d", "http://h.com/abc", "http://h.com/x", "http://h.com/x/", "http://g.com", "http://g.com/q", "http://[::1]:80/a/b", "http://[::1]/", "http://h.com/ab/" + "z/" * 5000]
+    captures = spark.createDataFrame([(i, u, "2024-02-02", "e") for i, u in [*enumerate(urls), (0, urls[0])]], "id long, url string, fetched_at string, row string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    got = url_filters.judge(captures, events).collect()
+    assert len(got) == len(urls) + 1 and sum(r.id == 0 for r in got) == 2
+    assert {r.id: r.rule for r in got} == {0: "h.com/ab", 1: "h.com/ab", 2: None, 3: None, 4: "h.com/x/", 5: None, 6: "g.com", 7: "[::1]/a", 8: "[::1]", 9: "h.com/ab"}
+
+
 # media
 
 
@@ -441,6 +569,48 @@ def test_fingerprints_of_real_documents(spark, sf_dir, real):
     assert len(got) == len(rows) and abs(np.mean(exact) - np.mean(seen)) < 0.03 and np.abs(np.array(exact) - seen).mean() < 0.08
 
 
+def plain_sketch(text, scale=fingerprints.SCALE):
+    """By the definition: chained XXH64 of each run of five words, as signed numbers."""
+    import re
+
+    import xxhash
+
+    words, hashes = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], set()
+    for k in range(max(1, len(words) - 4)) if words else ():
+        h = 42
+        for w in words[k : k + 5]:
+            h = xxhash.xxh64(w.encode(), seed=h).intdigest()
+        hashes.add(h - (h >> 63 << 64))
+    low = {h for h in hashes if h < -(1 << 63) + (1 << 64) // scale}
+    return low or set(sorted(hashes)[:1])
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_equal_their_definition(spark, sf_dir, real):
+    got = {r.doc_id: r for r in QUERIES["op9_fingerprints"](spark, sf_dir).collect()}
+    rows = real.orderBy("doc_id").collect()
+    as_text = lambda s: ",".join(f"{h & (1 << 64) - 1:X}" for h in sorted(s))
+    for r, nxt in zip(rows, rows[1:] + rows[:1]):
+        k = len(r.text) // 4
+        own, edited, after = plain_sketch(r.text), plain_sketch(r.text[: len(r.text) - k] + nxt.text[:k]), plain_sketch(nxt.text)
+        g = got[r.doc_id]
+        assert (g.fingerprint, g.edited_fingerprint) == (as_text(own), as_text(edited))
+        assert math.isclose(g.near_edited, plain_likeness(own, edited)) and math.isclose(g.near_next, plain_likeness(own, after))
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    texts = ["one two", "a b c d e f g", prose(7, 40), prose(8, 400), "", "short"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    sk = lambda c: fingerprints.sketch(F.col(c))
+    for r in pairs.select("a", "b", fingerprints.merge(sk("a"), sk("b")).alias("m")).collect():
+        both = plain_sketch(r.a) | plain_sketch(r.b)
+        low = {h for h in both if h < -(1 << 63) + (1 << 64) // fingerprints.SCALE}
+        assert set(r.m) == (low or set(sorted(both)[:1]))
+
+
 def test_fingerprints_of_odd_rows(spark, odd, empty):
     got = fingerprints.fingerprint_edits(odd).collect()
     assert len(got) == odd.count() and fingerprints.fingerprint_edits(empty).count() == 0
@@ -583,7 +753,14 @@ def test_pipeline_stages(spark, sf_dir, real):
 def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, sf_dir):
     import corpus_pipeline as c
 
-    for docs in (odd, empty):
-        for _, stage in c.STAGES:
-            docs = stage(spark, docs, sf_dir).cache()
-            docs.count()
+    names = {"score": "_gone", "size": "_row", "kept": "_keys"}
+    for docs, n in ((odd.withColumnsRenamed(names), odd.count()), (empty.withColumnsRenamed(names), 0)):
+        left = {}
+        for name, stage in c.STAGES:
+            before, docs = docs.columns, stage(spark, docs, sf_dir).cache()
+            left[name] = docs.count()
+            assert name == "packing" or docs.columns == before and all(r._gone == "x" and r._keys == "z" for r in docs.collect())
+        if n:  # four texts have no letter, and one is in no language
+            assert left["language"] == left["lines"] == n - 5 and left["near"] <= left["lines"] and left["mixing"] <= left["near"] and left["packing"] > 0
+        else:
+            assert set(left.values()) == {0}
