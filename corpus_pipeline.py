@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. A stage's result is written and
 read again as the next one's docs, so a lost executor costs no earlier stage.
+
+Defined results of every stage: null or empty texts, very long ones (read whole), ties and rows that repeat a doc_id are
+treated as the stage's operator says in its docstring; a document with a null doc_id goes through all stages, keeps all
+its lines and is no near duplicate; documents that repeat a doc_id go or stay together in the near stage, each with its
+own text elsewhere; all columns, whatever their names, come through every stage but the last; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import language, line_dedup, mixing, near_dedup, packing
-from lodestone.llm.scratch import Scratch, bounded_batches, documents
+from lodestone.llm.scratch import Scratch, bounded_batches, documents, unused
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +34,9 @@ def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document stays of each group of near duplicates, the one with the smallest doc_id. Shingles are of five words."""
     bounded_batches(spark)
     found = Scratch(spark, "kept").write(near_dedup.near_duplicates(docs, words=5), "kept")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_id,) = unused(docs.columns, "gone")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
