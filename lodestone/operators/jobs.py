@@ -253,3 +253,59 @@ def placement(nodes: DataFrame, queue: DataFrame) -> DataFrame:
     load = touching.groupBy("partition").agg(F.count_if(F.contains("state", F.lit("pending"))).alias("pending"), F.count_if(F.contains("state", F.lit("running")) & F.col("_n").isNotNull()).alias("running"))
     rows = have.join(load, "partition", "left").na.fill(0, ["pending", "running"])
     return rows.withColumn("score", F.col("idle") * 100 + F.col("mix") * 25 - F.col("pending") * 10 - F.col("running") * 5)
+
+
+def of_root(jobs: DataFrame, root: Column) -> DataFrame:
+    return jobs.where(F.col("root_job_id") == root)
+
+
+def listed(jobs: DataFrame) -> DataFrame:
+    """Jobs as a list shows them: by when they came, then by id."""
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("root_job_id").orderBy("created_at", "job_id")))
+
+
+def constraint_matches(constraint: Column, features: Column) -> Column:
+    """Any word of a constraint is part of a node's features; a blank constraint fits all."""
+    words = F.filter(F.transform(F.split(F.lower(constraint), "[&|,()]"), lambda w: F.trim(w)), lambda w: w != "")
+    return (F.trim(constraint) == "") | F.exists(words, lambda w: F.contains(F.lower(features), w))
+
+
+def gres_matches(gres: Column, accelerator: Column) -> Column:
+    """A node's resources name the accelerator as a GPU type."""
+    have, want = F.lower(F.trim(gres)), F.concat(F.lit("gpu:"), F.lower(F.trim(accelerator)))
+    named = F.endswith(have, want) | F.contains(have, F.concat(want, F.lit(":"))) | F.contains(have, F.concat(want, F.lit("("))) | F.contains(have, F.concat(want, F.lit(",")))
+    return (have != "") & (F.trim(accelerator) != "") & named
+
+
+def best_tier(candidates: DataFrame, group: str) -> DataFrame:
+    """candidates (group, place, tier, score or null) -> the tier of the highest score, the first of equal ones; the first tier where none has a score."""
+    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("place")).alias("first"), "tier")))
+    return candidates.groupBy(group).agg(best.alias("b"), F.min_by("tier", "place").alias("own")).select(group, F.coalesce("b.tier", "own").alias("tier"))
+
+
+def action_usage(actions: DataFrame) -> DataFrame:
+    """By root: retries, and the distinct chunks that were forced."""
+    return actions.groupBy("root_job_id").agg(F.count_if(F.col("action") == "retry").alias("retries"), F.count_distinct(F.when(F.col("action") == "force", F.col("chunk"))).alias("forced_chunks"))
+
+
+def allowed_artifacts(artifacts: Column, types: list[str]) -> Column:
+    """Of an array of structs those of allowed types."""
+    return F.filter(artifacts, lambda a: a["artifact_type"].isin(*types))
+
+
+def artifact_owner(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """requests (request_id, artifact_id, user, role), jobs (job_id, owner, created_at, artifacts: array<struct<artifact_id, path>>) -> the newest job with the artifact that the user may see, and its path; null where there is none."""
+    held = jobs.select("job_id", "owner", "created_at", F.explode("artifacts").alias("a")).select("job_id", "owner", "created_at", "a.artifact_id", "a.path")
+    hits = requests.join(held, "artifact_id").where(accessible(F.col("role"), F.col("user"), F.col("owner")))
+    newest = hits.groupBy("request_id").agg(F.max(F.struct("created_at", "job_id", "path")).alias("j")).select("request_id", "j.job_id", "j.path")
+    return requests.join(newest, "request_id", "left").select("request_id", "artifact_id", "job_id", "path")
+
+
+def live_records(services: DataFrame, tier: Column) -> DataFrame:
+    return services.where((F.col("tier") == tier) & F.col("state").isin("starting", "ready"))
+
+
+def reducer_requests(roots: DataFrame, children: DataFrame) -> DataFrame:
+    """roots (root_job_id, task_type, priority or null), children (root_job_id, job_id, shard_index, task_type, priority): the reducer's request, with what the root doesn't say taken from its first child, and the child ids in order."""
+    ids = children.groupBy("root_job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard_index", "job_id"))), lambda x: x["job_id"]).alias("child_ids"), F.min_by(F.struct("task_type", "priority"), F.struct("shard_index", "job_id")).alias("first"))
+    return roots.join(ids, "root_job_id").select("root_job_id", F.coalesce("task_type", "first.task_type").alias("task_type"), F.coalesce("priority", "first.priority").alias("priority"), "child_ids")

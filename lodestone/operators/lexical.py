@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.classes import chain
 from lodestone.functions.query import Features
+from lodestone.sources.scratch import Scratch
 
 # Path words too common to weigh.
 COMMON_PATH_TERMS = ["broker", "code", "gpu", "inspect", "inspection", "main", "model", "repo", "repository", "service", "worker"]
@@ -232,7 +233,8 @@ def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_in
     bonus = reduce(lambda a, b: a + b, chunk_bonuses(f).values())
     source = chunks
     # Texts are read once; what a chunk has of the query is a few numbers, which the joins below share.
-    chunks = chunks.select("chunk_id", "path", "symbol", "language", directory(F.col("path")).alias("directory"), bonus.alias("own"), term_hits(terms).alias("hits"), n_words().alias("n_words")).persist()
+    chunks = chunks.select("chunk_id", "path", "symbol", "language", directory(F.col("path")).alias("directory"), bonus.alias("own"), term_hits(terms).alias("hits"), n_words().alias("n_words"))
+    chunks = Scratch(source.sparkSession, "lexical").write(chunks, "chunks")
     found = postings(chunks, terms)
     scores = term_scores(found, inverse_frequency(found, chunks.count(), "chunk_id", terms))
     rows = chunks.drop("hits", "n_words").join(scores, "chunk_id", "left")

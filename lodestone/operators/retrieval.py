@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.classes import CODE_KINDS, ERROR_KINDS, chain, hits_directory
+from lodestone.operators.chunking import fixed_windows
 
 TOP, MOST_CANDIDATES = 24, 48
 DEBUG = r"trace|panic|error|fail"
@@ -106,17 +107,20 @@ def _containing(term: str):
     return lambda x: F.contains(x, F.lit(term))
 
 
-def grep_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Adds hits_here, lines of the chunk that contain a term, once for each term and case-sensitive, and hits_file, the same over the file."""
-    here = T.bound(T.lines(F.col("content")), lambda ls: total([F.size(F.filter(ls, _containing(t))) for t in terms])).cast("long")
-    counted = chunks.withColumn("hits_here", here)
-    files = counted.groupBy(F.col("input_id").alias("_file")).agg(F.sum("hits_here").alias("hits_file"))
-    return counted.join(files, F.col("input_id") == F.col("_file")).drop("_file")
+def line_hits(content: Column, terms: list[str]) -> Column:
+    """Lines that contain a term, once for each term and case-sensitive."""
+    return T.bound(T.lines(content), lambda ls: total([F.size(F.filter(ls, _containing(t))) for t in terms])).cast("long")
+
+
+def grepped_chunks(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """Chunks with hits_here, the line hits of the chunk, and hits_file, those of its document. Both are counted in the document's own row, so nothing is shuffled."""
+    counted = docs.withColumn("hits_file", line_hits(F.coalesce("content", F.lit("")), terms))
+    return fixed_windows(counted).withColumn("hits_here", line_hits(F.col("content"), terms))
 
 
 @strategy("ripgrep", "real")
 def grep(q: Query) -> tuple[Column, Column]:
-    """Needs the columns of grep_hits. Every hit in a file counts for all its chunks; without any, terms in the path count."""
+    """Needs the columns of grepped_chunks. Every hit in a file counts for all its chunks; without any, terms in the path count."""
     log, hits, here = F.col("input_type") == "log", F.col("hits_file"), F.col("hits_here")
     real = hits * 2.5 + here * 1.0 + F.when(log, F.least(hits, F.lit(3)) * 0.5).otherwise(0.0)
     in_path, in_log = T.times_contained(F.lower("path"), q.terms), F.when(log, T.times_contained(_content(), q.terms)).otherwise(0)
@@ -212,6 +216,12 @@ def merged(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> D
     )
 
 
+def hit_counts(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> DataFrame:
+    """(strategy, hits): the candidates of each strategy."""
+    rows = reduce(lambda a, b: a.unionByName(b), (candidates_of(chunks, q, n, order).select("strategy") for n in names))
+    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def fallback(chunks: DataFrame, q: Query, order: list[str], top: int = TOP) -> DataFrame:
     """The first chunks, for when no strategy found any."""
     extra = F.lit(0.0)

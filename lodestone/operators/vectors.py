@@ -67,3 +67,15 @@ def unknown_or_repeated(results: DataFrame, asked: DataFrame, id_: str = "chunk_
     unknown = results.join(asked, id_, "left_anti").select(id_, F.lit("unknown").alias("problem")).distinct()
     twice = results.groupBy(id_).count().where("count > 1").select(id_, F.lit("repeated").alias("problem"))
     return unknown.unionByName(twice)
+
+
+def chosen(vectors: DataFrame, ids: DataFrame, id_: str) -> DataFrame:
+    """The rows whose id is in a set, as of changed chunks."""
+    return vectors.join(ids, id_, "left_semi")
+
+
+def reranked(vectors: DataFrame, query: list[float], top: int, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
+    """The top by likeness to the question to 9 digits, ties in the order of ids; place counts from 1."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    scored = vectors.select(id_, F.round(dot(normalized(F.col(vector)), normalized(q)), 9).alias("score")).orderBy(F.desc("score"), id_).limit(top)
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), id_)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.query import Features, features
 from lodestone.operators import evaluation, lexical, retrieval, selection, vectors
+from lodestone.operators.chunking import fixed_windows
 from lodestone.operators.retrieval import Query
 from lodestone.plans.entities import CHUNKS, DOCS, chunks, docs, table
 
@@ -40,8 +41,7 @@ def strategy_query(name: str, strategy: str, q: Query, score_sql: str, extra: st
         SELECT doc_id, line_start::INT AS line_start, chunk_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, line_start) AS place FROM s WHERE score > 0) WHERE place <= 24""",
     )
     def run(spark, sf):
-        c = chunks(spark, sf)
-        c = retrieval.grep_hits(c, q.terms) if strategy == "ripgrep" else c
+        c = retrieval.grepped_chunks(docs(spark, sf), q.terms) if strategy == "ripgrep" else chunks(spark, sf)
         return retrieval.candidates_of(c, q, strategy, ORDER).select("doc_id", F.col("line_start").cast("int").alias("line_start"), "chunk_id", "score", F.col("rank").alias("place"))
 
     return run
@@ -77,11 +77,12 @@ MERGE = f"""{CHUNKS}{HITS}, x AS (SELECT *, lower(content) AS lc, lower(path) AS
 
 
 def found(spark, sf):
-    """Best candidates of ripgrep, bm25 and tree_sitter, with their chunks, which join late."""
-    c = retrieval.grep_hits(chunks(spark, sf), TERMS)
-    best = retrieval.best_candidates(retrieval.merged(c, ASK, ["ripgrep", "bm25", "tree_sitter"], ORDER))
+    """Best candidates of ripgrep, bm25 and tree_sitter, and the chunks of their documents, which are cut again only there."""
+    merged = retrieval.merged(retrieval.grepped_chunks(docs(spark, sf), TERMS), ASK, ["ripgrep", "bm25", "tree_sitter"], ORDER)
+    best = retrieval.best_candidates(merged)
     rows = best.select("chunk_id", "score", "came", "matched_strategies", "idx", "at.*")
-    return rows, chunks(spark, sf)
+    few = docs(spark, sf).join(F.broadcast(rows.select("doc_id").distinct()), "doc_id", "left_semi")  # 48 ids at most
+    return rows, fixed_windows(few)
 
 
 @query("retrieval_merge_topk", f"WITH {MERGE} SELECT chunk_id, score, strategies, idx::INT AS idx FROM best")
@@ -183,9 +184,9 @@ LEX = Features(["of the"], [], ["thshe_inner"], LEX_TERMS, LEX_TERMS, '"of the"
 LT = LEX.lexical
 
 
-def lex_chunks(spark, sf):
+def lex_chunks(spark, sf, lines: bool = False):
     c = chunks(spark, sf)
-    return c.select(F.concat_ws("#", "doc_id", "line_start").alias("chunk_id"), "path", "content", F.regexp_extract("content", "([A-Za-z]+)", 1).alias("symbol"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'go' ELSE 'shell' END").alias("language"))
+    return c.select(*(["line_start", "line_end"] if lines else []), F.concat_ws("#", "doc_id", "line_start").alias("chunk_id"), "path", "content", F.regexp_extract("content", "([A-Za-z]+)", 1).alias("symbol"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'go' ELSE 'shell' END").alias("language"))
 
 
 LEXC = f"""{CHUNKS}, lc AS (SELECT doc_id || '#' || line_start AS chunk_id, path, split_part(path, '/', 1) AS directory, regexp_extract(content, '([A-Za-z]+)', 1) AS symbol, lower(regexp_extract(content, '([A-Za-z]+)', 1) || chr(10) || content) AS t FROM chunks),

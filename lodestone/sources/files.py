@@ -9,9 +9,8 @@ from lodestone.functions.classes import EXCLUDED_DIRS, TEXT_ENDINGS, extension,
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Deals rows out by a key where they come in fewer pieces than there are cores, as a small file of one row group does. Large inputs have more pieces and stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    """Deals the rows of a table that is one small file out by a key, so that they are worked on by all cores. A table of several files is split by the scan, and stays as it is."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key) if len(rows.inputFiles()) == 1 else rows
 
 
 def file_path_of(uri: Column) -> Column:

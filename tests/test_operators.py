@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import classes as C
 from lodestone.functions import text as T
 from lodestone.functions.query import features
-from lodestone.operators import chunking, evaluation, governance, incremental, jobs, lexical, retrieval, selection, summaries, vectors
-from lodestone.sources import files
+from lodestone.operators import chunking, evaluation, governance, incremental, inspection, jobs, lexical, results, retrieval, selection, summaries, vectors
+from lodestone.sources import files, records
 from lodestone.streaming import heartbeats
 
 
@@ -343,3 +344,44 @@ def test_streams_equal_their_batch_twins(spark, sf_dir, tmp_path):
     q = heartbeats.into_table(heartbeats.timeouts(stream).select("job_id", "beats", "expired"), str(tmp_path / "out"), str(tmp_path / "ck2"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("job_id").distinct().count() == rows.select("job_id").distinct().count()
+
+
+def test_inspection_end_to_end(spark):
+    """Named code first, one excerpt a file before seconds, budgets kept; vectors and scores change what comes first."""
+    rows = [(f"c{i}", f"src/store{i}.go", f"Get{i}", "go", f"func Get{i}() reads the cache key {'cache ' * (i % 3)}\n" + "line\n" * 40, 1, 41) for i in range(8)]
+    rows += [("r1", "docs/readme.md", "", "markdown", "cache key", 1, 1), ("c0b", "src/store0.go", "More", "go", "cache key again", 42, 42)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, path string, symbol string, language string, content string, line_start int, line_end int")
+    got = inspection.inspect(chunks, "where is the cache key read in store5.go", inspection.Budgets(16000, 6000, 700)).orderBy("place").collect()
+    assert got[0].path == "src/store5.go" and {r.quality for r in got} == {"evidence_only"} and [r.place for r in got] == list(range(1, len(got) + 1))
+    assert len(json.dumps([{"place": r.place, "excerpt": r.excerpt} for r in got], separators=(",", ":"))) <= 3 * 700
+    index = spark.createDataFrame([(f"c{i}", [float(i == 3), 1.0]) for i in range(8)], "chunk_id string, embedding array<double>")
+    scores = spark.createDataFrame([(f"c{i}", float(i == 6)) for i in range(8)], "chunk_id string, score double")
+    both = inspection.inspect(chunks, "cache key", index=index, query_vector=[1.0, 0.0], scores=scores).orderBy("place").collect()
+    assert both[0].path == "src/store6.go" and both[0].quality == "answer_ready" and max(Counter(r.path for r in both).values()) <= 2
+    before = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2)], "chunk_id string, rrf_score double, rank int")
+    after = inspection.by_cross_encoder(before, spark.createDataFrame([("b", 2.0), ("a", 1.0)], "chunk_id string, score double"))
+    report = inspection.rerank_report(before, after, spark.createDataFrame([("b",)], "chunk_id string")).orderBy("candidate_rank").collect()
+    assert [tuple(r) for r in report] == [("a", 1, 2, False), ("b", 2, 1, True)]
+    assert inspection.inspect(chunks.limit(0), "cache key").count() == 0
+
+
+def test_records_of_odd_shapes(spark):
+    f = spark.createDataFrame([(1, "[]"), (2, "no json"), (3, '{"id":"x","v":1}'), (4, None), (5, '{"a":{"v":2}}')], "file int, text string")
+    assert sorted((r.file, r.id) for r in records.result_records(f.where("file in (1, 3, 5)"), "file").collect()) == [(3, "x"), (5, "a")]
+    assert records.job_store(f.where("file in (2, 4)")).count() == 0
+    un = lambda t: of_text(spark, t, records.unwrapped)
+    assert un('{"content":[{"text":"{\\"result\\":{\\"payload\\":{\\"a\\":1}}}"}]}') == '{"a":1}' and un('{"result":{"b":2}}') == '{"b":2}' and un('{"c":3}') == '{"c":3}'
+    there = spark.createDataFrame([("a", "no json"), ("b", '{"k":1}')], "path string, text string")
+    assert {r.path: r.text for r in records.optional(spark.createDataFrame([("a",), ("b",), ("c",)], "path string"), there).collect()} == {"a": "{}", "b": '{"k":1}', "c": "{}"}
+    v = spark.createDataFrame([(i, 100) for i in range(100)], "id int, size int")
+    got = records.upload_batches(v, "id", F.col("size"), 2, most=8, most_bytes=650).groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r.n for r in got) == 6 and sum(r.n for r in got) == 100
+
+
+def test_results_checks(spark):
+    with pytest.raises(Exception, match="must be positive"):
+        spark.sql("SELECT map('retrieval_token_budget', '0') m").select(*results.token_budgets(F.col("m"))).collect()
+    m = spark.createDataFrame([('{"children_total":4,"children_succeeded":3,"children_failed":1,"coverage_fraction":0.75}',)], "p string").select(results.reducer_metrics(F.col("p")).alias("r")).first().r
+    assert tuple(m) == (4, 3, 1, 0.75)
+    none = results.patch_plan(spark.createDataFrame([], "n int, path string, claim string, confidence double, evidence_id string")).first()
+    assert none.confidence == 0.3 and none.target_path is None and none.evidence_refs == []
