@@ -193,21 +193,45 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     return tokens.select("part", "local", "n_tokens", "doc_id", "ids").mapInArrow(cut, names + ", part int, ids binary" * with_ids)
 
 
-def sequences(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, separator: int = 0, pad: int = 0) -> DataFrame:
-    """The packed windows: (sequence_id, n_tokens, ids array<int>), the last one padded.
+def joined_pieces(pieces: DataFrame, window: int) -> DataFrame:
+    """(sequence_id, offset, ids, whole): pieces that follow each other in a task as one. A window that lies in one task is whole; what is left are boundary records, two for each end of a task at most."""
+    schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("whole", pa.bool_())])
 
-    A window is joined from its pieces by sequence_id; as windows hold window tokens at most, no group is large.
-    """
-    pieces = pack(docs, tokenizer_path, window, separator, with_ids=True).select("sequence_id", "offset", "ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, begin, parts, size, out = None, 0, [], 0, []
+        for batch in batches:
+            for sequence, offset, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if parts and (sequence != at or offset != begin + size):
+                    out.append((at, begin, b"".join(parts), size == window))
+                    parts, size = [], 0
+                if not parts:
+                    at, begin = sequence, offset
+                parts.append(ids)
+                size += len(ids) // 4
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((at, begin, b"".join(parts), size == window), schema)], schema=schema)
+
+    return pieces.select("sequence_id", "offset", "ids").mapInArrow(run, "sequence_id long, offset long, ids binary, whole boolean")
 
-    def join(pdf):
-        import pandas as pd
 
-        pdf = pdf.sort_values("offset")
-        ids = np.frombuffer(b"".join(pdf["ids"]), "<u4")
-        return pd.DataFrame({"sequence_id": [pdf["sequence_id"].iloc[0]], "n_tokens": [len(ids)], "ids": [np.concatenate([ids, np.full(window - len(ids), pad, "<u4")]).astype(np.int32)]})
+def sequences(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, separator: int = 0, pad: int = 0) -> DataFrame:
+    """The packed windows: (sequence_id, n_tokens, ids array<int>), the last one padded. Windows that lie in one task are cut in place; only boundary records meet by sequence_id, and no group is larger than a window."""
+    pieces = joined_pieces(pack(docs, tokenizer_path, window, separator, with_ids=True), window)
+    pieces = Scratch(docs.sparkSession, "sequences").write(pieces, "pieces")
 
-    return pieces.groupBy("sequence_id").applyInPandas(join, "sequence_id long, n_tokens long, ids array<int>")
+    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            full = [np.concatenate([x, np.full(window - len(x), pad, "<u4")]).astype(np.int32) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(full, pa.list_(pa.int32()))], names=["sequence_id", "n_tokens", "ids"])
+
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])
+    met = pieces.where("NOT whole").groupBy("sequence_id").agg(in_order.alias("parts"))
+    met = met.select("sequence_id", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x)).alias("ids"))
+    return pieces.where("whole").select("sequence_id", "ids").unionByName(met).mapInArrow(padded, "sequence_id long, n_tokens long, ids array<int>")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

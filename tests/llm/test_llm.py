@@ -230,7 +230,14 @@ def test_packing_of_odd_rows_over_partitions(spark, odd, empty):
     check_pieces(pieces, brute_pieces([(r.doc_id, r.text) for r in unique.collect()]), 64)
     whole = packing.sequences(unique, window=64).orderBy("sequence_id").collect()
     assert all(len(s.ids) == 64 for s in whole) and sum(s.n_tokens for s in whole) == sum(p.length for p in pieces)
-    assert packing.pack(empty).count() == 0
+    assert packing.pack(empty).count() == 0 and packing.sequences(empty).count() == 0
+    ids = brute_pieces([(r.doc_id, r.text) for r in unique.collect()])
+    for s in whole:
+        own = sorted((p for p in pieces if p.sequence_id == s.sequence_id), key=lambda p: p.offset)
+        want = [x for p in own for x in ids[p.doc_id][p.start : p.start + p.length]]
+        assert s.n_tokens == len(want) and s.ids == want + [0] * (64 - len(want))
+    pieces = packing.joined_pieces(packing.pack(unique, window=64, with_ids=True), 64)
+    assert pieces.where("NOT whole").count() <= 2 * 5 and pieces.where("whole").count() >= len(whole) - 5
 
 
 @pytest.mark.parametrize("text", ["a<|endoftext|>b c", "  two  spaces \n\n lines\t", "it's  we'll 'tis", "\x85\xa0 x y \x1c z", "mixed123abc ²³x_y__z.", "中文 и кириллица"])
