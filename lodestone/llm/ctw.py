@@ -12,8 +12,9 @@ documents.
 No model is broadcast. Documents are put into blocks; a block asks for what its own texts need, each word and each
 run of DEPTH + 1 bytes once, with its counts, as packed arrays by shard. A shard adds up counts over blocks, so a
 word that every document has is one entry for each block, and gives back one number for each entry. Trees are dealt
-by the two bytes next to the decision, so a tree below depth 2 lies in one shard; of the levels above, 65,536 nodes at
-most go to the driver.
+by the three bytes next to the decision: two of them name a group, the third one of its SPLIT shards, so a frequent
+pair of bytes is not one shard. Nodes of depth 2 are sums over a group's shards and go back to these alone; of the
+levels above, 65,280 nodes at most go to the driver.
 
 Defined results: null or blank text is the line break alone, one token; a null doc_id is scored, not held out and not
 learned from; without training documents every decision has probability 1/2; an empty table gives no rows; rows that
@@ -41,7 +42,9 @@ DEPTH = 5
 BLOCK = 8 << 20
 SLICE = 1 << 20
 END = np.uint64(0x9AE16A3B2F90404F)
-TEXT, WORD, GRAM, TOTAL = 0, 1, 2, 3
+TEXT, WORD, GRAM, TOTAL, TWO = 0, 1, 2, 3, 4
+#: Shards that share the trees of one group of two-byte contexts; bytes of text for each shard, about.
+SPLIT, SHARD_BYTES = 8, 16 << 20
 ASKED = "block long, kind int, shard int, doc_ids array<long>, learned array<boolean>, held array<boolean>, sizes array<long>, words array<long>, payload binary, keys binary, counts binary"
 TOLD = "block long, kind int, shard int, told binary"
 
@@ -122,8 +125,9 @@ def word_shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the two nearest bytes of context."""
-    return (mix64(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(shards)).astype(np.int64)
+    """By the two nearest bytes of context to a group, by the third to one of its SPLIT shards."""
+    two, three = keys >> np.uint64(8 * (DEPTH - 1)), keys >> np.uint64(8 * (DEPTH - 2))
+    return (mix64(two) % np.uint64(shards // SPLIT) * np.uint64(SPLIT) + mix64(three ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SPLIT)).astype(np.int64)
 
 
 def _dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -277,18 +281,35 @@ def tell_words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame({"block": [-1], "kind": [TOTAL], "shard": pdf["shard"].iloc[:1].to_numpy(), "told": [sums.tobytes()]})], ignore_index=True)
 
 
-def top_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the shard's trees give to depth 1."""
+def depth_two(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the shard's trees give to depth 2."""
     keys, total, _, _ = _gathered(pdf)
-    key, n0, n1, below = grow(keys, total, 2)[-1].up()
-    return pd.DataFrame({"node": key.astype(np.int64), "n0": n0, "n1": n1, "below": below})
+    key, n0, n1, below = grow(keys, total, 3)[-1].up()
+    return pd.DataFrame({"part": np.int32(pdf["shard"].iloc[0] // SPLIT), "node": key.astype(np.int64), "n0": n0, "n1": n1, "below": below})
 
 
-def top_levels(rows: pd.DataFrame) -> list[Nodes]:
-    """Depths 1 and 0 from the sums over all shards."""
+def _nodes(rows: pd.DataFrame) -> Nodes:
+    """Nodes from sums over shards."""
     rows = rows.sort_values("node")
-    one = Nodes(rows["node"].to_numpy(np.uint64), *(rows[c].to_numpy(float) for c in ("n0", "n1", "below")))
-    return [one, Nodes(*one.up())]
+    return Nodes(rows["node"].to_numpy(np.uint64), *(rows[c].to_numpy(float) for c in ("n0", "n1", "below")))
+
+
+def depth_one(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a group's nodes of depth 2 give to depth 1."""
+    key, n0, n1, below = _nodes(pdf).up()
+    return pd.DataFrame({"node": key.astype(np.int64), "n0": n0, "n1": n1, "below": below})
+
+
+def in_each_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A group's nodes of depth 2 as one row for each of its shards."""
+    rows = pdf.sort_values("node")
+    blob = b"".join(rows[c].to_numpy(t).tobytes() for c, t in (("node", np.int64), ("n0", float), ("n1", float), ("below", float)))
+    return pd.DataFrame({"block": -1, "kind": np.int32(TWO), "shard": np.arange(SPLIT, dtype=np.int32) + np.int32(SPLIT * pdf["part"].iloc[0]), "keys": blob, "counts": None})
+
+
+def _shared(blob: bytes) -> Nodes:
+    n = len(blob) // 32
+    return Nodes(np.frombuffer(blob, np.uint64, n), *(np.frombuffer(blob, float, n, 8 * n * i) for i in (1, 2, 3)))
 
 
 def score_block(pdf: pd.DataFrame, tokens: int, distinct: int, shards: int) -> pd.DataFrame:
@@ -330,21 +351,30 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK, shards: int | Non
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "ctw")
-    shards = shards or max(16, docs.rdd.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = SPLIT * max(1, shards or -(-size // (SPLIT * SHARD_BYTES)))
     asked = scratch.write(ask(docs, shards, block_bytes), "asked", **{"parquet.block.size": str(32 << 20)})
     keyed = asked.select("block", "kind", "shard", "keys", "counts")
     words = scratch.write(keyed.where(f"kind = {WORD}").groupBy("shard").applyInPandas(tell_words, TOLD), "words")
     sums = [np.frombuffer(r["told"], np.int64) for r in words.where(f"kind = {TOTAL}").select("told").toLocalIterator()]  # two numbers a shard
     tokens, distinct = (int(sum(int(s[i]) for s in sums)) for i in (0, 1))
     gram_rows = keyed.where(f"kind = {GRAM}")
-    tops = gram_rows.groupBy("shard").applyInPandas(top_nodes, "node long, n0 double, n1 double, below double")
-    tops = top_levels(tops.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas())
+    sums_of = [F.sum(c).alias(c) for c in ("n0", "n1", "below")]
+    two = gram_rows.groupBy("shard").applyInPandas(depth_two, "part int, node long, n0 double, n1 double, below double").groupBy("part", "node").agg(*sums_of)
+    two = scratch.write(two, "two")
+    one = _nodes(two.groupBy("part").applyInPandas(depth_one, "node long, n0 double, n1 double, below double").groupBy("node").agg(*sums_of).toPandas())  # 65,280 nodes at most
+    tops = [one, Nodes(*one.up())]
+    shared = two.groupBy("part").applyInPandas(in_each_shard, "block long, kind int, shard int, keys binary, counts binary")
 
     def tell_grams(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, total, inverse, ends = _gathered(pdf)
-        return _told(pdf, GRAM, log10_probability(keys, grow(keys, total, 2) + tops).astype(np.float32)[inverse], ends)
-
-    grams = gram_rows.groupBy("shard").applyInPandas(tell_grams, TOLD)
+        own, blobs = pdf[pdf["kind"] == GRAM], pdf.loc[pdf["kind"] == TWO, "keys"]
+        if not len(own):
+            return pd.DataFrame({"block": [], "kind": [], "shard": [], "told": []}).astype({"block": "int64", "kind": "int32", "shard": "int32"})
+        keys, total, inverse, ends = _gathered(own)
+        levels = grow(keys, total, 3) + [_shared(blobs.iloc[0] if len(blobs) else b"")] + tops
+        return _told(own, GRAM, log10_probability(keys, levels).astype(np.float32)[inverse], ends)
+
+    grams = gram_rows.unionByName(shared).groupBy("shard").applyInPandas(tell_grams, TOLD)
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("held", "array<boolean>"), ("sizes", "array<long>"), ("words", "array<long>"), ("payload", "binary"))]
     texts = asked.where(f"kind = {TEXT}").select("block", "kind", "shard", F.lit(None).cast("binary").alias("told"), "doc_ids", "held", "sizes", "words", "payload")
     parts = texts.unionByName(words.where(f"kind = {WORD}").unionByName(grams).select("block", "kind", "shard", "told", *empty))
