@@ -118,3 +118,12 @@ def dependencies_and_risks(files: DataFrame) -> DataFrame:
     deps = F.array_compact(F.array(F.when(F.col("go"), F.lit("Go toolchain")), F.when(F.col("py"), F.lit("Python 3")), F.when(F.col("slurm"), F.lit("Slurm"))))
     risks = F.array_compact(F.array(F.when(~F.col("broker"), F.lit("Repository does not yet contain a dedicated broker package.")), F.when(~F.col("tests"), F.lit("No tests directory was found."))))
     return rows.select("repo", deps.alias("dependencies"), F.when(F.size(risks) == 0, F.array(F.lit("Repository structure appears consistent with the current summary heuristics."))).otherwise(risks).alias("risks"))
+
+
+def reduce_repos(shards: DataFrame, group: str, order: str, limits: dict[str, int] | None = None, lead: int = 240) -> DataFrame:
+    """Shard summaries (summary, subsystems, entrypoints, dependencies, risks as arrays of strings) -> one row a group: each list in the order of shards, each entry once and a limited number of them; the first summary that says something leads, cut to lead characters."""
+    limits = {"subsystems": 5, "entrypoints": 10, "dependencies": 10, "risks": 10} | (limits or {})
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])
+    said = F.min_by("summary", F.when(F.trim("summary") != "", F.col(order)))
+    lists = [F.slice(F.array_distinct(F.flatten(in_order(c))), 1, n).alias(c) for c, n in limits.items()]
+    return shards.groupBy(group).agg(F.count(F.lit(1)).alias("shards"), F.substring(F.coalesce(said, F.lit("")), 1, lead).alias("summary"), *lists)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation, inspection, jobs, results, retrieval, vectors
+from lodestone.operators import evaluation, inspection, jobs, results, retrieval, summaries, vectors
 from lodestone.operators.incremental import key
 from lodestone.plans import entities as E
 from lodestone.plans import retrieval_queries as R
-from lodestone.plans.entities import DOCS, JOBS, docs, table
+from lodestone.plans.entities import DOCS, JOBS, LINES, docs, table
 from lodestone.sources import records
 
 QUERIES, SQL = {}, {}
@@ -261,6 +261,35 @@ def inspect_corpus(spark, sf):
     return inspection.inspect(R.lex_chunks(spark, sf, lines=True), R.LEX_QUERY, inspection.Budgets(16000, 6000, 4000))
 
 
+@query(
+    "repo_shard_reduce",
+    """WITH d AS (SELECT source, doc_id, left(text, 300) AS t, lang, doc_id % 5 AS k FROM documents), u AS (SELECT source, lang, min(doc_id) AS f FROM d GROUP BY 1, 2), r AS (SELECT source, 'risk' || k AS risk, min(doc_id) AS f FROM d GROUP BY 1, 2)
+    SELECT source, count(*) AS shards, left(arg_min(t, doc_id) FILTER (trim(t) <> ''), 240) AS summary, (SELECT string_agg(lang, ',' ORDER BY f) FROM u WHERE u.source = d.source) AS subsystems,
+    (SELECT string_agg(risk, ',' ORDER BY f) FROM (SELECT * FROM r WHERE r.source = d.source ORDER BY f LIMIT 3)) AS risks FROM d GROUP BY source""",
+)
+def repo_shard_reduce(spark, sf):
+    """Documents as the shards of their source."""
+    d = table(spark, sf, "documents")
+    none = F.array().cast("array<string>")
+    rows = d.select("source", "doc_id", F.substring("text", 1, 300).alias("summary"), F.array("lang").alias("subsystems"), none.alias("entrypoints"), none.alias("dependencies"), F.array(F.concat(F.lit("risk"), F.col("doc_id") % 5)).alias("risks"))
+    out = summaries.reduce_repos(rows, "source", "doc_id", {"risks": 3})
+    return out.select("source", "shards", "summary", F.array_join("subsystems", ",").alias("subsystems"), F.array_join("risks", ",").alias("risks"))
+
+
+@query(
+    "log_timeline",
+    f"""WITH {DOCS}, {LINES}, l AS (SELECT source, doc_id, left(ls[1], 32) AS a, left(coalesce(list_filter(ls, lambda x: regexp_matches(lower(x), 'error|failed|exception|fatal|undefined'))[-1], ls[-1]), 32) AS b FROM lines WHERE input_type = 'log'),
+    t AS (SELECT source, doc_id * 2 AS o, a AS x FROM l UNION ALL SELECT source, doc_id * 2 + 1, b FROM l)
+    SELECT source, count(*) // 2 AS shards, array_to_string(list(coalesce(x, '') ORDER BY o)[1:12], chr(10)) AS timeline FROM t GROUP BY source""",
+)
+def log_timeline(spark, sf):
+    """Start and failure of each log of a source, in order, twelve of them."""
+    d = docs(spark, sf).where("input_type = 'log'")
+    logs = summaries.log_summary(d.select("doc_id", "content")).join(d.select("doc_id", "source"), "doc_id")
+    out = summaries.reduce_logs(logs, "source", "doc_id")
+    return out.select("source", "shards", F.array_join(F.transform("timeline", lambda x: F.coalesce(x, F.lit(""))), "\n").alias("timeline"))
+
+
 def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -34,14 +34,22 @@ def count_terms(text: str, terms: list[str]) -> str:
     return "(" + " + ".join(f"contains({text}, '{t}')::INT" for t in terms) + ")"
 
 
-def strategy_query(name: str, strategy: str, q: Query, score_sql: str, extra: str = "", source: str = "chunks"):
+#: What stands before a text where documents are to look like code with open work.
+CODED = "CASE doc_id % 4 WHEN 0 THEN concat('# TODO ', source, chr(10)) WHEN 1 THEN concat('def f', doc_id, '():', chr(10), 'class K:', chr(10), '# fixme', chr(10)) WHEN 2 THEN concat('type T interface {', chr(10)) ELSE '' END"
+
+
+def strategy_query(name: str, strategy: str, q: Query, score_sql: str, extra: str = "", source: str = "chunks", coded: bool = False):
+    cut = CHUNKS.replace("text AS content FROM documents", f"concat({CODED}, text) AS content FROM documents") if coded else CHUNKS
+
     @query(
         name,
-        f"""WITH {CHUNKS}{extra}, s AS (SELECT chunk_id, doc_id, line_start, round({score_sql}, 3) AS score FROM (SELECT *, lower(content) AS lc, lower(path) AS lp FROM {source}))
+        f"""WITH {cut}{extra}, s AS (SELECT chunk_id, doc_id, line_start, round({score_sql}, 3) AS score FROM (SELECT *, lower(content) AS lc, lower(path) AS lp FROM {source}))
         SELECT doc_id, line_start::INT AS line_start, chunk_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, line_start) AS place FROM s WHERE score > 0) WHERE place <= 24""",
     )
     def run(spark, sf):
-        c = retrieval.grepped_chunks(docs(spark, sf), q.terms) if strategy == "ripgrep" else chunks(spark, sf)
+        d = docs(spark, sf)
+        d = d.withColumn("content", F.concat(F.expr(CODED), "content")) if coded else d
+        c = retrieval.grepped_chunks(d, q.terms) if strategy == "ripgrep" else fixed_windows(d)
         return retrieval.candidates_of(c, q, strategy, ORDER).select("doc_id", F.col("line_start").cast("int").alias("line_start"), "chunk_id", "score", F.col("rank").alias("place"))
 
     return run
@@ -56,8 +64,8 @@ strategy_query("strategy_substring", "bm25", ASK, f"{count_terms('lc', TERMS)} *
 strategy_query("strategy_log_signal", "bm25", Query("the un", "summarize_logs"), f"{count_terms('lc', ['the', 'un'])} * 2.0 + CASE WHEN input_type = 'log' THEN {LOG} ELSE 0 END")
 strategy_query("strategy_overlap", "embeddings", ASK, f"CASE WHEN input_type = 'document' THEN {count_terms('lc', TERMS)} * 0.6 ELSE 0 END")
 strategy_query("strategy_stack_trace", "stack_trace_path", DEBUG, "regexp_matches(lc, 'trace|panic|error|fail')::INT * 1.5 + contains(lp, 'src1/')::INT * 2.0")
-strategy_query("strategy_history", "git_diff_history", DEBUG, "(contains(lc, 'todo') OR contains(lc, 'fixme'))::INT * 0.75")
-strategy_query("strategy_code_structure", "tree_sitter", ASK, f"CASE WHEN input_type IN ('repo', 'file') THEN {CODE} ELSE 0 END")
+strategy_query("strategy_history", "git_diff_history", DEBUG, "(contains(lc, 'todo') OR contains(lc, 'fixme'))::INT * 0.75", coded=True)
+strategy_query("strategy_code_structure", "tree_sitter", ASK, f"CASE WHEN input_type IN ('repo', 'file') THEN {CODE} ELSE 0 END", coded=True)
 strategy_query("strategy_grep", "ripgrep", ASK, f"CASE WHEN hits > 0 THEN hits * 2.5 + here + CASE WHEN input_type = 'log' THEN least(hits, 3) * 0.5 ELSE 0 END ELSE {count_terms('lp', TERMS)} * 3.0 + CASE WHEN input_type = 'log' THEN {count_terms('lc', TERMS)} * 1.5 ELSE 0 END END", HITS, "grepped")
 strategy_query(
     "strategy_repo_structure",
