@@ -156,6 +156,12 @@ def manifest(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("token_estimate").alias("token_estimate"), F.count_distinct("path").alias("path_count"), *by_type)
 
 
+def first_paths(chunks: DataFrame, order: list[str], limit: int = 64) -> DataFrame:
+    """The first paths as they came, each once."""
+    firsts = chunks.groupBy("path").agg(F.min(F.struct(*order)).alias("came")).orderBy("came", "path").limit(limit)
+    return firsts.select("path", F.row_number().over(Window.orderBy("came", "path")).alias("place"))
+
+
 def path_counts(chunks: DataFrame, order: str, limit: int = 24) -> DataFrame:
     """The paths with most chunks, ties by first appearance."""
     return chunks.groupBy("path").agg(F.count(F.lit(1)).alias("chunk_count"), F.min(order).alias("first_seen")).orderBy(F.desc("chunk_count"), "first_seen").limit(limit)

@@ -77,6 +77,12 @@ def coverage(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("parent").agg(n.alias("children_total"), ready.alias("children_succeeded"), (n - ready).alias("children_failed"), (ready / n).alias("coverage_fraction"))
 
 
+def reducer_action(outcomes: DataFrame, waited_s: Column, deadline_s: int = 60) -> DataFrame:
+    """outcomes as of child_outcomes -> by parent what its reducer does now: reduce once no child is pending, partial when the deadline has passed, else wait."""
+    rows = outcomes.withColumn("_waited", waited_s).groupBy("parent").agg(F.count_if(F.col("outcome") == "pending").alias("pending"), F.max("_waited").alias("waited_s"))
+    return rows.withColumn("action", F.when(F.col("pending") == 0, "reduce").when(F.col("waited_s") >= deadline_s, "partial").otherwise("wait"))
+
+
 def reduce_logs(shards: DataFrame, group: str, order: str, findings: int = 8, steps: int = 8, timeline: int = 12) -> DataFrame:
     """Shard summaries (codes, next_steps, log_start, failure) -> one row a group: codes and steps in order of shards, each once."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation, inspection, jobs, results, retrieval, summaries, vectors
+from lodestone.operators import chunking, evaluation, inspection, jobs, results, retrieval, summaries, vectors
 from lodestone.operators.incremental import key
 from lodestone.plans import entities as E
 from lodestone.plans import retrieval_queries as R
@@ -290,6 +290,25 @@ def log_timeline(spark, sf):
     return out.select("source", "shards", F.array_join(F.transform("timeline", lambda x: F.coalesce(x, F.lit(""))), "\n").alias("timeline"))
 
 
+@query("chunk_first_paths", f"WITH {E.CHUNKS}, f AS (SELECT path, min(doc_id) AS came FROM chunks GROUP BY 1) SELECT path, row_number() OVER (ORDER BY came, path)::INT AS place FROM f QUALIFY place <= 64")
+def chunk_first_paths(spark, sf):
+    return chunking.first_paths(E.chunks(spark, sf), ["doc_id", "line_start"])
+
+
+@query(
+    "reducer_actions",
+    """WITH o AS (SELECT l_orderkey AS parent, count(DISTINCT l_linenumber) FILTER (l_linenumber = 3 OR l_linenumber % 5 = 4) AS pending, max(l_orderkey % 90) AS waited_s FROM lineitem GROUP BY 1)
+    SELECT parent, pending, waited_s, CASE WHEN pending = 0 THEN 'reduce' WHEN waited_s >= 60 THEN 'partial' ELSE 'wait' END AS action FROM o""",
+)
+def reducer_actions(spark, sf):
+    """Third lines have no result yet, and those after a multiple of five a broken one; second lines failed."""
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("parent"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("child"), "l_linenumber").dropDuplicates(["child"])
+    payload = F.when(F.col("l_linenumber") % 5 != 4, F.lit("{}"))
+    found = c.where("l_linenumber NOT IN (2, 3)").select("child", payload.alias("payload"))
+    states = c.where("l_linenumber = 2").select("child", F.lit("FAILED").alias("state"))
+    return summaries.reducer_action(summaries.child_outcomes(c.select("parent", "child"), found, states), F.col("parent") % 90)
+
+
 def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -15,7 +15,7 @@ from lodestone.functions import text as T
 from lodestone.functions.query import features
 from lodestone.operators import chunking, evaluation, governance, incremental, inspection, jobs, lexical, results, retrieval, selection, summaries, vectors
 from lodestone.sources import files, records
-from lodestone.streaming import heartbeats
+from lodestone.streaming import heartbeats, spool
 
 
 def one(spark, column, **values):
@@ -385,3 +385,18 @@ def test_results_checks(spark):
     assert tuple(m) == (4, 3, 1, 0.75)
     none = results.patch_plan(spark.createDataFrame([], "n int, path string, claim string, confidence double, evidence_id string")).first()
     assert none.confidence == 0.3 and none.target_path is None and none.evidence_refs == []
+
+
+def test_spool_claims_each_file_once(spark, tmp_path):
+    folder, out, held = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/held"
+    folder.mkdir()
+
+    def run():
+        stream = spool.requests(spark, f"file://{folder}", "id int, query string")
+        spool.consume(stream, lambda b: b.select("id", F.upper("query").alias("answer"), "spool_file"), out, held).awaitTermination()
+        return sorted((r.id, r.answer, r.spool_file) for r in spark.read.parquet(out).collect())
+
+    (folder / "a.json").write_text('{"id": 1, "query": "x"}\n')
+    assert run() == [(1, "X", "a.json")]
+    (folder / "b.json").write_text('{"id": 2, "query": "y"}\n')
+    assert run() == run() == [(1, "X", "a.json"), (2, "Y", "b.json")]
