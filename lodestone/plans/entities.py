@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as inputs: every type, class and file ending occurs."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+def docs(spark: SparkSession, sf_dir: str, few: DataFrame | None = None) -> DataFrame:
+    """documents as inputs: every type, class and file ending occurs. few: the doc_ids of a handful, which are picked in the scan."""
+    d = table(spark, sf_dir, "documents")
+    d = spread(d, "doc_id") if few is None else d.join(F.broadcast(few), "doc_id", "left_semi")
     return d.select(
         F.col("doc_id"),
         F.concat(F.lit("input_"), "doc_id").alias("input_id"),

@@ -10,6 +10,7 @@ from lodestone.operators import evaluation, lexical, retrieval, selection, vecto
 from lodestone.operators.chunking import fixed_windows
 from lodestone.operators.retrieval import Query
 from lodestone.plans.entities import CHUNKS, DOCS, chunks, docs, table
+from lodestone.sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -88,9 +89,8 @@ def found(spark, sf):
     """Best candidates of ripgrep, bm25 and tree_sitter, and the chunks of their documents, which are cut again only there."""
     merged = retrieval.merged(retrieval.grepped_chunks(docs(spark, sf), TERMS), ASK, ["ripgrep", "bm25", "tree_sitter"], ORDER)
     best = retrieval.best_candidates(merged)
-    rows = best.select("chunk_id", "score", "came", "matched_strategies", "idx", "at.*")
-    few = docs(spark, sf).join(F.broadcast(rows.select("doc_id").distinct()), "doc_id", "left_semi")  # 48 ids at most
-    return rows, fixed_windows(few)
+    rows = Scratch(spark, "found").write(best.select("chunk_id", "score", "came", "matched_strategies", "idx", "at.*"), "rows")  # read twice below
+    return rows, fixed_windows(docs(spark, sf, few=rows.select("doc_id").distinct()))  # 48 ids at most
 
 
 @query("retrieval_merge_topk", f"WITH {MERGE} SELECT chunk_id, score, strategies, idx::INT AS idx FROM best")
