@@ -140,7 +140,7 @@ def apportion(sizes: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHT
     shards = shards.drop("quota").join(wards, ["sid", "ward"]).groupBy("sid", "ward").applyInPandas(share_out("shard"), "sid int, shard int, seats long").withColumnRenamed("seats", "shard_quota")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seeded", "row", "size"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["seeded", "no_row", "row", "size"]).reset_index(drop=True)
         size = pdf["size"].to_numpy(np.int64)
         end = np.cumsum(size)
         start, total, block = end - size, int(end[-1]), int(pdf["block"].iloc[0])
@@ -151,11 +151,14 @@ def apportion(sizes: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHT
             upto = lambda x: reached[x // block] + np.append(times, 0)[x // block] * (x % block)
             taken = upto(end) - upto(start)
             picks = [times[a // block : -(-b // block)].tolist() for a, b in zip(start, end)]
-        return pd.DataFrame({"row": pdf["row"], "size": size, "source_size": pdf["source_size"], "target": pdf["target"], "taken": taken, "start": start % block, "block": block, "picks": picks})
-
-    out = "row " + dict(sizes.dtypes)["row"] + ", size long, source_size long, target double, taken long, start long, block long, picks array<long>"
-    rows = placed.join(shards, ["sid", "shard"]).select("sid", "shard", "seeded", "row", "size", "source_size", "target", "block", "shard_quota")
-    return rows.groupBy("sid", "shard").applyInPandas(take, out)
+        return pd.DataFrame({"row": pdf["row"], "no_row": pdf["no_row"], "size": size, "source_size": pdf["source_size"], "target": pdf["target"], "taken": taken, "start": start % block, "block": block, "picks": picks})
+
+    kind = dict(sizes.dtypes)["row"]
+    out = f"row {kind}, no_row boolean, size long, source_size long, target double, taken long, start long, block long, picks array<long>"
+    # A null among whole numbers would make pandas round them, so it goes as a flag.
+    known = F.coalesce("row", F.lit("0").cast(kind)).alias("row")
+    rows = placed.join(shards, ["sid", "shard"]).select("sid", "shard", "seeded", known, F.col("row").isNull().alias("no_row"), "size", "source_size", "target", "block", "shard_quota")
+    return rows.groupBy("sid", "shard").applyInPandas(take, out).withColumn("row", F.when(~F.col("no_row"), F.col("row"))).drop("no_row")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
