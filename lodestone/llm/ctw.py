@@ -45,7 +45,7 @@ END = np.uint64(0x9AE16A3B2F90404F)
 TEXT, WORD, GRAM, TOTAL, TWO = 0, 1, 2, 3, 4
 #: Shards that share the trees of one group of two-byte contexts; bytes of text for each shard, about.
 SPLIT, SHARD_BYTES = 8, 16 << 20
-ASKED = "block long, kind int, shard int, doc_ids array<long>, learned array<boolean>, held array<boolean>, sizes array<long>, words array<long>, payload binary, keys binary, counts binary"
+ASKED = "block long, kind int, shard int, doc_ids array<string>, learned array<boolean>, held array<boolean>, sizes array<long>, words array<long>, payload binary, keys binary, counts binary"
 TOLD = "block long, kind int, shard int, told binary"
 
 
@@ -226,7 +226,7 @@ def ask(docs: DataFrame, shards: int, block_bytes: int = BLOCK) -> DataFrame:
         import zstandard
 
         part, turn, hasher, packer = TaskContext.get().partitionId(), 0, WordHasher(), zstandard.ZstdCompressor(3)
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         names = ["block", "kind", "shard", "doc_ids", "learned", "held", "sizes", "words", "payload", "keys", "counts"]
 
         def block(rows: list) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,8 @@ def ask(docs: DataFrame, shards: int, block_bytes: int = BLOCK) -> DataFrame:
             sizes, words, learned = (np.array(x, np.int64) for x in ([len(r[3]) for r in rows], [r[4] for r in rows], [r[1] for r in rows]))
             learned = learned.astype(bool)
             number = (part << 32) + turn
-            out = [(number, TEXT, 0, [r[0] for r in rows], learned.tolist(), [r[2] for r in rows], sizes.tolist(), words.tolist(), packer.compress(payload), None, None)]
+            ids = [None if r[0] is None else str(r[0]) for r in rows]  # as text: a null among numbers would make pandas round them
+            out = [(number, TEXT, 0, ids, learned.tolist(), [r[2] for r in rows], sizes.tolist(), words.tolist(), packer.compress(payload), None, None)]
             token, doc = block_words(hasher, payload, words)
             keys, inverse = np.unique(token, return_inverse=True)
             counts = np.bincount(inverse, learned[doc], len(keys)).astype(np.int64)
@@ -342,7 +343,7 @@ def score_block(pdf: pd.DataFrame, tokens: int, distinct: int, shards: int) -> p
     score = np.zeros(n)
     for found, place, d in slices:
         score += np.bincount(d, logs[np.searchsorted(grams, found)][place], n)
-    ids = pd.array([None if i is None or i != i else int(i) for i in text["doc_ids"]], dtype="Int64")
+    ids = pd.array([None if i is None else int(i) for i in text["doc_ids"]], dtype="Int64")
     return pd.DataFrame({"doc_id": ids, "held_out": list(text["held"]), "n_tokens": words + 1, "n_known": known, "train_tokens": np.int64(tokens), "base_score": base, "score": score, "n_bytes": sizes - DEPTH, "bits_per_byte": -score / math.log10(2) / (sizes - DEPTH)})
 
 
@@ -375,7 +376,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK, shards: int | Non
         return _told(own, GRAM, log10_probability(keys, levels).astype(np.float32)[inverse], ends)
 
     grams = gram_rows.unionByName(shared).groupBy("shard").applyInPandas(tell_grams, TOLD)
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("held", "array<boolean>"), ("sizes", "array<long>"), ("words", "array<long>"), ("payload", "binary"))]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<string>"), ("held", "array<boolean>"), ("sizes", "array<long>"), ("words", "array<long>"), ("payload", "binary"))]
     texts = asked.where(f"kind = {TEXT}").select("block", "kind", "shard", F.lit(None).cast("binary").alias("told"), "doc_ids", "held", "sizes", "words", "payload")
     parts = texts.unionByName(words.where(f"kind = {WORD}").unionByName(grams).select("block", "kind", "shard", "told", *empty))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
