@@ -323,7 +323,8 @@ class LineIndex:
         lost = self.drops().select(F.col("doc_id").alias(id_), F.col("drop_keys").alias(keys))
         text = F.col("text").cast("string")
         rows = docs.join(lost, F.col("doc_id").cast("long") == F.col(id_), "left").withColumn(at, dropped(F.when(F.col(keys).isNotNull(), text), F.col(keys)))
-        kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col(at), i)), "\n")
+        stay = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(at)), lambda i: F.get(ls, i))  # noqa: E731  linear in the lines
+        kept = F.array_join(F.transform(F.array(F.split(text, "\n", -1)), stay)[0], "\n")
         return rows, F.when(F.col(at).isNull(), text).otherwise(kept), F.coalesce(F.size(at), F.lit(0)).cast("long")
 
     def clean(self, docs: DataFrame) -> DataFrame:
