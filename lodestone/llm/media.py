@@ -31,6 +31,7 @@ CONTINUED, FIRST, LAST = 1, 2, 4
 RATE, PACKET, STRETCH, UNIT = 8000, 4096, 16384, 64
 SAMPLES, CUES = 1, 2
 HEAD, HEAD_SIZE = "<4sBBqIIIB", 27
+SOUND = b"U8 MONO\0"
 INFO, INFO_SIZE, CUE = "<8sIBQ", 21, "<QI"
 #: Each byte with its bits in reverse.
 MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -99,8 +100,9 @@ def mux(streams: dict[int, list[Packet]]) -> bytes:
     return b"".join(out)
 
 
-def demux(data: bytes) -> tuple[dict[int, Stream], int]:
-    """Streams by number, and how many marks led to no sound page."""
+def logical_streams(data: bytes) -> tuple[list[Stream], int]:
+    """Streams as they begin, and how many marks led to no sound page. A last page ends a stream, and a first page or one after the last opens another of the same number, as where containers were joined."""
+    found: list[Stream] = []
     streams: dict[int, Stream] = {}
     partial: dict[int, list[bytes] | None] = {}
     expected: dict[int, int] = {}
@@ -118,7 +120,12 @@ def demux(data: bytes) -> tuple[dict[int, Stream], int]:
             bad += 1
             at += 4
             continue
-        s = streams.setdefault(serial, Stream(serial))
+        if serial not in streams or kind & FIRST or streams[serial].ended:
+            found.append(Stream(serial))
+            streams[serial] = found[-1]
+            partial.pop(serial, None)
+            expected.pop(serial, None)
+        s = streams[serial]
         s.pages += 1
         s.ended |= bool(kind & LAST)
         if number != expected.get(serial, 0):
@@ -143,7 +150,13 @@ def demux(data: bytes) -> tuple[dict[int, Stream], int]:
             done[-1].granule = granule
         s.packets += done
         at = end
-    return streams, bad
+    return found, bad
+
+
+def demux(data: bytes) -> tuple[dict[int, Stream], int]:
+    """The first stream of each number, and how many marks led to no sound page."""
+    found, bad = logical_streams(data)
+    return {s.serial: s for s in reversed(found)}, bad
 
 
 def timed(stream: Stream, rate: int = RATE) -> list[tuple[float, float]]:
@@ -165,22 +178,39 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def store(payload: bytes, n_bytes: int) -> bytes:
-    packets = [Packet(struct.pack(INFO, b"U8 MONO\0", RATE, 1, n_bytes), 0)]
+    packets = [Packet(struct.pack(INFO, SOUND, RATE, 1, n_bytes), 0)]
     packets += [Packet(payload[i : i + PACKET], min(i + PACKET, len(payload))) for i in range(0, len(payload), PACKET)]
     cues = [Packet(b"CUES\0\0\0\0", 0)]
     cues += [Packet(struct.pack(CUE, i, zlib.crc32(payload[i : i + STRETCH])), min(i + STRETCH, len(payload))) for i in range(0, len(payload), STRETCH)]
     return mux({SAMPLES: packets, CUES: cues})
 
 
+def _header(stream: Stream) -> tuple | None:
+    """What the header packet says; None where its page was lost."""
+    first = stream.packets[0].data if stream.packets else b""
+    return struct.unpack(INFO, first) if len(first) == INFO_SIZE and first[:8] == SOUND else None
+
+
 def load(media: bytes) -> tuple[bytes, dict]:
-    """The samples as read back and what the container says of them."""
-    streams, bad = demux(media)
-    sound = streams.get(SAMPLES, Stream(SAMPLES))
-    payload = b"".join([p.data for p in sound.packets[1:]])
-    info = struct.unpack(INFO, sound.packets[0].data) if sound.packets and len(sound.packets[0].data) == INFO_SIZE else (b"", RATE, 1, 0)
-    cues = [struct.unpack(CUE, p.data) for p in streams.get(CUES, Stream(CUES)).packets[1:]]
-    times = timed(sound, info[1])
-    return payload, {"rate": info[1], "n_bytes": info[3], "pages": sum(s.pages for s in streams.values()), "packets": len(sound.packets) - 1, "bad": bad, "lost": sum(s.lost for s in streams.values()), "seconds": times[-1][1] if times else 0.0, "cues": sum(zlib.crc32(payload[i : i + STRETCH]) == c for i, c in cues), "n_cues": len(cues)}
+    """The samples as read back and what the container says of them. Of joined containers, all samples in order."""
+    streams, bad = logical_streams(media)
+    parts, about = [], {"rate": RATE, "n_bytes": 0, "packets": 0, "seconds": 0.0, "cues": 0, "n_cues": 0}
+    cue_streams = [s for s in streams if s.serial == CUES]
+    for i, sound in enumerate(s for s in streams if s.serial == SAMPLES):
+        header = _header(sound)
+        packets = sound.packets[1:] if header else sound.packets
+        payload = b"".join([p.data for p in packets])
+        rate = header[1] if header and header[1] else RATE
+        cues = [struct.unpack(CUE, p.data) for p in cue_streams[i].packets if len(p.data) == struct.calcsize(CUE)] if i < len(cue_streams) else []
+        times = timed(sound if header else Stream(SAMPLES, [Packet(b""), *packets]), rate)
+        about["rate"] = rate
+        about["n_bytes"] += min(header[3], len(payload)) if header else 0
+        about["packets"] += len(packets)
+        about["seconds"] += times[-1][1] if times else 0.0
+        about["cues"] += sum(zlib.crc32(payload[at : at + STRETCH]) == crc for at, crc in cues)
+        about["n_cues"] += len(cues)
+        parts.append(payload)
+    return b"".join(parts), about | {"pages": sum(s.pages for s in streams), "bad": bad, "lost": sum(s.lost for s in streams)}
 
 
 def features(payload: bytes, about: dict) -> str:
