@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +85,31 @@ def reducer_action(outcomes: DataFrame, waited_s: Column, deadline_s: int = 60)
     return rows.withColumn("action", F.when(F.col("pending") == 0, "reduce").when(F.col("waited_s") >= deadline_s, "partial").otherwise("wait"))
 
 
+def first_entries(rows: DataFrame, group: str, order: str, limits: dict[str, int]) -> DataFrame:
+    """By group, for each column of arrays in limits: its entries in the order of rows, each once, so many of them. An entry's first place is found by an aggregate that combines before its shuffle, and only entries within the limit are collected, so no group is held as a whole."""
+    listed = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(c).alias("kind"), i.alias("pos"), x.alias("entry")))
+    placed = rows.select(F.col(group), F.col(order).alias("_order"), F.explode(F.concat(*map(listed, limits))).alias("_e"))
+    firsts = placed.groupBy(group, "_e.kind", "_e.entry").agg(F.min(F.struct("_order", "_e.pos")).alias("came"))
+    limit = reduce(lambda out, x: F.when(F.col("kind") == x[0], x[1]).otherwise(out), limits.items(), F.lit(0))
+    firsts = firsts.withColumn("_n", F.row_number().over(Window.partitionBy(group, "kind").orderBy("came", "entry"))).where((F.col("_n") <= max(limits.values())) & (F.col("_n") <= limit))
+    chosen = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("_n", "entry")))), lambda x: x["entry"]).alias(c)
+    return firsts.groupBy(group).agg(*map(chosen, limits))
+
+
+def _beside(rows: DataFrame, more: DataFrame, group: str, lists: list[str]) -> DataFrame:
+    """rows with the lists of their group, a null one too; empty where the group has none."""
+    more = more.withColumnRenamed(group, "_group")
+    found = rows.join(more, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    return found.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+
+
 def reduce_logs(shards: DataFrame, group: str, order: str, findings: int = 8, steps: int = 8, timeline: int = 12) -> DataFrame:
-    """Shard summaries (codes, next_steps, log_start, failure) -> one row a group: codes and steps in order of shards, each once."""
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])
-    times = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "log_start", "failure"))), lambda x: F.array(x["log_start"], x["failure"])))
-    rows = shards.groupBy(group).agg(F.count(F.lit(1)).alias("shards"), F.slice(F.array_distinct(F.flatten(ordered("codes"))), 1, findings).alias("codes"), F.slice(F.array_distinct(F.flatten(ordered("next_steps"))), 1, steps).alias("next_steps"), F.slice(times, 1, timeline).alias("timeline"))
+    """Shard summaries (codes, next_steps, log_start, failure) -> one row a group: codes and steps in order of shards, each once, and the times of the first shards."""
+    rows = shards.groupBy(group).agg(F.count(F.lit(1)).alias("shards"))
+    rows = _beside(rows, first_entries(shards, group, order, {"codes": findings, "next_steps": steps}), group, ["codes", "next_steps"])
+    early = shards.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order, "log_start", "failure"))).where(F.col("_n") <= -(-timeline // 2))
+    times = F.transform(F.array_sort(F.collect_list(F.struct("_n", "log_start", "failure"))), lambda x: F.array(x["log_start"], x["failure"]))
+    rows = _beside(rows, early.groupBy(group).agg(F.slice(F.flatten(times), 1, timeline).alias("timeline")), group, ["timeline"])
     said = F.when(F.size("codes") > 0, F.concat(F.lit("Aggregated "), F.col("shards"), F.lit(" log shard analyses. Primary classified issue: "), F.try_element_at("codes", F.lit(1)), F.lit("."))).otherwise(F.concat(F.lit("Aggregated "), F.col("shards"), F.lit(" log shard analyses with no merged findings.")))
     return rows.withColumn("summary", said)
 
@@ -129,7 +151,6 @@ def dependencies_and_risks(files: DataFrame) -> DataFrame:
 def reduce_repos(shards: DataFrame, group: str, order: str, limits: dict[str, int] | None = None, lead: int = 240) -> DataFrame:
     """Shard summaries (summary, subsystems, entrypoints, dependencies, risks as arrays of strings) -> one row a group: each list in the order of shards, each entry once and a limited number of them; the first summary that says something leads, cut to lead characters."""
     limits = {"subsystems": 5, "entrypoints": 10, "dependencies": 10, "risks": 10} | (limits or {})
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])
     said = F.min_by("summary", F.when(F.trim("summary") != "", F.col(order)))
-    lists = [F.slice(F.array_distinct(F.flatten(in_order(c))), 1, n).alias(c) for c, n in limits.items()]
-    return shards.groupBy(group).agg(F.count(F.lit(1)).alias("shards"), F.substring(F.coalesce(said, F.lit("")), 1, lead).alias("summary"), *lists)
+    rows = shards.groupBy(group).agg(F.count(F.lit(1)).alias("shards"), F.substring(F.coalesce(said, F.lit("")), 1, lead).alias("summary"))
+    return _beside(rows, first_entries(shards, group, order, limits), group, list(limits))
