@@ -194,18 +194,25 @@ def plan(task: str, types: set[str], requested: list[str] | None = None) -> tupl
     return run, [s for s in wanted if s not in there]
 
 
+def candidates(chunks: DataFrame, q: Query, names: list[str], order: list[str], top: int = TOP) -> DataFrame:
+    """The best chunks of each strategy, ties as the chunks came: (turn, strategy, rank, chunk_id, order, score, reasons). One scan scores for all strategies, and each task keeps top rows of each. Ids and keys only: contents join later."""
+
+    def scored(turn: int, name: str) -> Column:
+        score, why = STRATEGIES[name][0](q)
+        return F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("strategy"), F.round(score, 3).cast("double").alias("score"), why.alias("reasons"))
+
+    rows = chunks.select("chunk_id", *order, F.explode(F.filter(F.array(*(scored(i, n) for i, n in enumerate(names))), lambda s: s["score"] > 0)).alias("_s")).select("chunk_id", *order, "_s.*")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("score"), *order))).where(F.col("rank") <= top)
+
+
 def candidates_of(chunks: DataFrame, q: Query, name: str, order: list[str], top: int = TOP) -> DataFrame:
-    """The strategy's best chunks, ties as the chunks came. Ids and keys only: contents join later."""
-    score, why = STRATEGIES[name][0](q)
-    scored = chunks.select("chunk_id", *order, F.round(score, 3).alias("score"), why.alias("reasons")).where("score > 0")
-    best = scored.orderBy(F.desc("score"), *order).limit(top)
-    return best.withColumn("strategy", F.lit(name)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *order)))
+    """The best chunks of one strategy."""
+    return candidates(chunks, q, [name], order, top).drop("turn")
 
 
 def merged(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> DataFrame:
     """Candidates of all strategies by chunk_id: scores add up, reasons and strategies in the order of strategies."""
-    parts = [candidates_of(chunks, q, n, order).withColumn("turn", F.lit(i)) for i, n in enumerate(names)]
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    rows = candidates(chunks, q, names, order)
     by_turn = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", "rank", c))), lambda x: x[c])
     return rows.groupBy("chunk_id").agg(
         F.round(F.sum("score"), 3).alias("score"),
@@ -216,10 +223,21 @@ def merged(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> D
     )
 
 
+def executed(chunks: DataFrame, q: Query, types: set[str], order: list[str], requested: list[str] | None = None, budget: int = 64000) -> DataFrame:
+    """The whole plan: the strategies that fit the types of input, their merged candidates within the budget, and the first chunks instead where there are none."""
+    names, _ = plan(q.task, types, requested)
+    if not names:
+        found = fallback(chunks, q, order).withColumn("matched_strategies", F.array(F.lit("fallback")))
+        return found.select("chunk_id", "score", "matched_strategies", F.struct(*order).alias("at"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"))
+    found = best_candidates(merged(chunks, q, names, order), budget).select("chunk_id", "score", "matched_strategies", "at", "idx")
+    first = fallback(chunks, q, order).select("chunk_id", "score", F.array(F.lit("fallback")).alias("matched_strategies"), F.struct(*order).alias("at"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"), F.lit(1).alias("_any"))
+    any_found = found.select(F.lit(1).alias("_any")).limit(1)
+    return found.unionByName(first.join(any_found, "_any", "left_anti").drop("_any"))
+
+
 def hit_counts(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> DataFrame:
     """(strategy, hits): the candidates of each strategy."""
-    rows = reduce(lambda a, b: a.unionByName(b), (candidates_of(chunks, q, n, order).select("strategy") for n in names))
-    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("hits"))
+    return candidates(chunks, q, names, order).groupBy("strategy").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def fallback(chunks: DataFrame, q: Query, order: list[str], top: int = TOP) -> DataFrame:

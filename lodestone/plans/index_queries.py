@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.chunking import fixed_windows
 from lodestone.operators.lexical import index_contribution
 from lodestone.operators.lexical_index import LexicalIndex
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans.entities import CHUNKS, docs, table
-from lodestone.operators.chunking import fixed_windows
 from lodestone.sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
@@ -99,3 +100,41 @@ def lexical_fts_weighted(spark, sf):
     asked = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(0).alias("query_id"), F.lit(ASKED).alias("query"))
     found = index.search(asked, 256, WEIGHTS).select(F.col("id").alias("chunk_id"), F.col("score").alias("bm25"))
     return index_contribution(found).withColumn("index_score", F.round("index_score", 8))
+
+
+DIMS = 64
+COSINE = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+NEAREST = "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM p QUALIFY rank <= 10"
+
+
+def vectors_of(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+
+def asked_vectors(spark, sf) -> DataFrame:
+    """The questions: every hundredth vector."""
+    return vectors_of(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_index_topk", f"WITH p AS (SELECT q.vec_id AS query_id, a.vec_id AS id, {COSINE} AS score FROM embeddings q JOIN embeddings a ON q.vec_id % 100 = 0) {NEAREST}")
+def vector_index_topk(spark, sf):
+    """The ten nearest of all vectors for each question, from the cells that can hold them."""
+    index = VectorIndex(spark, f"{Scratch(spark, 'vectors').path}/index", DIMS)
+    index.build(vectors_of(spark, sf))
+    return index.search(asked_vectors(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "vector_index_upsert",
+    f"""WITH a AS (SELECT vec_id, CASE WHEN vec_id % 5 = 1 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    p AS (SELECT q.vec_id AS query_id, a.vec_id AS id, {COSINE} AS score FROM embeddings q JOIN a ON q.vec_id % 100 = 0) {NEAREST}""",
+)
+def vector_index_upsert(spark, sf):
+    """The same after vectors changed (their components reversed) and those of toxic documents were forgotten."""
+    index = VectorIndex(spark, f"{Scratch(spark, 'vectors').path}/index", DIMS)
+    rows = vectors_of(spark, sf)
+    index.build(rows)
+    gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    changed = rows.where("vec_id % 5 = 1").withColumn("embedding", F.reverse("embedding")).join(gone, F.col("vec_id") == F.col("id"), "left_anti")
+    index.add(changed, 1, gone)
+    return index.search(asked_vectors(spark, sf)).withColumn("score", F.round("score", 6))

@@ -99,6 +99,20 @@ def retrieval_merge_topk(spark, sf):
     return rows.select("chunk_id", "score", F.size("matched_strategies").cast("long").alias("strategies"), F.col("idx").cast("int").alias("idx"))
 
 
+@query("plan_fallback", f"WITH {CHUNKS}, s AS (SELECT chunk_id, doc_id, line_start, round(1.0 + CASE WHEN input_type IN ('repo', 'file') THEN {CODE} ELSE 0 END, 3) AS score FROM (SELECT *, lower(content) AS lc FROM chunks)), r AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_start) - 1 AS idx FROM s QUALIFY idx < 24) SELECT chunk_id, score, 'fallback' AS strategies, idx::INT AS idx FROM r")
+def plan_fallback(spark, sf):
+    """A plan of which no strategy finds anything gives the first chunks."""
+    out = retrieval.executed(fixed_windows(docs(spark, sf)), Query("qqqqzzzz", "propose_patch"), {"repo", "file"}, ORDER, ["bm25", "stack_trace_path"])
+    return out.select("chunk_id", "score", F.array_join("matched_strategies", ",").alias("strategies"), F.col("idx").cast("int").alias("idx"))
+
+
+@query("plan_executed", f"WITH {MERGE} SELECT chunk_id, score, strategies, idx::INT AS idx FROM best")
+def plan_executed(spark, sf):
+    """The default plan of a task over all types of input, in one scan."""
+    out = retrieval.executed(retrieval.grepped_chunks(docs(spark, sf), TERMS), ASK, {"log", "repo", "file", "document"}, ORDER)
+    return out.select("chunk_id", "score", F.size("matched_strategies").cast("long").alias("strategies"), F.col("idx").cast("int").alias("idx"))
+
+
 RERANK = f"""{MERGE}, j AS (SELECT b.*, c.path, c.content, c.input_type, c.line_end, c.chunk_hash, c.token_estimate FROM best b JOIN chunks c ON b.doc_id = c.doc_id AND b.line_start = c.line_start),
  r AS (SELECT *, round(score + CASE WHEN idx < 3 THEN 0.4 ELSE 0 END + CASE WHEN {count_terms('lower(path)', TERMS)} > 0 THEN 0.8 ELSE 0 END, 3) AS rerank_score FROM j),
  rr AS (SELECT *, row_number() OVER (ORDER BY rerank_score DESC, idx) AS place FROM r)"""
