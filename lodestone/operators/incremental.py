@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,40 @@ def unchanged_writes(new: DataFrame, stored: DataFrame, path: str, content: str)
 def newest(entries: DataFrame, group: list[str], order: str, keep: int) -> DataFrame:
     """The entries of each group that a cache of keep entries holds."""
     return entries.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order)))).where(F.col("_n") <= keep).drop("_n")
+
+
+def parent(path: Column) -> Column:
+    """The directory of a path; "" is the root's name, and the root has none."""
+    return F.when(path == "", F.lit(None).cast("string")).when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
+def tree_fingerprints(files: DataFrame, path: str = "path", digest: str = "digest") -> DataFrame:
+    """files (path, hex sha256) -> (path, level, entries, fingerprint) of every directory, the root's path being "".
+
+    A directory's fingerprint is the hash of how many entries it has and of the sums of their hashes in four lanes of 64
+    bits. Sums are combined before a shuffle and don't depend on order, so a directory of any size costs no group; a
+    change of a file changes its directories up to the root and no other. It tells whether work is still valid; it is
+    no proof against somebody who builds collisions of sums. A turn does one level of directories, from the deepest
+    up; turns are as many as a path is deep.
+    """
+    from lodestone.sources.scratch import Scratch
+
+    scratch = Scratch(files.sparkSession, "tree")
+    depth = lambda p: F.when(p == "", 0).otherwise(F.size(F.split(p, "/")))
+    entry = lambda name, h: F.sha2(F.concat_ws("\x00", F.substring_index(name, "/", -1), h), 256)
+    leaf = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.coalesce(F.col(digest), F.lit("")).alias("h"))
+    leaf = scratch.write(leaf.select(parent(F.col("path")).alias("directory"), entry(F.col("path"), F.col("h")).alias("e")), "leaves")
+    deepest = leaf.agg(F.max(depth(F.col("directory")))).first()[0]
+    lane = lambda i: F.sum(F.conv(F.substring("e", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
+    out, below = [], None
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        rows = leaf.where(depth(F.col("directory")) == level)
+        if below is not None:
+            rows = rows.unionByName(below.select(parent(F.col("path")).alias("directory"), entry(F.col("path"), F.col("fingerprint")).alias("e")))
+        sums = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("entries"), *(lane(i) for i in range(4)))
+        said = F.concat_ws("|", "entries", *(F.col(f"s{i}").cast("decimal(38,0)").cast("string") for i in range(4)))
+        below = scratch.write(sums.select(F.col("directory").alias("path"), F.lit(level).alias("level"), "entries", F.sha2(said, 256).alias("fingerprint")), f"level{level}")
+        out.append(below)
+    if not out:
+        return files.sparkSession.createDataFrame([], "path string, level int, entries long, fingerprint string")
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.chunk_store import ChunkStore
 from lodestone.operators.chunking import fixed_windows
+from lodestone.operators.incremental import tree_fingerprints
 from lodestone.operators.lexical import index_contribution
 from lodestone.operators.lexical_index import LexicalIndex
 from lodestone.operators.vector_index import VectorIndex
-from lodestone.plans.entities import CHUNKS, docs, table
+from lodestone.plans.entities import CHUNKS, DOCS, docs, table
 from lodestone.sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
@@ -138,3 +140,59 @@ def vector_index_upsert(spark, sf):
     changed = rows.where("vec_id % 5 = 1").withColumn("embedding", F.reverse("embedding")).join(gone, F.col("vec_id") == F.col("id"), "left_anti")
     index.add(changed, 1, gone)
     return index.search(asked_vectors(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def files_of(d: DataFrame) -> DataFrame:
+    return d.select("path", F.lit("").alias("language"), "content")
+
+
+def stored_twice(spark, sf) -> ChunkStore:
+    """A corpus and what became of it: files of toxic documents went, every sixth was revised, every seventh moved."""
+    store, d = ChunkStore(spark, f"{Scratch(spark, 'chunks').path}/store", lambda f: fixed_windows(f.withColumn("input_type", F.lit("file"))), "windows-1"), docs(spark, sf)
+    store.add(files_of(d), 0)
+    kept = d.join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    kept = kept.withColumn("content", F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Revised edition "), "content")).otherwise(F.col("content")))
+    store.add(files_of(kept.withColumn("path", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))), 1)
+    return store
+
+
+LATER = f"""{DOCS}, later AS (
+  SELECT CASE WHEN doc_id % 7 = 0 THEN 'moved/' ELSE '' END || path AS path, CASE WHEN doc_id % 6 = 0 THEN 'Revised edition ' ELSE '' END || content AS content
+  FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+)"""
+
+
+@query(
+    "chunk_incremental",
+    f"""WITH {LATER}, ls AS (SELECT path, CASE WHEN content = '' THEN [] ELSE string_split(CASE WHEN ends_with(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END, chr(10)) END AS ls FROM later),
+    w AS (SELECT *, unnest(range(0, ((len(ls) - 1) // 40 + 1)::BIGINT)) AS k FROM ls WHERE len(ls) > 0),
+    c AS (SELECT path, (k * 40 + 1)::INT AS line_start, least(k * 40 + 40, len(ls))::INT AS line_end, array_to_string(ls[(k * 40 + 1)::BIGINT : least(k * 40 + 40, len(ls))::BIGINT], chr(10)) AS content FROM w)
+    SELECT path, line_start, line_end, 'sha256:' || sha256(content) AS content_hash, greatest(1, (length(content) + 2) // 3)::INT AS token_estimate,
+      'chunk_' || left(sha256('corpus' || chr(0) || path || chr(0) || line_start || chr(0) || line_end || chr(0) || 0 || chr(0) || 'sha256:' || sha256(content)), 20) AS chunk_id FROM c""",
+)
+def chunk_incremental(spark, sf):
+    """The chunks of the corpus as it became, most of them not cut again."""
+    return stored_twice(spark, sf).chunks(1, "corpus").select("path", "line_start", "line_end", "content_hash", "token_estimate", "chunk_id")
+
+
+@query("chunk_incremental_reuse", f"WITH {LATER}, k AS (SELECT DISTINCT content FROM later), o AS (SELECT DISTINCT content FROM docs) SELECT (SELECT count(*) FROM later) AS files, count(*) FILTER (o.content IS NULL) AS cut, count(*) FILTER (o.content IS NOT NULL) AS reused FROM k LEFT JOIN o ON k.content = o.content")
+def chunk_incremental_reuse(spark, sf):
+    return stored_twice(spark, sf).reuse(1)
+
+
+SUMS = "sha256(concat_ws('|', count(*), " + ", ".join(f"sum(('0x' || substr(e, {16 * i + 1}, 16))::UBIGINT::HUGEINT)" for i in range(4)) + "))"
+
+
+@query(
+    "tree_fingerprints",
+    f"""WITH {DOCS}, f AS (SELECT 'corpus/' || source || '/' || (doc_id // 50) AS directory, doc_id || '.txt' AS name, sha256(content) AS digest FROM docs),
+    c AS (SELECT directory AS path, 3 AS level, count(*) AS entries, {SUMS} AS fingerprint FROM (SELECT directory, sha256(name || chr(0) || digest) AS e FROM f) GROUP BY directory),
+    b AS (SELECT p AS path, 2 AS level, count(*) AS entries, {SUMS} AS fingerprint FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS p, sha256(split_part(path, '/', -1) || chr(0) || fingerprint) AS e FROM c) GROUP BY p),
+    a AS (SELECT 'corpus' AS path, 1 AS level, count(*) AS entries, {SUMS} AS fingerprint FROM (SELECT sha256(split_part(path, '/', -1) || chr(0) || fingerprint) AS e FROM b)),
+    r AS (SELECT '' AS path, 0 AS level, count(*) AS entries, {SUMS} AS fingerprint FROM (SELECT sha256(path || chr(0) || fingerprint) AS e FROM a))
+    SELECT * FROM c UNION ALL SELECT * FROM b UNION ALL SELECT * FROM a UNION ALL SELECT * FROM r""",
+)
+def tree_fingerprint_rows(spark, sf):
+    """Fingerprints of all directories of documents laid out in a tree."""
+    d = docs(spark, sf).select(F.concat_ws("/", F.lit("corpus"), "source", F.expr("doc_id div 50"), F.concat("doc_id", F.lit(".txt"))).alias("path"), F.sha2("content", 256).alias("digest"))
+    return tree_fingerprints(d)
