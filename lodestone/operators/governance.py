@@ -118,22 +118,23 @@ def event_json(events: DataFrame) -> Column:
     return text
 
 
-def chained(events: DataFrame, chain_id: str, order: str, seed: str = "") -> DataFrame:
-    """Adds prev_hash and event_hash: the SHA-256 of an event's JSON with the hash before it. Each hash needs the one before, so a chain streams through one task, and only its hash is held."""
+def chained(events: DataFrame, chain_id: str, order: str, seed: str | Column = "") -> DataFrame:
+    """Adds prev_hash and event_hash: the SHA-256 of an event's JSON with the hash before it. Each hash needs the one before, so a chain streams through one task, and only its hash is held. seed: the hash before a chain's first event, for all or by a Column."""
 
-    def step(last: str, body: str) -> tuple:
+    def step(last: str | None, body: str, begin: str) -> tuple:
+        last = begin if last is None else last
         said = body[:-1] + (f',"prev_hash":"{last}"' if last else "") + "}"
         now = hashlib.sha256(said.encode()).hexdigest()
         return now, (last, now)
 
-    rows = events.withColumn("_body", event_json(events))
-    return in_order(rows, chain_id, [order], ["_body"], {"prev_hash": ("string", pa.string()), "event_hash": ("string", pa.string())}, lambda: seed, step).drop("_body")
+    rows = events.withColumn("_body", event_json(events)).withColumn("_seed", F.lit(seed) if isinstance(seed, str) else seed)
+    return in_order(rows, chain_id, [order], ["_body", "_seed"], {"prev_hash": ("string", pa.string()), "event_hash": ("string", pa.string())}, lambda: None, step).drop("_body", "_seed")
 
 
-def verify(events: DataFrame, chain_id: str, order: str, seed: str = "") -> DataFrame:
+def verify(events: DataFrame, chain_id: str, order: str, seed: str | Column = "") -> DataFrame:
     """By chain: events, whether it holds, and the first line that fails and why. Each line is checked against the line before, so chains split over tasks by their key only."""
     w = Window.partitionBy(chain_id).orderBy(order)
-    rows = events.withColumn("line", F.row_number().over(w)).withColumn("_before", F.lag("event_hash", 1, seed).over(w))
+    rows = events.withColumn("line", F.row_number().over(w)).withColumn("_before", F.coalesce(F.lag("event_hash").over(w), F.lit(seed) if isinstance(seed, str) else seed))
     before = F.when(F.col("prev_hash") != "", F.concat(F.lit(',"prev_hash":"'), "prev_hash", F.lit('"'))).otherwise("")
     said = F.concat(F.regexp_replace(event_json(events), "\\}$", ""), before, F.lit("}"))
     reason = chain([(F.col("prev_hash") != F.col("_before"), "prev_hash mismatch"), (F.col("event_hash") != F.sha2(said, 256), "event_hash mismatch")], F.lit(None).cast("string"))
