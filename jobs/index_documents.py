@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from jobs.common import command_line, config_of, log, table_at
 from lodestone.operators.chunking import fixed_windows
 from lodestone.operators.lexical_index import LexicalIndex
+from lodestone.sources import files
 
 SOURCE = "doc_id long, text string, lang string, source string"
 DOCUMENTS = "doc_id long, digest string, turn int"
@@ -77,16 +78,10 @@ def take_turn(batch: DataFrame, turn: int, target: str, config: dict) -> None:
         changed.unpersist()
 
 
-def listed(source: str) -> str:
-    """A pattern that only the path itself matches. A stream takes a plain path for a folder, and what a pattern matches for a folder or a file."""
-    return source if set(source) & set("*?[]{}\\") else f"{source[:-1]}[{source[-1]}]" if source[-1].isalnum() else source
-
-
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, config: dict | None = None) -> DataFrame:
     """Takes what is new in source into target and returns the chunks that are up to date, with their words in the index."""
     config = config_of("index_documents", config)
-    stream = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", config["files_per_turn"]).parquet(listed(source))
-    stream = stream.withColumn("seen", F.col("_metadata.file_modification_time"))
+    stream = files.stream(spark, source, SOURCE, config["files_per_turn"]).withColumn("seen", F.col("_metadata.file_modification_time"))
     query = stream.writeStream.foreachBatch(lambda batch, turn: take_turn(batch, turn, target, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("source %s: %d turns in this run; target %s", source, sum(p["numInputRows"] > 0 for p in query.recentProgress), target)

@@ -103,13 +103,18 @@ MARKERS = {
 }
 
 
+def line_numbers(text: str, places: list[int]) -> list[int]:
+    """The line of each place, from 1 on; the breaks are found once."""
+    breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+    return (1 + np.searchsorted(breaks, places, "left")).tolist()
+
+
 def matched_markers(text: str, language: str) -> dict[int, str]:
     """Line and name of each declaration that the language's pattern finds; leading blank lines belong to a declaration, which stands at the second of them where it begins with one."""
+    named = [(m.start() + 1, name) for m in re.compile(MARKERS[language], re.MULTILINE).finditer(text) if (name := next(filter(None, m.groups()), None))]
     found: dict[int, str] = {}
-    for m in re.compile(MARKERS[language], re.MULTILINE).finditer(text):
-        name = next(filter(None, m.groups()), None)
-        if name:
-            found.setdefault(1 + text.count("\n", 0, m.start() + 1), name)
+    for line, (_, name) in zip(line_numbers(text, [at for at, _ in named]), named):
+        found.setdefault(line, name)
     return found
 
 
@@ -124,7 +129,8 @@ def python_markers(text: str) -> dict[int, str]:
         if tops is not None:
             methods = ((m.lineno, f"{c.name}.{m.name}") for c in tops if isinstance(c, ast.ClassDef) for m in c.body if isinstance(m, DECLARED[:2]))
             return dict([*methods, *((n.lineno, n.name) for n in tops)])
-    return {1 + text.count("\n", 0, m.start()): m[2] for m in matches if not m[1]}
+    tops = [m for m in matches if not m[1]]
+    return dict(zip(line_numbers(text, [m.start() for m in tops]), (m[2] for m in tops)))
 
 
 def _markers(texts: pa.Array, languages: pa.Array) -> pa.Array:

@@ -22,10 +22,20 @@ def stable_params(params: Column) -> Column:
     return F.array_sort(F.map_entries(F.map_filter(params, lambda k, v: ~k.startswith("_") & (k != "client_nonce"))))
 
 
-def fingerprint(rows: DataFrame, group: list[str], order: str, fields: list[str]) -> DataFrame:
-    """A hash of a group's rows in order. Row hashes are combined, so what is collected is 64 characters a row."""
-    row = F.sha2(F.concat_ws("\x1f", *fields), 256)
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("entries"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("h")))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+def hash_sums(digest: Column) -> list[Column]:
+    """Sums of a hex SHA-256 in four lanes of 64 bits: a fingerprint of a bag of hashes that any number of tasks can add up in any order."""
+    return [F.sum(F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)]
+
+
+def summed() -> Column:
+    """The hash of the number of entries and of their hash_sums."""
+    return F.sha2(F.concat_ws("|", "entries", *(F.col(f"s{i}").cast("string") for i in range(4))), 256)
+
+
+def fingerprint(rows: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
+    """A hash of a group's rows, whatever their order; no group is collected."""
+    sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("entries"), *hash_sums(F.sha2(F.concat_ws("\x1f", *fields), 256)))
+    return sums.select(*group, "entries", summed().alias("fingerprint"))
 
 
 def diff(old: DataFrame, new: DataFrame, id_: str, signature: str) -> DataFrame:
@@ -76,15 +86,13 @@ def tree_fingerprints(files: DataFrame, path: str = "path", digest: str = "diges
     leaf = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.coalesce(F.col(digest), F.lit("")).alias("h"))
     leaf = scratch.write(leaf.select(parent(F.col("path")).alias("directory"), entry(F.col("path"), F.col("h")).alias("e")), "leaves")
     deepest = leaf.agg(F.max(depth(F.col("directory")))).first()[0]
-    lane = lambda i: F.sum(F.conv(F.substring("e", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
     out, below = [], None
     for level in range(-1 if deepest is None else deepest, -1, -1):
         rows = leaf.where(depth(F.col("directory")) == level)
         if below is not None:
             rows = rows.unionByName(below.select(parent(F.col("path")).alias("directory"), entry(F.col("path"), F.col("fingerprint")).alias("e")))
-        sums = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("entries"), *(lane(i) for i in range(4)))
-        said = F.concat_ws("|", "entries", *(F.col(f"s{i}").cast("decimal(38,0)").cast("string") for i in range(4)))
-        below = scratch.write(sums.select(F.col("directory").alias("path"), F.lit(level).alias("level"), "entries", F.sha2(said, 256).alias("fingerprint")), f"level{level}")
+        sums = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("entries"), *hash_sums(F.col("e")))
+        below = scratch.write(sums.select(F.col("directory").alias("path"), F.lit(level).alias("level"), "entries", summed().alias("fingerprint")), f"level{level}")
         out.append(below)
     if not out:
         return files.sparkSession.createDataFrame([], "path string, level int, entries long, fingerprint string")

@@ -10,7 +10,9 @@ from lodestone.functions import tiers
 from lodestone.operators import governance, incremental, jobs
 from lodestone.plans import entities as E
 from lodestone.plans.entities import DOCS, EFFECTIVE, JOBS, docs, table
-from lodestone.streaming import heartbeats
+from lodestone.sources import files
+from lodestone.sources.scratch import Scratch
+from lodestone.streaming import heartbeats, sinks
 
 QUERIES, SQL = {}, {}
 
@@ -201,6 +203,19 @@ def audit_chain(spark, sf):
     return audit(spark, sf).select("conv_id", "turn", "prev_hash", "event_hash")
 
 
+
+
+
+@query("audit_chain_stream", SQL["audit_chain"])
+def audit_chain_stream(spark, sf):
+    """The same chains, appended by a stream that reads the table's files and ends."""
+    folder = Scratch(spark, "audit").path
+    c = files.stream(spark, f"{sf}/conversations.parquet", "conv_id long, turn long, role string, text string")
+    e = c.select(F.col("conv_id").cast("string").alias("chain"), "turn", F.col("turn").cast("string").alias("at"), F.col("role").alias("actor"), "role", F.col("text").alias("action"), F.lit("ok").alias("outcome"), F.concat(F.lit("j"), "conv_id").alias("job_id"), F.create_map(F.lit("turn"), F.col("turn").cast("string"), F.lit("by"), F.col("role")).alias("fields"))
+    sinks.audit_chain(e, f"{folder}/out", f"{folder}/checkpoint", "turn").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/events").select(F.col("chain").cast("long").alias("conv_id"), "turn", "prev_hash", "event_hash")
+
+
 @query(
     "audit_chain_verify",
     """WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn <= 1) AS head FROM conversations GROUP BY 1)
@@ -247,10 +262,13 @@ def incremental_apply(spark, sf):
     return incremental.apply(old, new, incremental.diff(old, new, "doc_id", "signature"), "doc_id")
 
 
-@query("corpus_fingerprint", f"WITH {DOCS} SELECT source, count(*) AS entries, sha256(string_agg(sha256(path || chr(31) || length(content)), '' ORDER BY path)) AS fingerprint FROM docs GROUP BY source")
+LANES = ", ".join(f"sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT)" for i in range(4))
+
+
+@query("corpus_fingerprint", f"WITH {DOCS} SELECT source, count(*) AS entries, sha256(concat_ws('|', count(*), {LANES})) AS fingerprint FROM (SELECT source, sha256(path || chr(31) || length(content)) AS h FROM docs) GROUP BY source")
 def corpus_fingerprint(spark, sf):
     d = docs(spark, sf).withColumn("size", F.char_length("content"))
-    return incremental.fingerprint(d, ["source"], "path", ["path", "size"])
+    return incremental.fingerprint(d, ["source"], ["path", "size"])
 
 
 def beats(spark, sf):
@@ -288,6 +306,16 @@ def job_transitions(spark, sf):
     return jobs.transitions(beats(spark, sf).select("job_id", "state", F.col("ts").alias("at")))
 
 
+@query("job_states_stream", SQL["job_transitions"])
+def job_states_stream(spark, sf):
+    """The same from a stream of events that keeps what each batch says of its jobs."""
+    folder = Scratch(spark, "states").path
+    e = files.stream(spark, f"{sf}/events.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    e = e.select(F.col("user_id").alias("job_id"), F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'running' END").alias("state"), F.col("ts").cast("timestamp").alias("at"))
+    sinks.job_states(e, f"{folder}/out", f"{folder}/checkpoint", ["running", "failed", "succeeded"]).awaitTermination()
+    return sinks.current_states(spark, f"{folder}/out")
+
+
 @query(
     "tier_retry_profiles",
     """WITH t AS (SELECT s_suppkey AS job_id, ['cpu-rag-indexing', 'p40-rag-compression', 'p40-retrieval', 'p40-synthesis', 'v100-reasoning', 'a100-single', 'a100-multigpu', 'a100-reasoning'][s_suppkey % 8 + 1] AS tier FROM supplier)

@@ -333,9 +333,6 @@ def questions_ranked(spark, sf):
 )
 def questions_recall(spark, sf):
     """Recall at 10 and reciprocal rank of retrieval that is run: a passage's relevant documents are those that contain it."""
-    asked = _questions(spark, sf).collect()  # a benchmark's questions, not the corpus
-    d = docs(spark, sf)
-    holds = F.filter(F.array(*(F.when(F.contains("content", F.lit(q.query)), F.lit(q.query_id)) for q in asked)), lambda x: x.isNotNull())
-    want = d.select(F.explode(holds).alias("query_id"), F.col("path").alias("expected"))
-    ranked = inspection.bm25_of_queries(d, _questions(spark, sf))
-    return evaluation.per_query(evaluation.hits(ranked, want))
+    d, asked = docs(spark, sf), _questions(spark, sf)
+    want = evaluation.containing(d, asked).withColumnRenamed("path", "expected")
+    return evaluation.per_query(evaluation.hits(inspection.bm25_of_queries(d, asked), want))

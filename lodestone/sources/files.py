@@ -45,6 +45,17 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return raw.where(~hits_directory(F.col("path"), EXCLUDED_DIRS))
 
 
+def listed(path: str) -> str:
+    """A pattern that only the path itself matches. A stream takes a plain path for a folder, and what a pattern matches for a folder or a file."""
+    return path if set(path) & set("*?[]{}\\") else f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path
+
+
+def stream(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder, or one file, as a stream; per_trigger files at a time."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(listed(path))
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     from lodestone.functions.text import lines
 
