@@ -66,6 +66,29 @@ def root_status(jobs: DataFrame) -> DataFrame:
     return out.withColumn("state", root_state(*(F.col(c) for c in ("reducer_state", "running_jobs", "failed_jobs", "queued_jobs", "cancelled_jobs", "succeeded_jobs", "total_jobs"))))
 
 
+def newest_progress(beats: DataFrame) -> DataFrame:
+    """beats (job_id, last_updated, ts, phase, percent) -> the newest of each job, by last_updated or else its time; of equal times the largest percent."""
+    at = F.coalesce("last_updated", "ts")
+    rows = beats.withColumn("progress_at", at).where(F.col("progress_at").isNotNull())
+    best = rows.groupBy("job_id").agg(F.max(F.struct("progress_at", "percent", "phase")).alias("p"))
+    return best.select("job_id", "p.progress_at", "p.percent", "p.phase")
+
+
+def root_progress(jobs: DataFrame, beats: DataFrame) -> DataFrame:
+    """By root the newest progress among its effective shards and its reducers, and how many of these have any."""
+    shards, reducers = split_reducers(jobs)
+    members = effective(shards, SHARD).select("root_job_id", "job_id").unionByName(effective(reducers, REDUCER).select("root_job_id", "job_id"))
+    rows = members.join(newest_progress(beats), "job_id", "left")
+    best = rows.groupBy("root_job_id").agg(F.max(F.when(F.col("progress_at").isNotNull(), F.struct("progress_at", "percent", "phase", "job_id"))).alias("p"), F.count("progress_at").alias("reporting"), F.count(F.lit(1)).alias("members"))
+    return best.select("root_job_id", "members", "reporting", "p.progress_at", "p.percent", "p.phase", F.col("p.job_id").alias("progress_job_id"))
+
+
+def children_of(jobs: DataFrame) -> DataFrame:
+    """(root_job_id, place, job_id): the effective shards of a root as rows, in order, where root_status has them in one text."""
+    rows = effective(split_reducers(jobs)[0], SHARD)
+    return rows.select("root_job_id", F.row_number().over(Window.partitionBy("root_job_id").orderBy("job_id")).alias("place"), "job_id")
+
+
 def retry_set(jobs: DataFrame, with_cancelled: bool = False) -> DataFrame:
     """Effective shards: to retry, or why not."""
     rows = effective(split_reducers(jobs)[0], SHARD, with_cancelled)
@@ -89,6 +112,17 @@ def release_slots(jobs: DataFrame, max_active: int = 0, extra: int = 0) -> DataF
     return pending.withColumn("turn", turn).join(active, "root_job_id").where(F.col("turn") <= slots).select("root_job_id", "chunk", "jobs", "turn")
 
 
+def release_set(jobs: DataFrame, max_active: int = 0, extra: int = 0) -> DataFrame:
+    """(root_job_id, job_id, chunk, is_reducer): what a root may submit now. Deferred shards of the chunks in release_slots; deferred reducers only of roots that have no deferred shard left."""
+    shards, reducers = split_reducers(jobs)
+    deferred = (F.col("state") == "dispatching") & (F.col("run_id") == "")
+    waiting = shards.where(deferred)
+    chunks = release_slots(shards, max_active, extra).select("root_job_id", "chunk")
+    now = waiting.join(chunks, ["root_job_id", "chunk"], "left_semi").select("root_job_id", "job_id", "chunk", F.lit(False).alias("is_reducer"))
+    last = reducers.where(deferred).join(waiting.select("root_job_id").distinct(), "root_job_id", "left_anti")
+    return now.unionByName(last.select("root_job_id", "job_id", "chunk", F.lit(True).alias("is_reducer")))
+
+
 def chunk_of_batch(jobs: DataFrame, size: int = 64) -> DataFrame:
     """Adds batch: size jobs of a root at a time, in order."""
     return jobs.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("root_job_id").orderBy("shard_index", "job_id")) - 1) / size).cast("int"))

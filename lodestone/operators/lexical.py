@@ -225,8 +225,8 @@ def file_first(scored: DataFrame, limit: int = 128) -> DataFrame:
     return top.select("chunk_id", "path", F.round("score", 8).alias("score"), F.row_number().over(Window.orderBy(F.desc("lead"), F.desc("score"), "chunk_id")).alias("rank"))
 
 
-def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_index: bool = False) -> DataFrame:
-    """The whole scorer. Every table that it joins is keyed by chunk, path or directory; terms are the only broadcast."""
+def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_index: bool = False, ranked: DataFrame | None = None) -> DataFrame:
+    """The whole scorer. Every table that it joins is keyed by chunk, path or directory; terms are the only broadcast. ranked (chunk_id, bm25) is what a stored index found, its fields weighted; with_index without it scores words here."""
     terms = f.lexical
     named = named_in(F.col("path"), f, query)
     policy = path_policy(F.col("path"), F.coalesce("language", F.lit("")), named, f)
@@ -243,8 +243,8 @@ def search(chunks: DataFrame, query: str, f: Features, limit: int = 128, with_in
     if f.intent("redundancy"):
         rows = rows.withColumn("symbol_key", F.lower(F.coalesce("symbol", F.lit("")))).join(redundancy(chunks), ["path", "symbol_key"], "left")
         base = base + F.coalesce("redundancy", F.lit(0.0))
-    if with_index:
-        rows = rows.join(index_contribution(bm25(found, chunks)), "chunk_id", "left")
+    if with_index or ranked is not None:
+        rows = rows.join(index_contribution(bm25(found, chunks) if ranked is None else ranked), "chunk_id", "left")
         base = base + F.coalesce("index_score", F.lit(0.0))
     rows = rows.select("chunk_id", "path", ((base * policy["pre"] + policy["add"]) * policy["post"]).alias("score"))
     best = rows.groupBy("path").agg(F.max("score").alias("best"), F.max_by("chunk_id", F.struct("score", "chunk_id")).alias("chunk_id"))

@@ -12,6 +12,7 @@ from lodestone.plans import entities as E
 from lodestone.plans.entities import DOCS, EFFECTIVE, JOBS, docs, table
 from lodestone.sources import files
 from lodestone.sources.scratch import Scratch
+from lodestone.sources.versions import VersionedTable
 from lodestone.streaming import heartbeats, sinks
 
 QUERIES, SQL = {}, {}
@@ -47,6 +48,59 @@ def job_root_status(spark, sf):
     return jobs.root_status(E.jobs(spark, sf))
 
 
+@query(
+    "job_root_progress",
+    f"""WITH {JOBS}, {EFFECTIVE}, red AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_job_id, aggregation_key ORDER BY CASE WHEN state IN ('running', 'dispatching') THEN 0 WHEN state = 'succeeded' THEN 1 ELSE 2 END, created_at DESC, job_id DESC) AS rn FROM jobs WHERE strategy = 'aggregator') WHERE rn = 1),
+     m AS (SELECT root_job_id, job_id FROM effective UNION ALL SELECT root_job_id, job_id FROM red),
+     p AS (SELECT job_id, max(struct_pack(a := seen, b := percent, c := phase)) AS p FROM (SELECT event_id % 15000 AS job_id, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS seen, value AS percent, event_type AS phase FROM events) GROUP BY 1),
+     r AS (SELECT root_job_id, count(*) AS members, count(p) AS reporting, max(CASE WHEN p IS NOT NULL THEN struct_pack(a := p.a, b := p.b, c := p.c, d := m.job_id) END) AS b FROM m LEFT JOIN p USING (job_id) GROUP BY 1)
+    SELECT root_job_id, members, reporting, b.a AS progress_at, b.b AS percent, b.c AS phase, b.d AS progress_job_id FROM r""",
+)
+def job_root_progress(spark, sf):
+    """The newest progress of each root, from events as beats; every fourth says when it was last updated."""
+    b = table(spark, sf, "events").select((F.col("event_id") % 15000).alias("job_id"), F.expr("CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 DAY END").alias("last_updated"), "ts", F.col("event_type").alias("phase"), F.col("value").alias("percent"))
+    return jobs.root_progress(E.jobs(spark, sf), b)
+
+
+@query("job_children", f"WITH {JOBS}, {EFFECTIVE} SELECT root_job_id, row_number() OVER (PARTITION BY root_job_id ORDER BY job_id)::INT AS place, job_id FROM effective")
+def job_children(spark, sf):
+    return jobs.children_of(E.jobs(spark, sf))
+
+
+@query(
+    "job_release_set",
+    f"""WITH {JOBS}, d AS (SELECT * FROM jobs WHERE state = 'dispatching' AND run_id = ''), s AS (SELECT * FROM d WHERE strategy <> 'aggregator'),
+    p AS (SELECT root_job_id, chunk, row_number() OVER (PARTITION BY root_job_id ORDER BY chunk) AS turn FROM (SELECT DISTINCT root_job_id, chunk FROM s)),
+    a AS (SELECT root_job_id, count(DISTINCT chunk) FILTER (run_id <> '' AND state IN ('running', 'dispatching')) AS active FROM jobs WHERE strategy <> 'aggregator' GROUP BY 1)
+    SELECT s.root_job_id, s.job_id, s.chunk, FALSE AS is_reducer FROM s JOIN p USING (root_job_id, chunk) JOIN a USING (root_job_id) WHERE turn <= greatest(0, 6 - active)
+    UNION ALL SELECT root_job_id, job_id, chunk, TRUE FROM d WHERE strategy = 'aggregator' AND root_job_id NOT IN (SELECT root_job_id FROM s)""",
+)
+def job_release_set(spark, sf):
+    return jobs.release_set(E.jobs(spark, sf), max_active=6)
+
+
+def job_store(spark, sf) -> VersionedTable:
+    """Three versions of a store of jobs: a third of them queued and a fifth not there, then new states and the rest, then what was cancelled went."""
+    store = VersionedTable(spark, f"{Scratch(spark, 'store').path}/jobs", "job_id long, root_job_id long, state string, owner string", "job_id")
+    j = E.jobs(spark, sf).select("job_id", "root_job_id", "state", "owner")
+    store.put(j.where("job_id % 5 <> 4").withColumn("state", F.expr("CASE WHEN job_id % 3 = 0 THEN 'queued' ELSE state END")), 0)
+    store.put(j.where("job_id % 3 = 0 OR job_id % 5 = 4"), 1)
+    store.put(j.limit(0), 2, j.where("state = 'cancelled'"))
+    return store
+
+
+@query("store_as_of", f"WITH {JOBS} SELECT job_id, root_job_id, CASE WHEN job_id % 3 = 0 THEN 'queued' ELSE state END AS state, owner, 0 AS version FROM jobs WHERE job_id % 5 <> 4")
+def store_as_of(spark, sf):
+    """The store as it stood before two later versions."""
+    return job_store(spark, sf).as_of(0)
+
+
+@query("store_changes", f"WITH {JOBS} SELECT job_id, CASE WHEN state = 'cancelled' THEN 'removed' WHEN job_id % 5 = 4 THEN 'added' ELSE 'changed' END AS change FROM jobs WHERE (state = 'cancelled' AND job_id % 5 <> 4) OR (state <> 'cancelled' AND (job_id % 5 = 4 OR job_id % 3 = 0))")
+def store_changes(spark, sf):
+    """What came, changed and went from the first version to the last."""
+    return job_store(spark, sf).changes(0, 2)
+
+
 @query(
     "job_retry_set",
     f"""WITH {JOBS}, {EFFECTIVE} SELECT root_job_id, job_id, state, state = 'failed' AS retry, CASE WHEN state = 'failed' THEN NULL WHEN state IN ('running', 'dispatching') THEN 'in_progress' WHEN state = 'succeeded' THEN 'already_succeeded' ELSE 'cancelled_excluded' END AS skip_reason FROM effective""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.classes import EXCLUDED_DIRS, TEXT_ENDINGS, extension, hits_directory, scheduler_state
+from lodestone.functions.classes import EXCLUDED_DIRS, TEXT_ENDINGS, extension, hits_directory, language_of_path, scheduler_state
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
@@ -39,6 +40,51 @@ def texts(spark: SparkSession, root: str, kind: str = "document", classification
     return kept.select(F.sha2("path", 256).alias("input_id"), F.lit(kind).alias("input_type"), F.lit(classification).alias("classification"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size")
 
 
+def relative(path: Column, root: str) -> Column:
+    """A path below a root as it is listed, whatever scheme and slashes both have."""
+    base = F.regexp_replace(F.regexp_replace(F.lit(root), "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), "/+$", "")
+    plain = F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), "/+", "/")
+    return F.regexp_replace(F.when(plain.startswith(F.concat(base, F.lit("/"))), F.substr(plain, F.length(base) + 2)).otherwise(plain), "^(\\./)+", "")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored listing, a path a line or between NULs, as (path); None where there is none or it names nothing."""
+    try:
+        lines = spark.read.text(path)
+        found = lines.select(F.explode(F.split("value", "\x00")).alias("path")).where(F.trim("path") != "")
+        return found if found.limit(1).count() else None
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def discovered(spark: SparkSession, root: str, listings: list[str] | None = None) -> DataFrame:
+    """(path, absolute, language, origin): the source files below a root, each absolute path once, in a language that is known by its name and in no directory that a scan leaves out.
+
+    The first of the stored listings that names a file says what there is (a repository's own list, then a search
+    tool's); without any, the tree is walked. Files of a listing that are not there any more are left out. Listed files
+    come with what the store says of them, none is opened. The store follows links, so a link and its target are two.
+    """
+    walked = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(F.col("path"), root).alias("path"), "length", "modificationTime")
+    origin, listed_paths = "walk", None
+    for name in listings or []:
+        if (listed_paths := listing(spark, name)) is not None:
+            origin = name.rsplit("/", 1)[-1]
+            break
+    rows = walked if listed_paths is None else walked.join(listed_paths.select(relative(F.col("path"), root).alias("path")).distinct(), "path", "left_semi")
+    language = language_of_path(F.col("path"))
+    kept = rows.withColumn("language", language).where((F.col("language") != "") & ~hits_directory(F.col("path"), EXCLUDED_DIRS))
+    base = root.rstrip("/")
+    return kept.select("path", F.concat(F.lit(base + "/"), "path").alias("absolute"), "language", F.lit(origin).alias("origin"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).dropDuplicates(["absolute"])
+
+
+def read_discovered(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+    """The files of discovered() with content; undecodable bytes become replacement characters."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(F.col("path"), root).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return raw.join(found, "path")
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """(path, size) of every file, without reading any."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
