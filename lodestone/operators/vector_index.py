@@ -49,10 +49,14 @@ class VectorIndex:
     spark: SparkSession
     folder: str
     dims: int
+    id_type: str = "long"
+
+    def schema(self, table: str) -> str:
+        return TABLES[table].replace("id long", f"id {self.id_type}")
 
     def read(self, table: str) -> DataFrame:
         """A table over all turns; empty where none was written."""
-        schema = TABLES[table] + ", turn int"
+        schema = self.schema(table) + ", turn int"
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
         except AnalysisException as missing:
@@ -71,7 +75,7 @@ class VectorIndex:
 
     def usable(self, vectors: DataFrame, vector: str, id_: str) -> DataFrame:
         fits = (F.size(vector) == self.dims) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
-        return vectors.where(fits).select(F.col(id_).cast("long").alias("id"), normalized(doubles(F.col(vector))).alias("v"))
+        return vectors.where(fits).select(F.col(id_).cast(self.id_type).alias("id"), normalized(doubles(F.col(vector))).alias("v"))
 
     def build(self, vectors: DataFrame, vector: str = "embedding", id_: str = "vec_id", cells: int | None = None) -> None:
         """Turn 0. The centres are the vectors whose ids have the smallest hashes."""
@@ -93,12 +97,12 @@ class VectorIndex:
                 away = np.sqrt(((x - centres[cell]) ** 2).sum(1)) if len(centres) else np.zeros(len(x))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away)], names=["id", "v", "cell", "away"])
 
-        placed = rows.mapInArrow(nearest, "id long, v array<double>, cell int, away double")
+        placed = rows.mapInArrow(nearest, f"id {self.id_type}, v array<double>, cell int, away double")
         self._write(placed.hint("rebalance", "cell"), "vectors", turn, "cell")
-        written = self.spark.read.schema(TABLES["vectors"] + ", away double").parquet(f"{self.folder}/vectors/turn={turn}")
+        written = self.spark.read.schema(self.schema("vectors") + ", away double").parquet(f"{self.folder}/vectors/turn={turn}")
         ids = written.select("id", F.lit(False).alias("gone"))
         if gone is not None:
-            ids = ids.unionByName(gone.select(F.col("id").cast("long").alias("id")).distinct().join(ids.select("id"), "id", "left_anti").withColumn("gone", F.lit(True)))
+            ids = ids.unionByName(gone.select(F.col("id").cast(self.id_type).alias("id")).distinct().join(ids.select("id"), "id", "left_anti").withColumn("gone", F.lit(True)))
         self._write(ids, "ids", turn)
         told = self.read("ids")
         last = told.where(F.col("turn") < turn).join(told.where(F.col("turn") == turn).select("id"), "id", "left_semi").groupBy("id").agg(F.max("turn").alias("of_turn"), F.max_by("gone", "turn").alias("was_gone"))

@@ -1,10 +1,11 @@
-"""The stored full-text index: built, added to, forgotten from, and searched."""
+"""What is kept: full-text and vector indexes, chunks by content, fingerprints; built, added to, forgotten from and searched."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import semantic
 from lodestone.operators.chunk_store import ChunkStore
 from lodestone.operators.chunking import fixed_windows
 from lodestone.operators.incremental import tree_fingerprints
@@ -142,6 +143,44 @@ def vector_index_upsert(spark, sf):
     return index.search(asked_vectors(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_vectors(rows: DataFrame) -> DataFrame:
+    """A stand-in for an embedding service: how often each letter occurs."""
+    lower = F.lower("content")
+    counts = F.array(*((F.length(lower) - F.length(F.replace(lower, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+    return rows.select("content_hash", counts.alias("embedding"))
+
+
+def semantic_chunks(d: DataFrame) -> DataFrame:
+    return fixed_windows(d).select(F.concat_ws("#", "doc_id", "line_start").alias("chunk_id"), F.col("chunk_hash").alias("content_hash"), "content")
+
+
+def semantic_outcome(spark, sf) -> semantic.Outcome:
+    """The index of a corpus, brought up to date after toxic documents went and every sixth was revised, then searched."""
+    index = VectorIndex(spark, f"{Scratch(spark, 'semantic').path}/index", len(LETTERS), "string")
+    d = docs(spark, sf)
+    semantic.ensure(index, semantic_chunks(d), letter_vectors, "letters", 0)
+    kept = d.join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    kept = kept.withColumn("content", F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Revised edition "), "content")).otherwise(F.col("content")))
+    return semantic.retrieved(index, semantic_chunks(kept), "the quick brown fox jumps over the lazy dog", letter_vectors, "letters", 50)
+
+
+VECTOR = "[" + ", ".join(f"(length(lower({{0}})) - length(replace(lower({{0}}), '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+REVISED = CHUNKS.replace("text AS content FROM documents", "CASE WHEN doc_id % 6 = 0 THEN 'Revised edition ' ELSE '' END || text AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+
+
+@query(
+    "semantic_retrieval",
+    f"""WITH {REVISED}, v AS (SELECT doc_id || '#' || line_start AS chunk_id, {VECTOR.format('content')} AS v FROM chunks), q AS (SELECT {VECTOR.format("'the quick brown fox jumps over the lazy dog'")} AS q),
+    s AS (SELECT chunk_id, round(CASE WHEN list_dot_product(v, v) = 0 THEN 0 ELSE list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) END, 9) AS score FROM v, q)
+    SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 50""",
+)
+def semantic_retrieval(spark, sf):
+    return semantic_outcome(spark, sf).rows
+
+
 def files_of(d: DataFrame) -> DataFrame:
     return d.select("path", F.lit("").alias("language"), "content")
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
@@ -46,6 +47,16 @@ class Scratch:
         df.write.mode("overwrite").options(**({"compression": "zstd"} | options)).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    @staticmethod
+    def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+        """A Parquet table at a path, empty where nothing was written yet."""
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
     def drop(self, name: str) -> None:
         """Removes a table that nothing reads any more."""
         self._delete(f"{self.path}/{name}")
