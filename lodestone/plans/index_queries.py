@@ -38,7 +38,7 @@ def units(d: DataFrame) -> DataFrame:
 
 
 def new_index(spark) -> LexicalIndex:
-    return LexicalIndex(spark, f"{Scratch(spark, 'index').path}/index", FIELDS)
+    return LexicalIndex(spark, f"{Scratch(spark, 'index').path}/index", FIELDS, buckets=16)
 
 
 def revised(d: DataFrame) -> DataFrame:
