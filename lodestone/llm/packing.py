@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch, bounded_batches, documents
 
 WINDOW = 1024
-#: Words and pre-tokens whose ids a worker remembers from task to task, about 250 MB at most.
-CACHED_WORDS, CACHED_PIECES = 800_000, 400_000
+#: Words and pre-tokens whose ids a worker remembers from task to task, about 150 MB at most.
+CACHED_WORDS, CACHED_PIECES = 500_000, 250_000
 SPACES = r" \t\n\r\x0b\x0c\x85\xa0  -     　"
 #: Cuts a text where a byte-level BPE cuts it, or more rarely: letters and digits may stay together, as encoding parts them.
 PIECES = rf"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\w{SPACES}]|_)+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
