@@ -38,13 +38,13 @@ BLOCK = 1024
 #: The share of a block's differences that its width has to hold.
 PERCENTILE = 0.95
 #: Ids after which a file ends with the document, and bytes of text a range of doc_ids holds about.
-FILE_IDS, RANGE_BYTES = 8 << 20, 256 << 20
+FILE_IDS, RANGE_BYTES = 4 << 20, 256 << 20
 MAGIC = b"PFORIDS1"
 #: MAGIC, range, file in the range, documents, ids, ids before it in the range, ids of a block, blocks.
 HEADER, HEADER_SIZE = "<8sIIQQQII", struct.calcsize("<8sIIQQQII")
 BLOCK_HEAD, BLOCK_HEAD_SIZE = "<IBH", struct.calcsize("<IBH")
-#: Blocks that are packed or unpacked together, about 30 MB of bits.
-AT_ONCE = 1024
+#: Blocks that are packed or unpacked together, about 8 MB of bits.
+AT_ONCE = 256
 FIRST = -(1 << 63)
 
 
@@ -54,7 +54,8 @@ def _packed_blocks(ids: np.ndarray, percentile: float) -> Iterator[bytes]:
     over = ids - least[:, None]
     kth = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
     widths = [int(x).bit_length() for x in np.partition(over, kth, axis=1)[:, kth]]
-    bits = np.unpackbits(over.view(np.uint8).reshape(len(ids), BLOCK, 4), axis=2, bitorder="little")
+    short = over.astype("<u2") if over.max() < 1 << 16 else over
+    bits = np.unpackbits(short.view(np.uint8).reshape(len(ids), BLOCK, short.itemsize), axis=2, bitorder="little")
     for row, base, width, value in zip(bits, least, widths, over):
         upper = value >> np.uint32(width) if width < 32 else np.zeros_like(value)
         at = np.flatnonzero(upper)
@@ -76,12 +77,13 @@ def unpack_blocks(data: memoryview, starts: np.ndarray, first: int, last: int) -
     out = np.empty((last - first, BLOCK), "<u4")
     for lo in range(first, last, AT_ONCE):
         hi = min(last, lo + AT_ONCE)
-        bits = np.zeros((hi - lo, BLOCK, 32), np.uint8)
         heads = [struct.unpack_from(BLOCK_HEAD, data, starts[b]) for b in range(lo, hi)]
+        lanes = 16 if all(h[1] <= 16 for h in heads) else 32
+        bits = np.zeros((hi - lo, BLOCK, lanes), np.uint8)
         for i, (_, width, _) in enumerate(heads):
             at = starts[lo + i] + BLOCK_HEAD_SIZE
             bits[i, :, :width] = np.unpackbits(np.frombuffer(data, np.uint8, BLOCK * width // 8, at), bitorder="little").reshape(BLOCK, width)
-        values = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        values = np.packbits(bits, axis=2, bitorder="little").view(f"<u{lanes // 8}")[:, :, 0].astype("<u4")
         for i, (_, width, n) in enumerate(heads):
             if n:
                 at = starts[lo + i] + BLOCK_HEAD_SIZE + BLOCK * width // 8
