@@ -278,6 +278,15 @@ def expand_hosts(lists: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("host", host).drop("_part", "_range", "_low", "_high", "_n")
 
 
+def queue_on_nodes(queue: DataFrame, nodes: DataFrame) -> DataFrame:
+    """queue (job_id, partition, state, nodes as a host list) -> (job_id, partition, state, node): each job once, with one node of its partition that is up and that its list names, or null. Lists of many hosts are expanded where they are and meet the nodes by a join."""
+    listed = queue.where(~F.coalesce(F.trim("nodes"), F.lit("")).isin("", "n/a", "(null)"))
+    hosts = expand_hosts(listed.select("job_id", "partition", F.trim("nodes").alias("nodes")), "nodes").select("job_id", "partition", F.trim("host").alias("node"))
+    up = nodes.where(available(F.col("state"))).select("partition", "node").distinct()
+    named = hosts.join(up, ["partition", "node"]).groupBy("job_id").agg(F.min("node").alias("node"))
+    return queue.select("job_id", "partition", "state").join(named, "job_id", "left")
+
+
 def placement(nodes: DataFrame, queue: DataFrame) -> DataFrame:
     """nodes (partition, node, state), queue (partition, state, node): by partition 100 idle + 25 mixed - 10 pending - 5 running on matching nodes."""
     up = nodes.where(available(F.col("state")))

@@ -295,6 +295,21 @@ def placement_score(spark, sf):
     return jobs.placement(n, q)
 
 
+@query(
+    "placement_host_lists",
+    """WITH n AS (SELECT s_nationkey % 5 AS p, s_suppkey AS node, CASE WHEN s_acctbal > 6000 THEN 'idle' WHEN s_acctbal > 1000 THEN 'mixed' ELSE 'down' END AS st FROM supplier), h AS (SELECT p, count(*) FILTER (st = 'idle') AS idle, count(*) FILTER (st = 'mixed') AS mix FROM n WHERE st <> 'down' GROUP BY 1),
+    q AS (SELECT o_orderkey AS job, o_custkey % 5 AS p, o_orderstatus AS st, o_custkey % 90 AS low, o_custkey % 90 + (o_totalprice::BIGINT % 6) AS high, o_custkey % 37 AS other FROM orders),
+    l AS (SELECT p, count(*) FILTER (st = 'P') AS pending, count(*) FILTER (st = 'O' AND EXISTS (SELECT 1 FROM n WHERE n.p = q.p AND n.st <> 'down' AND (n.node BETWEEN q.low AND q.high OR n.node = q.other))) AS running FROM q GROUP BY 1)
+    SELECT h.p AS partition, idle, mix, coalesce(pending, 0) AS pending, coalesce(running, 0) AS running, idle * 100 + mix * 25 - coalesce(pending, 0) * 10 - coalesce(running, 0) * 5 AS score FROM h LEFT JOIN l ON l.p = h.p""",
+)
+def placement_host_lists(spark, sf):
+    """Placement with the queue's host lists: a range and another host; a job counts once."""
+    n = table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("partition"), F.format_string("n%04d", "s_suppkey").alias("node"), F.expr("CASE WHEN s_acctbal > 6000 THEN 'idle' WHEN s_acctbal > 1000 THEN 'mixed' ELSE 'down' END").alias("state"))
+    hosts = F.expr("format_string('n[%04d-%04d],n%04d', o_custkey % 90, o_custkey % 90 + cast(rint(o_totalprice) AS bigint) % 6, o_custkey % 37)")
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 5).alias("partition"), F.expr("CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'running' ELSE 'done' END").alias("state"), hosts.alias("nodes"))
+    return jobs.placement(n, jobs.queue_on_nodes(q, n))
+
+
 OLD, NEW = "doc_id % 10 <> 3", "doc_id % 10 <> 7"
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import index_queries, job_queries, result_queries, retrieval_queries, text_queries
+from lodestone.plans import contract_queries, index_queries, job_queries, result_queries, retrieval_queries, text_queries
 
-MODULES = (text_queries, retrieval_queries, job_queries, result_queries, index_queries)
+MODULES = (text_queries, retrieval_queries, job_queries, result_queries, index_queries, contract_queries)
 
 
 def queries() -> dict:
