@@ -5,8 +5,9 @@ n-gram hashes to; the AND of an n-gram's rows gives all languages that contain i
 language, how many of its n-grams have that bit; the counts are corrected by the rate at which that language's bits
 are set by chance, and the largest corrected count decides.
 
-A language's n-grams are those that make up at least min_share of what it was taught, so a taught language holds
-1 / min_share n-grams of each order at most, however large the corpus. Teaching uses a sample bounded by
+A language's n-grams are all that its taught documents contain. The executors find them and set their bits; the
+driver gets the filters, which are sized by the count of n-grams up to MOST_ROWS rows an order. Beyond that no n-gram
+is left out: bits are set by chance more often, which the correction takes off. Teaching uses a sample bounded by
 teach_docs for each language; scoring reads every text whole.
 
 Defined results: null text, or text without a letter, is und with score 0; so is every text if nothing was taught.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch, bounded_batches, documents
 from lodestone.llm.words import mix64
 
-ORDERS, HASHES, MIN_SHARE, TEACH_DOCS = (3, 4), 3, 2e-5, 3000
+ORDERS, HASHES, MOST_ROWS, TEACH_DOCS = (3, 4, 5), 3, 1 << 22, 3000
 UNKNOWN = "und"
 #: Code points taken at a time of a long text.
 STEP = 1 << 17
@@ -62,6 +63,13 @@ def grams(c: np.ndarray, n: int) -> np.ndarray:
     return mix64(h)
 
 
+def places(h: np.ndarray, size: int, hashes: int = HASHES) -> Iterator[np.ndarray]:
+    """The rows of each n-gram in a filter of size rows, a power of two."""
+    step = h >> np.uint64(32) | np.uint64(1)
+    for k in range(hashes):
+        yield ((h + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
+
+
 @dataclass
 class LanguageFilters:
     languages: list[str]
@@ -75,18 +83,13 @@ class LanguageFilters:
             fill = [np.count_nonzero(rows[:, j // 64] >> np.uint64(j % 64) & np.uint64(1)) / len(rows) for j in range(len(self.languages))]
             self.chance[n] = np.array(fill) ** self.hashes
 
-    def _places(self, h: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        step = h >> np.uint64(32) | np.uint64(1)
-        for k in range(self.hashes):
-            yield ((h + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
-
     def masks(self, h: np.ndarray, n: int) -> np.ndarray:
         """The languages of each n-gram, as bitmasks."""
         rows = self.rows[n]
-        return np.bitwise_and.reduce([rows[at] for at in self._places(h, len(rows))])
+        return np.bitwise_and.reduce([rows[at] for at in places(h, len(rows), self.hashes)])
 
     def add(self, h: np.ndarray, n: int, language: int) -> None:
-        for at in self._places(h, len(self.rows[n])):
+        for at in places(h, len(self.rows[n]), self.hashes):
             self.rows[n][at, language // 64] |= np.uint64(1) << np.uint64(language % 64)
 
     def shares(self, c: np.ndarray) -> np.ndarray:
@@ -128,8 +131,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, min_share: float = MIN_SHARE, teach_docs: int = TEACH_DOCS, hashes: int = HASHES) -> LanguageFilters:
-    """Filters from text and lang of documents that are not held out. Each language's n-grams are counted on the executors; what reaches the driver is bounded by min_share."""
+def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, teach_docs: int = TEACH_DOCS, hashes: int = HASHES, most_rows: int = MOST_ROWS) -> LanguageFilters:
+    """Filters from text and lang of documents that are not held out. What reaches the driver is the rows of the filters that have a bit."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
     languages = sorted(counts, key=lambda s: [ord(c) for c in s])
@@ -140,16 +143,15 @@ def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, min_share: float =
     draw = F.pmod(F.xxhash64(F.lit("teach"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < lookup(lambda i, s: min(1.0, teach_docs / counts[s]))).select(lookup(lambda i, s: i).alias("language"), "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = Alphabet()
-        tally: dict[tuple[int, int], list[np.ndarray]] = {}
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
 
         def out():
-            for (language, n), parts in tally.items():
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                size = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, language, np.int32)), pa.array(np.full(size, n, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], names=["language", "n", "gram", "times"])
-            tally.clear()
+            for (language, n), parts in found.items():
+                h = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), language, np.int32)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64))], names=["language", "n", "gram"])
+            found.clear()
 
         waiting = 0
         for batch in batches:
@@ -158,30 +160,37 @@ def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, min_share: float =
                 for lo in range(0, len(c), STEP):
                     for n in orders:
                         h = grams(c[lo : lo + STEP + n - 1], n)
-                        tally.setdefault((language, n), []).append(h)
+                        found.setdefault((language, n), []).append(h)
                         waiting += len(h)
                     if waiting > 4_000_000:
                         yield from out()
                         waiting = 0
         yield from out()
 
-    seen = sample.mapInArrow(count, "language int, n int, gram long, times long").groupBy("language", "n", "gram").agg(F.sum("times").alias("times"))
     scratch = Scratch(docs.sparkSession, "language")
-    seen = scratch.write(seen, "seen")
-    totals = seen.groupBy("language", "n").agg(F.sum("times").alias("total"))
-    kept = seen.join(totals, ["language", "n"]).where(F.col("times") >= F.col("total") * min_share).select("language", "n", "gram")
-    found = kept.toPandas()  # 1 / min_share for each language and order at most
-    scratch.drop("seen")
+    seen = scratch.write(sample.mapInArrow(distinct, "language int, n int, gram long").distinct(), "seen")
+    most = {n: 1024 for n in orders}
+    for r in seen.groupBy("language", "n").count().toLocalIterator():
+        most[r["n"]] = max(most[r["n"]], r["count"])
+    sizes = {n: min(most_rows, 1 << int(most[n] * hashes * 2).bit_length()) for n in orders}
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            language, n, gram = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for k in orders:
+                own = n == k
+                bit = np.uint64(1) << (language[own] % 64).astype(np.uint64)
+                for at in places(gram[own].view(np.uint64), sizes[k], hashes):
+                    yield pa.RecordBatch.from_arrays([pa.array(n[own]), pa.array(language[own] // 64), pa.array(at), pa.array(bit.view(np.int64))], names=["n", "word", "row", "bits"])
+
     words = -(-len(languages) // 64)
-    rows = {}
-    for n in orders:
-        most = max((found[found.n == n].groupby("language").size().max() if len(found[found.n == n]) else 0), 1024)
-        rows[n] = np.zeros((1 << int(most * hashes * 2).bit_length(), words), np.uint64)
-    model = LanguageFilters(languages, rows, hashes)
-    for (n, language), part in found.groupby(["n", "language"]):
-        model.add(part["gram"].to_numpy().view(np.uint64), int(n), int(language))
-    model.__post_init__()
-    return model
+    rows = {n: np.zeros((sizes[n], words), np.uint64) for n in orders}
+    # At most most_rows rows for each order and 64 languages.
+    found = seen.select("language", "n", "gram").mapInArrow(bits, "n int, word int, row long, bits long").groupBy("n", "word", "row").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    scratch.drop("seen")
+    for (n, word), part in found.groupby(["n", "word"]):
+        rows[int(n)][part["row"].to_numpy(), int(word)] = part["bits"].to_numpy().view(np.uint64)
+    return LanguageFilters(languages, rows, hashes)
 
 
 def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:

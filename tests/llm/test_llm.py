@@ -161,7 +161,7 @@ def test_language_equals_exact_sets_of_grams(spark, sf_dir, real):
             for n in language.ORDERS:
                 taught.setdefault((r.lang, n), Counter()).update(plain_grams(r.text, n))
     for (lang, n), c in taught.items():
-        held.setdefault(lang, {})[n] = {g for g, k in c.items() if k >= language.MIN_SHARE * c.total()}
+        held.setdefault(lang, {})[n] = set(c)
     got = {r.doc_id: r for r in QUERIES["op2_language"](spark, sf_dir).collect()}
     for r in real.collect():
         grams = {n: plain_grams(r.text, n) for n in language.ORDERS}
@@ -183,6 +183,17 @@ def test_language_of_odd_rows(spark, odd, empty, real):
     assert language.identified(odd).columns == odd.columns
 
 
+def test_filters_hold_every_gram_that_was_taught(spark, real):
+    """No n-gram is left out, neither a rare one nor where the filters reach their largest size."""
+    for model in (language.teach(real), language.teach(real, most_rows=1 << 12)):
+        for r in real.where("lang IS NOT NULL AND text IS NOT NULL").limit(60).collect():
+            if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+                c = language.Alphabet()(r.text)
+                at = np.uint64(model.languages.index(r.lang))
+                assert all((model.masks(language.grams(c, n), n)[:, 0] >> at & np.uint64(1)).all() for n in language.ORDERS)
+    assert max(len(rows) for rows in model.rows.values()) == 1 << 12
+
+
 def test_bit_sliced_filter_returns_all_languages():
     m = language.LanguageFilters([f"l{i}" for i in range(70)], {3: np.zeros((1 << 14, 2), np.uint64)})
     a, b = (language.grams(np.arange(s, s + 500, dtype=np.uint64), 3) for s in (97, 5000))
