@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ ORDERS, HASHES, MOST_ROWS, TEACH_DOCS = (3, 4, 5), 3, 1 << 22, 3000
 UNKNOWN = "und"
 #: Code points taken at a time of a long text.
 STEP = 1 << 17
+#: Rows of a filter that reach the driver together; no filter is smaller.
+BLOCK = 1 << 12
 
 
 class Alphabet:
@@ -181,15 +184,20 @@ def teach(docs: DataFrame, orders: tuple[int, ...] = ORDERS, teach_docs: int = T
                 own = n == k
                 bit = np.uint64(1) << (language[own] % 64).astype(np.uint64)
                 for at in places(gram[own].view(np.uint64), sizes[k], hashes):
-                    yield pa.RecordBatch.from_arrays([pa.array(n[own]), pa.array(language[own] // 64), pa.array(at), pa.array(bit.view(np.int64))], names=["n", "word", "row", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(n[own]), pa.array(language[own] // 64), pa.array(at // BLOCK), pa.array(at % BLOCK), pa.array(bit.view(np.int64))], names=["n", "word", "block", "row", "bits"])
+
+    def dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(BLOCK, np.uint64)
+        np.bitwise_or.at(block, rows["row"].to_numpy(), rows["bits"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"n": [key[0]], "word": [key[1]], "block": [key[2]], "rows": [block.tobytes()]})
 
     words = -(-len(languages) // 64)
     rows = {n: np.zeros((sizes[n], words), np.uint64) for n in orders}
-    # At most most_rows rows for each order and 64 languages.
-    found = seen.select("language", "n", "gram").mapInArrow(bits, "n int, word int, row long, bits long").groupBy("n", "word", "row").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    # Hashes spread bits evenly over blocks; the driver gets the filters' own bytes, block by block.
+    marked = seen.select("language", "n", "gram").mapInArrow(bits, "n int, word int, block long, row long, bits long")
+    for r in marked.groupBy("n", "word", "block").applyInPandas(dense, "n int, word int, block long, rows binary").toLocalIterator():
+        rows[r["n"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK, r["word"]] = np.frombuffer(r["rows"], np.uint64)
     scratch.drop("seen")
-    for (n, word), part in found.groupby(["n", "word"]):
-        rows[int(n)][part["row"].to_numpy(), int(word)] = part["bits"].to_numpy().view(np.uint64)
     return LanguageFilters(languages, rows, hashes)
 
 
