@@ -70,7 +70,8 @@ def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     # Row numbers must not change between the two reads of asked, so they are written.
     asked = Scratch(captures.sparkSession, "captures").write(asked.withColumn("row", F.monotonically_increasing_id()), "asked")
     keyed = asked.where("host <> '' AND fetched_at IS NOT NULL").select("row", "fetched_at", F.explode(keys_of(F.col("host"), F.col("path"))).alias("k")).select("row", "fetched_at", "k.kind", "k.key")
-    hits = keyed.join(history, ["kind", "key"])
+    # Keys of all captures: Spark would guess their size by the compressed file of asked and broadcast them, so they are always merged.
+    hits = keyed.hint("merge").join(history, ["kind", "key"])
     hits = hits.select("row", "kind", "key", F.explode(F.filter("history", lambda h: (h["since"] <= F.col("fetched_at")) & (h["until"].isNull() | (F.col("fetched_at") < h["until"])))).alias("h"))
     rank = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))[F.col("kind")]
     order = F.struct(rank.alias("rank"), F.length("key").alias("long"), (F.col("h.action") == "allow").alias("allow"), F.col("key"), F.col("h.list").alias("list"), F.col("h.since").alias("since"), F.col("kind"), F.col("h.action").alias("action"))

@@ -518,6 +518,14 @@ def test_url_prefixes_hosts_and_repeats(spark):
     assert {r.id: r.rule for r in got} == {0: "h.com/ab", 1: "h.com/ab", 2: None, 3: None, 4: "h.com/x/", 5: None, 6: "g.com", 7: "[::1]/a", 8: "[::1]", 9: "h.com/ab"}
 
 
+def test_url_keys_are_never_broadcast(spark):
+    """A file of 20,000 captures is small, its keys are not: with them broadcast the driver would hold them all."""
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.format_string("http://h%s.example.com/en/%s", F.col("id") % 7, "id").alias("url"))
+    plan = url_filters.judge(url_filters.sample_captures(pages), url_filters.sample_events(pages))._jdf.queryExecution().sparkPlan().toString()
+    at = [x for x in plan.splitlines() if "Join" in x and "[kind#" in x]
+    assert at and all("SortMergeJoin" in x for x in at)
+
+
 # media
 
 
