@@ -400,3 +400,19 @@ def test_spool_claims_each_file_once(spark, tmp_path):
     assert run() == [(1, "X", "a.json")]
     (folder / "b.json").write_text('{"id": 2, "query": "y"}\n')
     assert run() == run() == [(1, "X", "a.json"), (2, "Y", "b.json")]
+
+
+def test_artifact_owner_meets_one_holder_of_each_owner(spark):
+    held = [(1, "user1", 1, [("a", "p1"), ("b", "q1")]), (2, "user1", 2, [("a", "p2")]), (3, "user2", 3, [("a", "p3")]), (4, None, 0, [("a", "p4")]), (5, " ", 0, [("b", "q5")]), (6, "user1", 9, [])]
+    jobs_ = spark.createDataFrame(held, "job_id long, owner string, created_at int, artifacts array<struct<artifact_id:string,path:string>>")
+    asked = [(1, "a", "user1", "user"), (2, "a", "user3", "user"), (3, "a", "x", "admin"), (4, "b", "user2", "user"), (5, "b", "user1", "user"), (6, "c", "user1", "admin"), (7, None, "user1", "admin"), (8, "a", None, None)]
+    found = jobs.artifact_owner(spark.createDataFrame(asked, "request_id int, artifact_id string, user string, role string"), jobs_)
+    assert {r.request_id: (r.job_id, r.path) for r in found.collect()} == {1: (2, "p2"), 2: (4, "p4"), 3: (3, "p3"), 4: (5, "q5"), 5: (1, "q1"), 6: (None, None), 7: (None, None), 8: (4, "p4")}
+    many = spark.range(2000).select("id", F.concat(F.lit("user"), F.col("id") % 2).alias("owner"), F.col("id").alias("created_at"), F.array(F.struct(F.lit("a").alias("artifact_id"), F.lit("p").alias("path"))).alias("artifacts")).withColumnRenamed("id", "job_id")
+    few = spark.createDataFrame([(i, "a", "user1", "user") for i in range(50)], "request_id int, artifact_id string, user string, role string")
+    out = jobs.artifact_owner(few, many)
+    assert {r.job_id for r in out.collect()} == {1999}
+    # Holders are grouped before they meet a join.
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generates = [i for i, x in enumerate(plan) if "Generate" in x]
+    assert generates and all(any("Aggregate" in x for x in plan[max(j for j in range(i) if "Join" in plan[j]) : i]) for i in generates)
