@@ -59,9 +59,14 @@ def _content() -> Column:
     return F.lower("content")
 
 
+def alone(words: str) -> str:
+    """A pattern for words with no ASCII word character beside them; Java's \\b would take letters beyond ASCII for one, too."""
+    return rf"(?<![0-9A-Za-z_])({words})(?![0-9A-Za-z_])"
+
+
 def log_signal(text: Column) -> Column:
     """2.5 for each known failure text, 2 if a failure word stands alone."""
-    return total([F.when(F.contains(text, F.lit(n)), 2.5).otherwise(0.0) for n, _ in ERROR_KINDS]) + F.when(text.rlike(r"\b(test|fail|panic|exception|traceback)\b"), 2.0).otherwise(0.0)
+    return total([F.when(F.contains(text, F.lit(n)), 2.5).otherwise(0.0) for n, _ in ERROR_KINDS]) + F.when(text.rlike(alone("test|fail|panic|exception|traceback")), 2.0).otherwise(0.0)
 
 
 def code_signal(text: Column) -> Column:
@@ -93,7 +98,7 @@ def repo_structure(q: Query) -> tuple[Column, Column]:
     dir_weight = F.aggregate(dirs, F.lit(0.0), lambda a, d: a + chain([(d == k, v) for k, v in IMPORTANT_DIRS.items()], 0.0))
     file_weight = chain([(name == k, v) for k, v in IMPORTANT_FILES.items()], 0.0)
     near, shallow = F.size(parts) <= 2, F.size(parts) == 3
-    entry, defines = F.col("line_start") == 1, F.col("content").rlike(r"\b(func|class|def|type|interface|struct)\b")
+    entry, defines = F.col("line_start") == 1, F.col("content").rlike(alone("func|class|def|type|interface|struct"))
     symbol = T.detect_symbol(T.lines(F.col("content"))) != ""
     in_path = T.times_contained(path, q.terms)
     weight = lambda test, w: F.when(test, w).otherwise(0.0)

@@ -416,3 +416,11 @@ def test_artifact_owner_meets_one_holder_of_each_owner(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     generates = [i for i, x in enumerate(plan) if "Generate" in x]
     assert generates and all(any("Aggregate" in x for x in plan[max(j for j in range(i) if "Join" in plan[j]) : i]) for i in generates)
+
+
+def test_words_alone_beside_letters_beyond_ascii(spark):
+    texts = ["fail", "éfail", "testé", "a_test", "test1", "ein fail.", "classé", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.s for r in df.select(retrieval.log_signal(F.col("t")).alias("s")).collect()]
+    assert got == [2.0, 2.0, 2.0, 0.0, 0.0, 2.0, 0.0, 0.0]
+    assert [r.t for r in df.where(F.col("t").rlike(retrieval.alone("class|def"))).collect()] == ["classé"]
