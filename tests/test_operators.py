@@ -424,3 +424,12 @@ def test_words_alone_beside_letters_beyond_ascii(spark):
     got = [r.s for r in df.select(retrieval.log_signal(F.col("t")).alias("s")).collect()]
     assert got == [2.0, 2.0, 2.0, 0.0, 0.0, 2.0, 0.0, 0.0]
     assert [r.t for r in df.where(F.col("t").rlike(retrieval.alone("class|def"))).collect()] == ["classé"]
+
+
+def test_fingerprint_of_a_group_is_the_hash_of_its_rows_in_order(spark):
+    rows = [("s", f"p{i:03}", i) for i in range(300)] + [("t", "b", 1), ("t", "a", None), ("t", "c", 3), (None, "x", 1), ("u", "x", None)]
+    got = {r.g: (r.entries, r.fingerprint) for r in incremental.fingerprint(spark.createDataFrame(rows[::-1], "g string, p string, n int").repartition(3), ["g"], "p", ["p", "n"]).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    chain = lambda g: sha("".join(sha(f"{p}\x1f{n}") for h, p, n in sorted(rows, key=str) if h == g and n is not None))
+    assert got == {"s": (300, chain("s")), "t": (3, chain("t")), None: (1, chain(None)), "u": (1, None)}
+    assert incremental.fingerprint(spark.createDataFrame([], "g string, p string, n int"), ["g"], "p", ["p", "n"]).count() == 0
