@@ -128,3 +128,19 @@ def test_empty_and_odd(index, spark):
     index.add(frame(spark, odd), 1)
     asked = [(1, "été"), (2, "x 12"), (3, "w1"), (4, "same")]
     assert found(index, asked)[0] == brute(odd, asked, 10)
+
+
+def test_blocks_are_made_where_the_words_of_a_part_are(index, spark):
+    """Texts are shuffled once, a row each: entries of words are not."""
+    texts = {"a": ("one two", "two  three_two"), "b": (None, "ÉTÉ two"), "c": ("", "")}
+    index.add(frame(spark, texts), 0)
+    got = {(r.term, r.n, tuple(r.most), r.least): sorted((e.id, e.length, tuple(e.counts)) for e in r.entries) for r in index.read("postings").collect()}
+    assert got[("two", 2, (1, 2), 2)] == [("a", 5, (1, 2)), ("b", 2, (0, 1))] and got[("été", 1, (0, 1), 2)] == [("b", 2, (0, 1))] and len(got) == 4
+    assert {(r.id, r.length) for r in index.read("units").collect()} == {("a", 5), ("b", 2), ("c", 0)}
+    many = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("owner"), F.lit("x").alias("title"), F.concat_ws(" ", F.lit("y"), "id").alias("body"))
+    index.part_size, index.folder = 4, index.folder + "-many"
+    index.add(many, 0)
+    files = spark.read.parquet(f"{index.folder}/postings/turn=0").select("part", F.input_file_name().alias("f"))
+    tasks = files.select("part", F.regexp_extract("f", "part-([0-9]+)", 1).alias("task")).distinct().groupBy("part").count()
+    assert tasks.where("count > 1").count() == 0  # a part's blocks come from one task, so were not shuffled again
+
