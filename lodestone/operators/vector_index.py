@@ -24,13 +24,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.vectors import dot, doubles, normalized
+from lodestone.operators.vectors import doubles, normalized
 from lodestone.sources.scratch import Scratch
 
 #: Cells at most, and vectors a cell should hold at least. Centres are literals of the plan.
 CELLS, CELL = 256, 64
 #: Nearest cells that are scored first, to learn what the k-th best score is at least.
 FIRST_CELLS = 2
+#: Likenesses that a task works out at once.
+PAIRS = 1 << 20
 TABLES = {
     "centres": "cell int, centre array<double>",
     "cells": "cell int, radius double, n long",
@@ -141,11 +143,27 @@ class VectorIndex:
         # A vector of zeros has likeness 0 and lies at distance 1 of every question, where 1 - d^2 / 2 is larger.
         bounds = scratch.write(near.select("query_id", "turn", "cell", (1 - least * least / 2).alias("bound")), "bounds")
 
+        def in_cell(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+            """Of each question of a cell the k best vectors and what rounding may rank with them. A question and a vector come once each, not once a pair."""
+            q, v = (_matrix(t.column(i).combine_chunks(), dims) for t, i in ((wanted, 3), (rows, 3)))
+            found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+            step = max(1, PAIRS // max(1, len(v)))
+            for at in range(0, len(q) if len(v) else 0, step):
+                s = q[at : at + step] @ v.T
+                least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k, None] - 2e-9 if len(v) > k else -np.inf
+                i, j = np.nonzero(~(s < least))
+                found.append((i + at, j, s[i, j]))
+            i, j, s = (np.concatenate(x) for x in zip(*found))
+            columns = [wanted.column("query_id").take(pa.array(i)), rows.column("turn").take(pa.array(j)), rows.column("id").take(pa.array(j)), pa.array(s)]
+            return pa.Table.from_arrays(columns, names=["query_id", "turn", "id", "score"])
+
         def scores(cells: DataFrame) -> DataFrame:
+            """At least the k best of each question and cell."""
             listed = [r["cell"] for r in cells.select("cell").distinct().collect()]  # CELLS at most
-            rows = self.read("vectors").where(F.col("cell").isin(listed)).join(cells.join(asked, "query_id"), ["turn", "cell"])
-            scored = rows.select("query_id", "turn", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-            return scored.join(self._stale(), ["id", "turn"], "left_anti")
+            rows = self.read("vectors").where(F.col("cell").isin(listed)).join(self._stale(), ["id", "turn"], "left_anti").select("turn", "cell", "id", "v")
+            wanted = cells.join(asked, "query_id").select("turn", "cell", "query_id", "q")
+            pairs = wanted.groupBy("turn", "cell").cogroup(rows.groupBy("turn", "cell"))
+            return pairs.applyInArrow(in_cell, f"query_id {kind}, turn int, id {self.id_type}, score double").withColumn("score", F.round("score", 9))
 
         best = lambda rows, by, top: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= top)
         tried = best(bounds, [F.desc("bound"), "turn", "cell"], FIRST_CELLS).select("query_id", "turn", "cell")

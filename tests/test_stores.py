@@ -144,3 +144,15 @@ def test_a_plan_falls_back_only_where_nothing_is_found(spark):
     assert [r["at"].doc_id for r in none.orderBy("idx").collect()] == list(range(24)) and none.first().matched_strategies == ["fallback"]
     nothing_fits = retrieval.executed(fixed_windows(docs), retrieval.Query("alpha", "summarize_logs"), {"artifact"}, ["doc_id"])
     assert nothing_fits.count() == 24
+
+
+def test_vectors_of_a_cell_meet_its_questions_as_matrices(spark):
+    """No row for each pair; copies and what rounds alike are ranked by id."""
+    rng = random.Random(5)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)] if i % 3 else [1.0, 2.0, 3.0]) for i in range(90)]
+    index = VectorIndex(spark, f"{Scratch(spark, 'test-vectors').path}/matrices", 3)
+    index.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=4)
+    found = index.search(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>"))
+    assert [(r.id, r.rank) for r in found.orderBy("rank").collect()] == [(3 * i, i + 1) for i in range(10)]
+    assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+
