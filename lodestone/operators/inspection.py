@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.query import features
-from lodestone.operators import lexical, selection, vectors
+from lodestone.operators import lexical, questions, selection, vectors
 from lodestone.sources.scratch import Scratch
 
 # How many fused candidates a reranker scores.
@@ -69,15 +69,7 @@ def inspect(chunks: DataFrame, query: str, budgets: Budgets | None = None, index
 
 
 def bm25_of_queries(docs: DataFrame, queries: DataFrame, top: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (path, content), queries (query_id, query) -> (query_id, path, score, rank): all questions in one plan, by a join of postings with the words of the questions. Words are runs of letters and digits in lower case. Postings are counted before they are joined, and each document carries a word once."""
-    words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    asked = queries.select("query_id", F.explode(F.array_distinct(words("query"))).alias("word"))
-    sized = docs.select("path", words("content").alias("words")).withColumn("length", F.size("words"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    posted = sized.select("path", "length", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "path", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = posted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("word", F.log(1 + (F.lit(float(totals["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (totals["mean"] or 1.0)))
-    scored = asked.join(idf, "word").join(posted, "word").groupBy("query_id", "path").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """docs (path, content), queries (query_id, query) -> (query_id, path, score, rank): all questions of a block in one scan. Words are runs of letters and digits in lower case. Each document is a row of counts of the asked words, and each task keeps the best of each question: no row for each question and document is made."""
+    best = questions.scored(docs.select("path", questions.spaced(F.col("content")).alias("text")), "path", queries.select("query_id", questions.spaced(F.col("query")).alias("text")), top, k1, b)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("path"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -1,15 +1,19 @@
 """Queries without SQL against slow Python over the whole tables; discovery, versions and passages on small trees."""
 
+import collections
 import hashlib
 import math
 import os
+import random
 import re
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 from test_operators import slow_trim
 
 from lodestone.functions.query import features
-from lodestone.operators import chunking, evaluation, lexical
+from lodestone.operators import chunking, evaluation, inspection, lexical, questions
 from lodestone.plans import registry
 from lodestone.sources import files
 from lodestone.sources.scratch import Scratch
@@ -146,6 +150,49 @@ def test_passages_of_the_benchmark(spark, sf_dir):
     assert {tuple(r) for r in evaluation.containing(d, q).collect()} == want and want
 
 
+def _ranked_slowly(texts, asked, top=10, k1=1.2, b=0.75):
+    split = lambda t: [w for w in re.split(r"[^a-zé0-9]+", (t or "").lower()) if w]
+    merged, lengths = {}, {}
+    for path, t in texts:
+        merged.setdefault(path, collections.Counter()).update(split(t))
+        lengths[path] = max(lengths.get(path, 0), len(split(t)))
+    mean, n = statistics.fmean(len(split(t)) for _, t in texts if t is not None), len(texts)
+    scores = collections.Counter()
+    for q, t in asked:
+        for w in set(split(t)):
+            df = sum(w in c for c in merged.values())
+            for path, c in merged.items():
+                if c[w]:
+                    scores[q, path] += math.log(1 + (n - df + 0.5) / (df + 0.5)) * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * lengths[path] / mean))
+    out = set()
+    for q in {q for q, _ in scores}:
+        best = sorted(((-round(s, 6), p is None, p) for (x, p), s in scores.items() if x == q))[:top]
+        out |= {(q, p, i + 1) for i, (_, _, p) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("held, block", [(1 << 21, 1 << 10), (3, 2)])
+def test_questions_are_ranked_as_one_by_one(spark, monkeypatch, held, block):
+    """Many more equal copies than places, paths that repeat, nulls and questions that repeat, in blocks of any size; no row is made for a question and a text."""
+    monkeypatch.setattr(questions, "COUNTS", held)
+    monkeypatch.setattr(questions, "QUESTIONS", block)
+    r = random.Random(5)
+    texts = [(f"p{i}", " ".join(r.choice(["alpha", "beta", "Gamma", "délta", "x1"]) + r.choice(" ,\n-") for _ in range(r.randint(0, 9)))) for i in range(60)]
+    texts += [(f"copy{i:02}", "Alpha beta") for i in range(40)] + [("p1", texts[1][1]), ("null", None), ("none", ""), ("blank", " . ")]
+    asked = [(1, "alpha"), (2, "beta, BETA délta"), (3, "unknown"), (4, None), (5, ""), (1, "alpha x1"), (6, "x1 gamma alpha"), (7, "gamma")]
+    found = inspection.bm25_of_queries(spark.createDataFrame(texts, "path string, content string"), spark.createDataFrame(asked, "query_id long, query string"))
+    assert found.columns == ["query_id", "path", "score", "rank"]
+    assert {(x.query_id, x.path, x.rank) for x in found.collect()} == _ranked_slowly(texts, asked)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_over_nothing(spark):
+    none, q = spark.createDataFrame([], "path string, content string"), spark.createDataFrame([(1, "a b")], "query_id int, query string")
+    assert inspection.bm25_of_queries(none, q).collect() == []
+    d = spark.createDataFrame([("p", "a b")], "path string, content string")
+    assert inspection.bm25_of_queries(d, q.limit(0)).collect() == []
+
+
 def test_discovery_takes_the_first_listing_that_names_files(spark, tmp_path):
     root = tmp_path / "tree"
     for name in ("a.py", "src/b.go", "src/c.bin", "node_modules/d.js", "docs/e.md", "src/new.rs", "with space.py"):
