@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import questions
+
 #: What a suite must reach.
 GATES = {"recall_at_10": 0.90, "mrr": 0.75, "citation_precision": 0.95}
 
@@ -66,21 +68,8 @@ def containing(docs: DataFrame, passages: DataFrame, text: str = "content", key:
     """passages (query_id, query) -> (query_id, key) of the documents that contain a passage as it stands.
 
     A passage is anchored by a run of its inner words, the longest of them in letters, which any text that contains the
-    passage has as whole words. Anchors meet the runs of words of the documents by a join on equality, so work grows with
-    passages plus documents, and the few pairs it finds are confirmed by their texts. A passage of one or two words has
+    passage has as whole words. Each text is read once along the tree of all anchors of a block of passages, in its own
+    row, and the few pairs it finds are confirmed there: no run of a text becomes a row. A passage of one or two words has
     no inner ones and is found as whole words only; one without words is contained in nothing.
     """
-    split = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
-    asked = passages.select("query_id", "query", split("query").alias("_w")).where(F.size("_w") > 0)
-    inner = F.size("_w") >= 3
-    n = F.when(inner, F.least(F.lit(words), F.size("_w") - 2)).otherwise(F.size("_w"))
-    asked = asked.withColumn("_n", n).withColumn("_from", F.when(inner, 1).otherwise(0))
-    runs = F.transform(F.sequence(F.col("_from"), F.size("_w") - F.col("_n") - F.col("_from")), lambda i: F.array_join(F.slice("_w", i + 1, F.col("_n")), " "))
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.char_length(r).alias("size"), r.alias("run"))))["run"]
-    asked = asked.select("query_id", "query", "_n", longest.alias("_run"))
-    sizes = [r["_n"] for r in asked.select("_n").distinct().collect()]  # words of them at most
-    rows = docs.select(F.col(key).alias("_key"), split(text).alias("_w"))
-    of_size = lambda m: F.when(F.size("_w") >= m, F.transform(F.sequence(F.lit(0), F.size("_w") - m), lambda i: F.array_join(F.slice("_w", i + 1, m), " "))).otherwise(F.array().cast("array<string>"))
-    said = rows.select("_key", F.explode(F.array_distinct(F.flatten(F.array(*map(of_size, sizes))) if sizes else F.array().cast("array<string>"))).alias("_run"))
-    met = said.join(asked, "_run").select("_key", "query_id", "query").distinct()
-    return docs.select(F.col(key), F.col(text).alias("_text")).join(met, F.col(key) == F.col("_key")).where(F.contains("_text", F.col("query"))).select("query_id", key)
+    return questions.holding(docs.select(F.col(key), F.col(text)), key, passages, words)

@@ -188,9 +188,26 @@ def test_questions_are_ranked_as_one_by_one(spark, monkeypatch, held, block):
 
 def test_questions_over_nothing(spark):
     none, q = spark.createDataFrame([], "path string, content string"), spark.createDataFrame([(1, "a b")], "query_id int, query string")
-    assert inspection.bm25_of_queries(none, q).collect() == []
+    assert inspection.bm25_of_queries(none, q).collect() == [] and evaluation.containing(none, q).collect() == []
     d = spark.createDataFrame([("p", "a b")], "path string, content string")
-    assert inspection.bm25_of_queries(d, q.limit(0)).collect() == []
+    assert inspection.bm25_of_queries(d, q.limit(0)).collect() == [] and evaluation.containing(d, q.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("rows, block", [(256, 1 << 14), (2, 3)])
+def test_passages_are_found_in_one_reading(spark, monkeypatch, rows, block):
+    """Against a look for each passage in each text: runs that share words, overlap, and stand at ends; bytes of letters that look like blanks. No run of a text becomes a row."""
+    monkeypatch.setattr(questions, "ROWS", rows)
+    monkeypatch.setattr(questions, "PASSAGES", block)
+    r = random.Random(6)
+    said = lambda n: "".join(r.choice(["a", "b", "à", "Å"]) + r.choice([" ", " ", "\n", "\x0b", "\u00a0", "\x85"]) for _ in range(n)).strip(" \n\x0b")
+    texts = [(f"t{i}", said(r.randint(0, 60))) for i in range(80)]
+    passages = [(i, t[(at := r.randint(0, 40)) : at + r.randint(5, 14)]) for i, (_, t) in enumerate(texts)]
+    inner = [(i, p) for i, p in passages if len([w for w in re.split("[ \\t-\\r]+", p) if w]) >= 3]
+    found = evaluation.containing(spark.createDataFrame(texts, "path string, content string"), spark.createDataFrame(inner, "query_id int, query string"))
+    want = {(i, t) for i, p in inner for t, c in texts if p in c}
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want) and len(want) > 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
 
 
 def test_discovery_takes_the_first_listing_that_names_files(spark, tmp_path):
