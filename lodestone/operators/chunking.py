@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,21 @@ V2_LINES, V2_OVERLAP, V2_BYTES = 120, 12, 32768
 DECLARED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
-def fixed_windows(docs: DataFrame, size: int = V1_LINES, log_size: int = V1_LOG_LINES) -> DataFrame:
-    """docs (input_id, input_type, classification, path, content, ...) -> chunks of whole lines, without overlap. No shuffle: a document's windows come from its own row."""
+def fixed_windows(docs: DataFrame, size: int = V1_LINES, log_size: int = V1_LOG_LINES, counts: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """docs (input_id, input_type, classification, path, content, ...) -> chunks of whole lines, without overlap. No shuffle: a document's windows come from its own row.
+
+    counts: names with what each line counts as. It is worked out once a line, and name_here and name_file add it up over the chunk and its document.
+    """
     n = F.when(F.col("input_type") == "log", log_size).otherwise(size)
-    rows = docs.withColumn("_lines", T.lines(F.coalesce("content", F.lit("")))).where(F.size("_lines") > 0)
+    rows = docs.where(F.col("content") != "").withColumn("_lines", T.lines(F.col("content")))  # any other text has a line
+    added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    for name, of_line in (counts or {}).items():
+        rows = rows.withColumn(f"_{name}", F.transform("_lines", of_line)).withColumn(f"{name}_file", added(F.col(f"_{name}")))
     rows = rows.withColumn("_n", n).withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / F.col("_n")).cast("int"))))
-    part = F.slice("_lines", F.col("_at") * F.col("_n") + 1, F.col("_n"))
-    out = rows.withColumn("content", F.array_join(part, "\n")).withColumn("line_start", F.col("_at") * F.col("_n") + 1).withColumn("line_end", F.least((F.col("_at") + 1) * F.col("_n"), F.size("_lines")))
-    return chunk_record(out.drop("_lines", "_n", "_at"))
+    part = lambda c: F.slice(c, F.col("_at") * F.col("_n") + 1, F.col("_n"))
+    out = rows.withColumns({f"{name}_here": added(part(f"_{name}")) for name in counts}) if counts else rows
+    out = out.withColumn("content", F.array_join(part("_lines"), "\n")).withColumn("line_start", F.col("_at") * F.col("_n") + 1).withColumn("line_end", F.least((F.col("_at") + 1) * F.col("_n"), F.size("_lines")))
+    return chunk_record(out.drop("_lines", "_n", "_at", *(f"_{name}" for name in counts or {})))
 
 
 def chunk_record(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.classes import CODE_KINDS, ERROR_KINDS, chain, hits_directory
 from lodestone.operators.chunking import fixed_windows
+from lodestone.sources.scratch import Scratch
 
 TOP, MOST_CANDIDATES = 24, 48
 DEBUG = r"trace|panic|error|fail"
@@ -34,7 +35,7 @@ class Query:
 
 
 Scorer = Callable[[Query], tuple[Column, Column]]
-#: name -> (scorer, how real its backend is); foreign scorers register here.
+#: name -> (scorer, how real its backend is); foreign scorers register here. Scorers read the columns of chunks, and _lowered.
 STRATEGIES: dict[str, tuple[Scorer, str]] = {}
 
 
@@ -59,6 +60,11 @@ def _content() -> Column:
     return F.lower("content")
 
 
+def _lowered() -> Column:
+    """The chunk's content in lower case, worked out once for all scorers: see candidates()."""
+    return F.col("_lowered")
+
+
 def alone(words: str) -> str:
     """A pattern for words with no ASCII word character beside them; Java's \\b would take letters beyond ASCII for one, too."""
     return rf"(?<![0-9A-Za-z_])({words})(?![0-9A-Za-z_])"
@@ -80,9 +86,9 @@ def overlap(text: Column, terms: list[str]) -> Column:
 @strategy("bm25", "real")
 def substring(q: Query) -> tuple[Column, Column]:
     """2 for each term of the query, repeats again, that the chunk contains; logs add their failure signal."""
-    found = T.times_contained(_content(), q.terms)
+    found = T.times_contained(_lowered(), q.terms)
     logs = (F.col("input_type") == "log") if q.task in ("summarize_logs", "debug_with_local_context") else F.lit(False)
-    return found * 2.0 + F.when(logs, log_signal(_content())).otherwise(0.0), reasons((found > 0, "term_in_text"), (logs, "log_signal"))
+    return found * 2.0 + F.when(logs, log_signal(_lowered())).otherwise(0.0), reasons((found > 0, "term_in_text"), (logs, "log_signal"))
 
 
 # Weights of directories and files near a repository's root.
@@ -108,19 +114,9 @@ def repo_structure(q: Query) -> tuple[Column, Column]:
     return F.when(fits, score).otherwise(0.0), F.when(fits, why).otherwise(F.array().cast("array<string>"))
 
 
-def _containing(term: str):
-    return lambda x: F.contains(x, F.lit(term))
-
-
-def line_hits(content: Column, terms: list[str]) -> Column:
-    """Lines that contain a term, once for each term and case-sensitive."""
-    return T.bound(T.lines(content), lambda ls: total([F.size(F.filter(ls, _containing(t))) for t in terms])).cast("long")
-
-
 def grepped_chunks(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Chunks with hits_here, the line hits of the chunk, and hits_file, those of its document. Both are counted in the document's own row, so nothing is shuffled."""
-    counted = docs.withColumn("hits_file", line_hits(F.coalesce("content", F.lit("")), terms))
-    return fixed_windows(counted).withColumn("hits_here", line_hits(F.col("content"), terms))
+    """Chunks with hits_here, the line hits of the chunk, and hits_file, those of its document: lines that contain a term, once for each term and case-sensitive. They are counted once a line, in the document's own row, so nothing is shuffled."""
+    return fixed_windows(docs, counts={"hits": lambda line: T.times_contained(line, terms)})
 
 
 @strategy("ripgrep", "real")
@@ -128,7 +124,7 @@ def grep(q: Query) -> tuple[Column, Column]:
     """Needs the columns of grepped_chunks. Every hit in a file counts for all its chunks; without any, terms in the path count."""
     log, hits, here = F.col("input_type") == "log", F.col("hits_file"), F.col("hits_here")
     real = hits * 2.5 + here * 1.0 + F.when(log, F.least(hits, F.lit(3)) * 0.5).otherwise(0.0)
-    in_path, in_log = T.times_contained(F.lower("path"), q.terms), F.when(log, T.times_contained(_content(), q.terms)).otherwise(0)
+    in_path, in_log = T.times_contained(F.lower("path"), q.terms), F.when(log, T.times_contained(_lowered(), q.terms)).otherwise(0)
     why = F.when(hits > 0, reasons((F.lit(True), "rg_match"), (here > 0, "rg_line_in_chunk"), (log, "rg_log_density"))).otherwise(reasons((in_path > 0, "term_in_path"), (in_log > 0, "term_in_log_line")))
     return F.when(hits > 0, real).otherwise(in_path * 3.0 + in_log * 1.5), why
 
@@ -137,7 +133,7 @@ def grep(q: Query) -> tuple[Column, Column]:
 def code_structure(q: Query) -> tuple[Column, Column]:
     """Without tags, the code signal of the chunk."""
     fits = F.col("input_type").isin("repo", "file") & F.lit(q.task in ("inspect_repo", "rag_compress", "propose_patch"))
-    score = F.when(fits, code_signal(_content())).otherwise(0.0)
+    score = F.when(fits, code_signal(_lowered())).otherwise(0.0)
     return score, reasons((score > 0, "code_structure_signal"))
 
 
@@ -151,20 +147,20 @@ def tagged(chunks: DataFrame, tags: DataFrame, terms: list[str]) -> DataFrame:
 @strategy("stack_trace_path", "heuristic")
 def stack_trace(q: Query) -> tuple[Column, Column]:
     on = F.lit(q.task == "debug_with_local_context")
-    trace, suspects = _content().rlike(DEBUG), T.times_contained(F.lower("path"), [s.lower() for s in q.suspects])
+    trace, suspects = _lowered().rlike(DEBUG), T.times_contained(F.lower("path"), [s.lower() for s in q.suspects])
     score = F.when(on, F.when(trace, 1.5).otherwise(0.0) + suspects * 2.0).otherwise(0.0)
     return score, reasons((on & trace, "stack_trace_signal"), (on & (suspects > 0), "suspect_path_match"))
 
 
 @strategy("git_diff_history", "heuristic")
 def change_risk(q: Query) -> tuple[Column, Column]:
-    hit = T.any_contained(_content(), ["todo", "fixme"]) & F.lit(q.task in ("debug_with_local_context", "propose_patch"))
+    hit = T.any_contained(_lowered(), ["todo", "fixme"]) & F.lit(q.task in ("debug_with_local_context", "propose_patch"))
     return F.when(hit, 0.75).otherwise(0.0), reasons((hit, "change_risk_marker"))
 
 
 @strategy("embeddings", "heuristic")
 def overlap_of_documents(q: Query) -> tuple[Column, Column]:
-    score = F.when(F.col("input_type") == "document", overlap(_content(), q.terms)).otherwise(0.0)
+    score = F.when(F.col("input_type") == "document", overlap(_lowered(), q.terms)).otherwise(0.0)
     return score, reasons((score > 0, "semantic_overlap"))
 
 
@@ -206,7 +202,7 @@ def candidates(chunks: DataFrame, q: Query, names: list[str], order: list[str],
         score, why = STRATEGIES[name][0](q)
         return F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("strategy"), F.round(score, 3).cast("double").alias("score"), why.alias("reasons"))
 
-    rows = chunks.select("chunk_id", *order, F.explode(F.filter(F.array(*(scored(i, n) for i, n in enumerate(names))), lambda s: s["score"] > 0)).alias("_s")).select("chunk_id", *order, "_s.*")
+    rows = chunks.withColumn("_lowered", _content()).select("chunk_id", *order, F.explode(F.filter(F.array(*(scored(i, n) for i, n in enumerate(names))), lambda s: s["score"] > 0)).alias("_s")).select("chunk_id", *order, "_s.*")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("score"), *order))).where(F.col("rank") <= top)
 
 
@@ -231,13 +227,15 @@ def merged(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> D
 def executed(chunks: DataFrame, q: Query, types: set[str], order: list[str], requested: list[str] | None = None, budget: int = 64000) -> DataFrame:
     """The whole plan: the strategies that fit the types of input, their merged candidates within the budget, and the first chunks instead where there are none."""
     names, _ = plan(q.task, types, requested)
+
+    def first() -> DataFrame:
+        return fallback(chunks, q, order).select("chunk_id", "score", F.array(F.lit("fallback")).alias("matched_strategies"), F.struct(*order).alias("at"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"))
+
     if not names:
-        found = fallback(chunks, q, order).withColumn("matched_strategies", F.array(F.lit("fallback")))
-        return found.select("chunk_id", "score", "matched_strategies", F.struct(*order).alias("at"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"))
+        return first()
     found = best_candidates(merged(chunks, q, names, order), budget).select("chunk_id", "score", "matched_strategies", "at", "idx")
-    first = fallback(chunks, q, order).select("chunk_id", "score", F.array(F.lit("fallback")).alias("matched_strategies"), F.struct(*order).alias("at"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"), F.lit(1).alias("_any"))
-    any_found = found.select(F.lit(1).alias("_any")).limit(1)
-    return found.unionByName(first.join(any_found, "_any", "left_anti").drop("_any"))
+    found = Scratch(chunks.sparkSession, "plan").write(found, "found")  # MOST_CANDIDATES rows; whether there are any is asked of them, not of the chunks again
+    return first() if found.isEmpty() else found
 
 
 def hit_counts(chunks: DataFrame, q: Query, names: list[str], order: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -146,6 +147,30 @@ def test_a_plan_falls_back_only_where_nothing_is_found(spark):
     assert nothing_fits.count() == 24
 
 
+def test_a_plan_reads_its_texts_once(spark, tmp_path):
+    rows = [(i, f"i{i}", "log" if i % 2 else "document", f"d/f{i}", f"alpha {i}\nx") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, input_id string, input_type string, path string, content string").write.parquet(str(tmp_path / "docs"))
+    chunks = retrieval.grepped_chunks(spark.read.parquet(str(tmp_path / "docs")), ["alpha"])
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # with rare breaks or without
+    found = retrieval.executed(chunks, retrieval.Query("alpha"), {"log", "document"}, ["doc_id"])
+    assert found.count() == 32  # 20 logs and the first 4 documents by ripgrep, the first 12 of each by bm25
+    assert not any(str(tmp_path) + "/docs" in f for f in found.inputFiles())
+
+
+def test_line_hits_of_chunks_and_files(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["al", "be al", "Al", "x", ""]) + r.choice(["\n", "\n", "\r\n", "\x0b", "\u2028"] if i % 2 else ["\n"]) for _ in range(r.randint(0, 130))) + r.choice(["", "al"]) for i in range(30)] + ["", None, "\n", "\r\n"]
+    docs = spark.createDataFrame([(i, "log" if i % 3 == 0 else "file", t) for i, t in enumerate(texts)], "i int, input_type string, content string")
+    hits = lambda ls: sum(t in x for x in ls for t in ("al", "be"))
+    want = []
+    for i, t in enumerate(texts):
+        ls, n = re.split("\r\n|[\n\x0b\u2028]", t or ""), 80 if i % 3 == 0 else 40
+        ls = ls[:-1] if ls[-1] == "" else ls
+        want += [(i, at + 1, hits(ls[at : at + n]), hits(ls)) for at in range(0, len(ls), n)]
+    got = retrieval.grepped_chunks(docs, ["al", "be"]).select("i", "line_start", "hits_here", "hits_file")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_vectors_of_a_cell_meet_its_questions_as_matrices(spark):
     """No row for each pair; copies and what rounds alike are ranked by id."""
     rng = random.Random(5)
