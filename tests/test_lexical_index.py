@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import index_search, lexical_index
 from lodestone.operators.lexical_index import LexicalIndex, term_counts
 from lodestone.sources.scratch import Scratch
 
@@ -144,3 +145,55 @@ def test_blocks_are_made_where_the_words_of_a_part_are(index, spark):
     tasks = files.select("part", F.regexp_extract("f", "part-([0-9]+)", 1).alias("task")).distinct().groupBy("part").count()
     assert tasks.where("count > 1").count() == 0  # a part's blocks come from one task, so were not shuffled again
 
+
+
+def shuffled_rows(spark, act):
+    """Rows that act's stages shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+    gateway = spark.sparkContext._gateway
+
+    def count():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = count()
+    act()
+    return count() - before
+
+
+def test_questions_share_the_blocks_that_are_shuffled(index, spark):
+    """No row stands for a question, word and unit: many questions of the same common words shuffle its entries no oftener than one."""
+    texts = {f"d{i:03}#0": ("same title", f"one two three four five w{i}") for i in range(400)}
+    index.part_size = 64
+    index.add(frame(spark, texts), 0)
+    asked = [(q, f"one two three four five same title w{q}") for q in range(60)]
+    rows = spark.createDataFrame(asked, "query_id int, query string")
+    assert shuffled_rows(spark, lambda: index.search(rows, 3, WEIGHTS).collect()) < 400 * 60
+    assert found(index, asked, 3)[0] == brute(texts, asked, 3)
+
+
+@pytest.mark.parametrize("masks", [0, 1 << 25])
+def test_common_words_are_read_where_a_candidate_is_left(index, spark, monkeypatch, masks):
+    """As are blocks that meet their masks in a shuffle, small pieces of parts, units of earlier turns and questions in several blocks."""
+    monkeypatch.setattr(index_search, "MASKS", masks)
+    monkeypatch.setattr(index_search, "ENTRIES", 50)
+    monkeypatch.setattr(lexical_index, "QUESTIONS", 2)
+    looked, hopeful = [], index_search.Answer.hopeful
+    monkeypatch.setattr(index_search.Answer, "hopeful", lambda *a: looked.append(a) or hopeful(*a))
+    texts = {f"d{i:03}#0": (None, f"the of and {'rare' + str(i // 9) if i % 3 == 0 else 'other'} {'x ' * (i % 5)}") for i in range(240)}
+    new = {f"d{i:03}#0": ("of", "rare1 of rare2" if i % 2 else "rare2 the") for i in range(20, 40)}
+    index.add(frame(spark, texts), 0)
+    index.add(frame(spark, new), 1)
+    asked = [(1, "the of rare1"), (2, "the of and rare2 unknown"), (3, "the"), (4, "rare77"), (None, "of rare5"), (5, "x x other")]
+    live = texts | new
+    got, held, read = found(index, asked[:4], 2)
+    assert got == brute(live, asked[:4], 2)
+    of = lambda rows, q, t: rows.where((F.col("query_id") == q) & (F.col("term") == t)).count()
+    assert 0 < of(read, 1, "the") < 0.5 * of(held, 1, "the") and 0 < of(read, 1, "rare1") and looked
+    key = lambda r: (r[0] is None, r[0] or 0, r[3])
+    nobody = [(9 if q is None else q, t) for q, t in asked]
+    want = [(None if q == 9 else q, *r) for q, *r in brute(live, nobody, 5)]
+    assert sorted(found(index, asked[:4] + asked[5:], 5)[0], key=key) == sorted((r for r in want if r[0] is not None), key=key)
+    ranked = index.search(spark.createDataFrame(asked, "query_id int, query string"), 5, WEIGHTS)
+    assert sorted(((r.query_id, r.id, round(r.score, 5), r.rank) for r in ranked.collect()), key=key) == sorted(want, key=key)
