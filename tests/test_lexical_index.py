@@ -197,3 +197,20 @@ def test_common_words_are_read_where_a_candidate_is_left(index, spark, monkeypat
     assert sorted(found(index, asked[:4] + asked[5:], 5)[0], key=key) == sorted((r for r in want if r[0] is not None), key=key)
     ranked = index.search(spark.createDataFrame(asked, "query_id int, query string"), 5, WEIGHTS)
     assert sorted(((r.query_id, r.id, round(r.score, 5), r.rank) for r in ranked.collect()), key=key) == sorted(want, key=key)
+
+
+def test_blocks_are_written_as_they_come(index, spark):
+    """Files of all buckets are open at once: blocks are not sorted by bucket and term, which took twice the input of disk; the session's setting is as it was."""
+    index.add(frame(spark, some(5, 200)), 0)
+    files = sorted({r.f for r in spark.read.parquet(f"{index.folder}/postings/turn=0").select(F.input_file_name().alias("f")).collect()})
+    for f in files:
+        rows = [(r.part, r.term) for r in spark.read.parquet(f).select("part", "term").coalesce(1).collect()]
+        assert [p for p, _ in rows] == sorted(p for p, _ in rows) and len({p for p, _ in rows}) > 1
+    assert {r.bucket for r in index.read("postings").select("bucket").distinct().collect()} == {0, 1, 2, 3}
+    assert spark.conf.get(lexical_index.WRITERS) == "0"
+    spark.conf.set(lexical_index.WRITERS, "2")
+    try:
+        index.add(frame(spark, some(6, 20)), 1)
+        assert spark.conf.get(lexical_index.WRITERS) == "2"
+    finally:
+        spark.conf.unset(lexical_index.WRITERS)
